@@ -1,7 +1,7 @@
 """Weak supervision over quality rules, in DataFrame operations only.
 
-Every rule votes good (+1), bad (-1) or abstains (0) on a document.  Accuracies and the share of good
-documents come from expectation-maximisation over the table of vote patterns, which has at most 3**7 rows
+Every rule votes good (+1), bad (-1) or abstains (0) on a document.  The rules' accuracies on good and on bad documents
+and the share of good documents come from expectation-maximisation over the table of vote patterns, which has at most 3**7 rows
 however many documents there are.  A document's verdict is its posterior probability of being good.
 
 Defined results: null and empty texts have no words; ``base_failed`` is then true (fewer than 50 words).
@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialise, table
 
 SYMBOLS = "#*$%&|<>"
-RULES = ("symbols", "lines", "repeats", "word_length", "length", "shouting", "capitals")
+RULES = ("symbols", "lines", "repeats", "word_length", "shouting", "capitals", "prose")
 ITERATIONS = 20
-PRIOR, ACCURACY = 0.7, 0.8
+#: Bounds: a rule that votes accuses few good documents and beats chance on bad ones; unbounded, two kinds of good text pass for the two classes.
+LEAST_HIT, LEAST_CATCH = 0.98, 0.5
+#: Starting values: share of good documents, P(good vote | good, voted), P(bad vote | bad, voted).
+PRIOR, HIT, CATCH = 0.8, 0.99, 0.6
 
 
 def _count_of(text, letters: str):
@@ -75,50 +78,56 @@ def _vote(bad: str, good: str) -> str:
 
 #: Integer arithmetic only, so that every engine votes alike.
 VOTES = {
-    "symbols": _vote("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    "lines": _vote("n_dup_lines >= 2 AND 5 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines > 1"),
-    "repeats": _vote("100 * n_repeat_words > 35 * n_words", "100 * n_repeat_words <= 15 * n_words"),
+    "symbols": _vote("10 * n_symbols > n_words", "FALSE"),
+    "lines": _vote("n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines", "FALSE"),
+    "repeats": _vote("100 * n_repeat_words > 35 * n_words", "FALSE"),
     "word_length": _vote("word_chars < 2 * n_words OR word_chars > 14 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
-    "length": _vote("n_words < 50", "n_words >= 100"),
-    "shouting": _vote("10 * n_marks > n_words", "50 * n_marks <= n_words"),
-    "capitals": _vote("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
+    "shouting": _vote("10 * n_marks > n_words", "FALSE"),
+    "capitals": _vote("2 * n_capitals > word_chars", "FALSE"),
+    "prose": _vote("FALSE", "50 * n_symbols <= n_words AND 50 * n_marks <= n_words AND 5 * n_capitals <= word_chars AND 100 * n_repeat_words <= 20 * n_words"),
 }
 
 
 def _step(p: str) -> str:
     """One round of EM as an expression over `t`, an array of (votes array, count), and parameters `p`."""
-    like = lambda s: f"aggregate(sequence(0, {len(RULES) - 1}), 1.0D, (a, r) -> a * CASE WHEN x.v[r] = 0 THEN 1.0D WHEN x.v[r] = {s} THEN {p}.acc[r] ELSE 1.0D - {p}.acc[r] END)"
-    q = f"({p}.prior * {like('1')}) / ({p}.prior * {like('1')} + (1.0D - {p}.prior) * {like('-1')})"
+    like = lambda s, acc: f"aggregate(sequence(0, {len(RULES) - 1}), 1.0D, (a, r) -> a * CASE WHEN x.v[r] = 0 THEN 1.0D WHEN x.v[r] = {s} THEN {p}.{acc}[r] ELSE 1.0D - {p}.{acc}[r] END)"
+    q = f"({p}.prior * {like('1', 'hit')}) / ({p}.prior * {like('1', 'hit')} + (1.0D - {p}.prior) * {like('-1', 'catch')})"
     return f"transform(t, x -> named_struct('v', x.v, 'n', x.n, 'q', {q}))"
 
 
 def fit(votes: DataFrame) -> dict:
-    """EM over the pattern table (at most 3**7 rows) inside one expression; returns 8 numbers."""
+    """EM over the pattern table (at most 3**7 rows) inside one expression; returns 15 numbers."""
     names = ", ".join(f"v_{r}" for r in RULES)
     patterns = votes.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.expr(f"struct(array({names}) AS v, n)"))).alias("t"))
     k = len(RULES) - 1
     update = f"""aggregate(sequence(1, {ITERATIONS}),
-        named_struct('prior', {PRIOR}D, 'acc', array({', '.join([f'{ACCURACY}D'] * len(RULES))})),
+        named_struct('prior', {PRIOR}D, 'hit', array({', '.join([f'{HIT}D'] * len(RULES))}), 'catch', array({', '.join([f'{CATCH}D'] * len(RULES))})),
         (p, i) -> transform(array({_step('p')}), s -> named_struct(
             'prior', least(0.999D, greatest(0.001D, aggregate(s, 0.0D, (a, x) -> a + x.n * x.q) / aggregate(s, 0.0D, (a, x) -> a + x.n))),
-            'acc', transform(sequence(0, {k}), r -> least(0.999D, greatest(0.5D,
-                (1.0D + aggregate(s, 0.0D, (a, x) -> a + CASE x.v[r] WHEN 1 THEN x.n * x.q WHEN -1 THEN x.n * (1.0D - x.q) ELSE 0.0D END))
-                / (1.25D + aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[r] = 0 THEN 0.0D ELSE x.n END)))))))[0])"""
-    row = one.select(F.expr(update).alias("p")).first()["p"]
-    return {"prior": row["prior"], "accuracy": dict(zip(RULES, row["acc"], strict=True))}
+            'hit', transform(sequence(0, {k}), r -> least(0.999D, greatest({LEAST_HIT}D,
+                (0.9D + aggregate(s, 0.0D, (a, x) -> a + CASE x.v[r] WHEN 1 THEN x.n * x.q ELSE 0.0D END))
+                / (1.0D + aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[r] = 0 THEN 0.0D ELSE x.n * x.q END))))),
+            'catch', transform(sequence(0, {k}), r -> least(0.999D, greatest({LEAST_CATCH}D,
+                (0.5D + aggregate(s, 0.0D, (a, x) -> a + CASE x.v[r] WHEN -1 THEN x.n * (1.0D - x.q) ELSE 0.0D END))
+                / (1.0D + aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[r] = 0 THEN 0.0D ELSE x.n * (1.0D - x.q) END)))))))[0])"""
+    row = one.where("size(t) > 0").select(F.expr(update).alias("p")).first()
+    if row is None:  # no document to learn from
+        return {"prior": PRIOR, "hit": dict.fromkeys(RULES, HIT), "catch": dict.fromkeys(RULES, CATCH)}
+    row = row["p"]
+    return {"prior": row["prior"], "hit": dict(zip(RULES, row["hit"], strict=True)), "catch": dict(zip(RULES, row["catch"], strict=True))}
 
 
 def posterior(model: dict):
     """Probability that a document with columns v_<rule> is good."""
-    def like(sign):
+    def like(sign, right):
         out = F.lit(1.0)
         for r in RULES:
-            a, v = model["accuracy"][r], F.col(f"v_{r}")
+            a, v = model[right][r], F.col(f"v_{r}")
             out = out * F.when(v == 0, 1.0).when(v == sign, a).otherwise(1.0 - a)
         return out
 
-    good, bad = F.lit(model["prior"]) * like(1), F.lit(1.0 - model["prior"]) * like(-1)
+    good, bad = F.lit(model["prior"]) * like(1, "hit"), F.lit(1.0 - model["prior"]) * like(-1, "catch")
     return good / (good + bad)
 
 
@@ -126,8 +135,8 @@ def apply(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict for every row of docs."""
     stats = materialise(statistics(docs))
     votes = stats.select("*", *[F.expr(e).alias(f"v_{r}") for r, e in VOTES.items()])
-    model = fit(votes)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model = fit(votes.where(~failed))
     quality = posterior(model)
     return votes.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -144,12 +153,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     w = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
     votes = ", ".join(f"{e} AS v_{r}" for r, e in VOTES.items())
-    like = lambda s, p: " * ".join(f"CASE WHEN v_{r} = 0 THEN 1.0::DOUBLE WHEN v_{r} = {s} THEN {p}.a_{r} ELSE 1.0 - {p}.a_{r} END" for r in RULES)
-    q = lambda p: f"({p}.prior * {like(1, p)}) / ({p}.prior * {like(1, p)} + (1.0 - {p}.prior) * {like(-1, p)})"
-    steps = [f"m0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{ACCURACY}::DOUBLE AS a_{r}" for r in RULES) + ")"]
+    like = lambda s, p, acc: " * ".join(f"CASE WHEN v_{r} = 0 THEN 1.0::DOUBLE WHEN v_{r} = {s} THEN {p}.{acc}_{r} ELSE 1.0 - {p}.{acc}_{r} END" for r in RULES)
+    q = lambda p: f"({p}.prior * {like(1, p, 'hit')}) / ({p}.prior * {like(1, p, 'hit')} + (1.0 - {p}.prior) * {like(-1, p, 'catch')})"
+    steps = [f"m0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{HIT}::DOUBLE AS hit_{r}, {CATCH}::DOUBLE AS catch_{r}" for r in RULES) + ")"]
     for i in range(ITERATIONS):
         accs = ", ".join(
-            f"least(0.999, greatest(0.5, (1.0 + sum(CASE v_{r} WHEN 1 THEN n * q WHEN -1 THEN n * (1.0 - q) ELSE 0.0 END)) / (1.25 + sum(CASE WHEN v_{r} = 0 THEN 0.0 ELSE n END)))) AS a_{r}"
+            f"least(0.999, greatest({LEAST_HIT}, (0.9 + sum(CASE v_{r} WHEN 1 THEN n * q ELSE 0.0 END)) / (1.0 + sum(CASE WHEN v_{r} = 0 THEN 0.0 ELSE n * q END)))) AS hit_{r}, "
+            f"least(0.999, greatest({LEAST_CATCH}, (0.5 + sum(CASE v_{r} WHEN -1 THEN n * (1.0 - q) ELSE 0.0 END)) / (1.0 + sum(CASE WHEN v_{r} = 0 THEN 0.0 ELSE n * (1.0 - q) END)))) AS catch_{r}"
             for r in RULES
         )
         steps.append(f"m{i + 1} AS MATERIALIZED (SELECT least(0.999, greatest(0.001, sum(n * q) / sum(n))) AS prior, {accs} FROM (SELECT t.*, {q('p')} AS q FROM patterns t, m{i} p))")
@@ -170,7 +180,7 @@ def _oracle() -> str:
              (len(text) - len(replace(text, '!', '')))::BIGINT AS n_marks, (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
       FROM base LEFT JOIN r USING (rn)),
     votes AS (SELECT *, {votes} FROM stats),
-    patterns AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL),
+    patterns AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM votes WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
     {', '.join(steps)}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
            NOT failed AND quality >= 0.5 AS kept, round(quality, 4) AS quality

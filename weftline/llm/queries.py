@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, quality_rules
 
-MODULES = (quality_rules,)
+MODULES = (quality_rules, decontaminate)
 
 
 def queries() -> dict:
