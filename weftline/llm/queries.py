@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, language, quality_gam, quality_rules
 
-MODULES = (quality_rules, decontaminate)
+MODULES = (quality_rules, decontaminate, quality_gam, language)
 
 
 def queries() -> dict:
