@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, quality_gam, quality_rules, sentencepiece_codec
+from . import decontaminate, language, pii, quality_gam, quality_rules, sentencepiece_codec
 
-MODULES = (quality_rules, decontaminate, quality_gam, language, sentencepiece_codec)
+MODULES = (quality_rules, decontaminate, pii, quality_gam, language, sentencepiece_codec)
 
 
 def queries() -> dict:
