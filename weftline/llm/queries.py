@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pii, quality_gam, quality_rules, sentencepiece_codec
+from . import bwt_merge, decontaminate, fm_index, language, pii, quality_gam, quality_rules, sentencepiece_codec
 
-MODULES = (quality_rules, decontaminate, pii, quality_gam, language, sentencepiece_codec)
+MODULES = (quality_rules, decontaminate, pii, quality_gam, language, sentencepiece_codec, fm_index, bwt_merge)
 
 
 def queries() -> dict:
