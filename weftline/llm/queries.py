@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bwt_merge, decontaminate, fm_index, language, near_dedup, pii, quality_gam, quality_rules, sentencepiece_codec
+from . import bwt_merge, decontaminate, fm_index, language, near_dedup, pii, pitman_yor, quality_gam, quality_rules, sentencepiece_codec
 
-MODULES = (quality_rules, near_dedup, decontaminate, pii, quality_gam, language, sentencepiece_codec, fm_index, bwt_merge)
+MODULES = (quality_rules, pitman_yor, near_dedup, decontaminate, pii, quality_gam, language, sentencepiece_codec, fm_index, bwt_merge)
 
 
 def queries() -> dict:
