@@ -113,6 +113,13 @@ def apply(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHING
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    bad = apply(docs, items, width, q).where("contaminated").select(F.col("rk").alias("__rk")).distinct()
+    d = docs.select("*", F.xxhash64(F.col("doc_id"), F.col("text")).alias("__rk"))
+    return d.join(bad, "__rk", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rk")
 

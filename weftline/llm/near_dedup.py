@@ -190,10 +190,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return q.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
 
 
+def row_id():
+    """doc_id, or a number from NAMELESS on that stands for the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+
+
 def apply(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and class_id for every row."""
-    nameless = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), nameless).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    component = F.when(F.col("comp") < NAMELESS, F.col("comp"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return judged(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), F.col("c").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of docs, all columns, of every component; rows without words all stay."""
+    rows = materialise(judged(docs, size, percent).where(F.col("id") == F.col("comp")).select("id", "n"))
+    again = rows.where("n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    d = docs.select("*", row_id().alias("__id"))
+    out = d.join(rows.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi")
+    if again.limit(1).count():  # rows that repeat an id
+        again = again.select(F.col("id").alias("__id"))
+        out = out.join(again, "__id", "left_anti").unionByName(out.join(again, "__id", "left_semi").dropDuplicates(["__id"]))
+    return out.select(*docs.columns)
+
+
+def judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, id, n (size of the set), comp (least id of the component) and c (the class) of every row."""
+    d = docs.select("doc_id", row_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = materialise(_sketch(d, size))
     classes = materialise(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("c"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
@@ -217,9 +240,7 @@ def apply(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
 
     named = classes.select("k1", "k2", "c").join(labels, "c", "left").select("k1", "k2", "c", F.coalesce("comp", "c").alias("comp"))
     out = sketch.select("doc_id", "id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp"))
-    component = F.when(component < NAMELESS, component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("c").alias("class_id"))
+    return out.select("doc_id", "id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp")).alias("comp"), "c")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,27 @@ def apply(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     return feats.mapInArrow(run, f"doc_id {dict(feats.dtypes)['doc_id']}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold. Features are counted as rows stream by."""
+    labels = labels.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    n = labels.count()
+    if n > sample:
+        labels = labels.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    # about `sample` ids: bounded, so they may be broadcast
+    few = docs.select("doc_id", "text").join(F.broadcast(labels.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = train(feature_table(few), labels, sample * 2)
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, data, offsets in text_batches(b):
+                good = model.score(features(data, offsets)) >= threshold
+                yield b.slice(row, len(good)).filter(pa.array(good))
+
+    return docs.select(*columns[:at], "text", *columns[at + 1 :]).mapInArrow(run, docs.schema)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~held_out(3, 1)).select("doc_id", F.col("quality").alias("y"))
 
