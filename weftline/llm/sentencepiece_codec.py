@@ -18,6 +18,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,7 @@ class Codec:
     the backend.
     """
 
-    CACHE = 400_000
+    CACHE = 600_000
 
     def __init__(self, raw: bytes, parity: bool = True) -> None:
         self.model = Model(raw)
@@ -167,14 +168,57 @@ class Codec:
             self.plain = self.model.tokenizer()
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([])
+            self.joined = self.model.tokenizer()
+            self.joined.normalizer = normalizers.Sequence([])
+            self.octets = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces], np.int64)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*")
-        self.known: dict[str, tuple[list[int], bool, bool]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: chunk -> row of bounds into ids, and whether it came back and whether both libraries agree."""
+        self.rows: dict[str, int] = {}
+        self.bounds, self.ids = [0], [np.empty(0, np.int32)]
+        self.back, self.same = [], []
+
+    def _keep(self, chunks: list[str], ids: list[list[int]], back: list[bool], same: list[bool]) -> None:
+        at = len(self.rows)
+        self.rows.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids.append(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+        self.bounds += (np.cumsum(size) + self.bounds[-1]).tolist()
+        self.back += back
+        self.same += same
 
     def normal(self, text: str) -> str:
         """The normalised text, markers included; equal to the text with marked spaces if there is no character map."""
         return self.backend.normalizer.normalize_str(text) if self.model.charsmap else MARK + text.replace(" ", MARK)
 
+    #: Chunks to a string when new ones are encoded together.
+    TOGETHER = 2_000
+
     def _learn(self, chunks: list[str]) -> None:
+        """Encode, decode and check new chunks.  Most go to the backend in long strings, which it cuts at the same places;
+        runs of markers, and strings that don't come back whole, go one by one."""
+        plain = [c for c in chunks if c[-1] != MARK and (not self.model.runs or not c.startswith(MARK * (self.model.plain_run + 1)))]
+        alone = [c for c in chunks if c[-1] == MARK or (self.model.runs and c.startswith(MARK * (self.model.plain_run + 1)))]
+        groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
+        strings = ["".join(g) for g in groups]
+        ids = [e.ids for e in self.joined.encode_batch_fast(strings, add_special_tokens=False)]
+        back = self.joined.decode_batch(ids, skip_special_tokens=False)
+        for g, text, i, x in zip(groups, strings, ids, back, strict=True):
+            flat = np.array(i, np.int64)
+            ends = np.cumsum([len(c.encode()) for c in g])
+            cuts = np.searchsorted(np.cumsum(self.octets[flat]), ends, "left") + 1
+            if x != text[1:].replace(MARK, " ") or cuts[-1] != len(i) or (flat == self.model.unk).any():
+                alone += g
+                continue
+            own = [i[s:e] for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            same = self.other.encode([c[1:].replace(MARK, " ") for c in g], num_threads=1) if self.other and not self.model.charsmap else own
+            self._keep(g, own, [True] * len(g), [o == z for o, z in zip(own, same, strict=True)] if same is not own else [True] * len(g))
+        if alone:
+            self._learn_alone(alone)
+
+    def _learn_alone(self, chunks: list[str]) -> None:
         long = self.model.plain_run
         cut = {k: n - 1 for k, c in enumerate(chunks) if self.model.runs and c.startswith(MARK * (long + 1)) and (n := len(c) - len(c.lstrip(MARK)))}
         ids = [e.ids for e in self.plain.encode_batch_fast([c[cut[k] :] if k in cut else c for k, c in enumerate(chunks)], add_special_tokens=False)]
@@ -183,8 +227,7 @@ class Codec:
         # a chunk's own decoding loses the dummy prefix, which is its first marker
         back = self.backend.decode_batch(ids, skip_special_tokens=False)
         same = self.other.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if self.other and not self.model.charsmap else ids
-        for c, i, x, o in zip(chunks, ids, back, same, strict=True):
-            self.known[c] = (i, x == c[1:].replace(MARK, " "), i == o)
+        self._keep(chunks, ids, [x == c[1:].replace(MARK, " ") for c, x in zip(chunks, back, strict=True)], [i == o for i, o in zip(ids, same, strict=True)])
 
     def apply(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """Ids of all texts one after another, their number by text, whether the text came back, whether both libraries agree."""
@@ -193,29 +236,29 @@ class Codec:
             back = self.backend.decode_batch(ids, skip_special_tokens=False)
             agree = [not self.other or i == self.other.encode(x) for i, x in zip(ids, texts, strict=True)]
             return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64), [x == y for x, y in zip(texts, back, strict=True)], agree
-        if len(self.known) > self.CACHE:
-            self.known.clear()
+        if len(self.rows) > self.CACHE:
+            self._forget()
         norm = [self.normal(x) if x else "" for x in texts]
-        chunks = [self.cut.findall(x) for x in norm]
-        distinct: dict[str, int] = {}
-        at = [distinct.setdefault(c, len(distinct)) for x in chunks for c in x]
-        new = [c for c in distinct if c not in self.known]
-        for k in range(0, len(new), 20_000):
-            self._learn(new[k : k + 20_000])
-        got = [self.known[c] for c in distinct]
-        size = np.array([len(g[0]) for g in got], np.int64)
-        flat = np.fromiter((i for g in got for i in g[0]), np.int32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        order = np.array(at, np.int64)
-        n = size[order]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(int(n.sum())) + np.repeat(begin[order] - (ends - n), n)] if len(order) else flat
-        bounds = np.cumsum([0, *(len(x) for x in chunks)])
-        total = np.concatenate([[0], ends])[bounds]
-        bad_back = np.concatenate([[0], np.cumsum(~np.array([g[1] for g in got], bool)[order])]) if len(order) else np.zeros(1, np.int64)
-        bad_same = np.concatenate([[0], np.cumsum(~np.array([g[2] for g in got], bool)[order])]) if len(order) else np.zeros(1, np.int64)
-        back = [bool(x) and (not y or z[1:].replace(MARK, " ") == y) for x, y, z in zip(np.diff(bad_back[bounds]) == 0, texts, norm, strict=True)]
-        return ids, np.diff(total), back, (np.diff(bad_same[bounds]) == 0).tolist()
+        parts = [self.cut.findall(x) for x in norm]
+        cuts = np.cumsum([0, *map(len, parts)])
+        chunks = list(chain.from_iterable(parts))
+        row = np.fromiter(map(self.rows.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(row < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(chunks[k] for k in missing)))
+            row[missing] = [self.rows[chunks[k]] for k in missing]
+        self.ids = [np.concatenate(self.ids)]
+        bounds, back, same = np.array(self.bounds, np.int64), np.array(self.back, bool), np.array(self.same, bool)
+        begin, n = bounds[:-1][row], np.diff(bounds)[row]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[0][np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)]
+        all_of = lambda good: np.diff(np.concatenate([[0], np.cumsum(~good[row])])[cuts]) == 0
+        whole = all_of(back).tolist()
+        if self.model.charsmap:  # the chunks came back, but did normalising change the text?
+            whole = [w and z[1:].replace(MARK, " ") == x for w, x, z in zip(whole, texts, norm, strict=True)]
+        else:
+            whole = [w and MARK not in x for w, x in zip(whole, texts, strict=True)]
+        return ids, np.diff(ends[cuts]), whole, all_of(same).tolist()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         ids, n, _, _ = self.apply([x or "" for x in texts])
