@@ -412,11 +412,38 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]
 
 # ---- scoring -----------------------------------------------------------------------------------
 
-PARTIAL = "rk long, doc long, rows long, tokens long, known long, base double, lm double"
+SUMS = (("rk", "<i8"), ("doc", "<i8"), ("rows", "<i4"), ("tokens", "<i4"), ("known", "<i4"), ("base", "<f8"), ("lm", "<f8"))
+
+
+def _dealt(parts: int, **cols: np.ndarray) -> list[tuple[int, bytes]]:
+    """Sums of texts, packed by the part their rk falls into."""
+    n = len(cols["rk"])
+    where = (mix(cols["rk"].astype(np.int64).view(np.uint64).copy()) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(parts + 1))
+    full = {k: (cols[k] if k in cols else np.zeros(n)).astype(t)[order] for k, t in SUMS}
+    return [(int(k), b"".join(full[f][cuts[k] : cuts[k + 1]].tobytes() for f, _ in SUMS)) for k in np.flatnonzero(np.diff(cuts))]
+
+
+def _summed(key: tuple, group: pa.Table) -> pa.Table:
+    """One part: the sums of each text over all its packed sums."""
+    size, got = sum(np.dtype(t).itemsize for _, t in SUMS), {k: [] for k, _ in SUMS}
+    for blob in group.column("blob"):
+        raw, at = blob.as_buffer(), 0
+        n = raw.size // size
+        for k, t in SUMS:
+            got[k].append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    cols = {k: np.concatenate(v) for k, v in got.items()}
+    rk, at = np.unique(cols["rk"], return_inverse=True)
+    doc = np.full(len(rk), np.iinfo(np.int64).min)
+    own = cols["rows"] > 0
+    doc[at[own]] = cols["doc"][own]
+    out = {"rk": rk, "doc": doc} | {k: np.bincount(at, cols[k], len(rk)) for k, _ in SUMS[2:]}
+    return pa.table([pa.array(out[k].astype(np.float64 if t == "<f8" else np.int64)) for k, t in SUMS], [k for k, _ in SUMS])
 
 
-def _partials(rk, doc, rows, tokens, known, base, lm) -> pa.Table:
-    return pa.table([pa.array(np.asarray(x), t) for x, t in zip((rk, doc, rows, tokens, known, base, lm), [pa.int64()] * 5 + [pa.float64()] * 2, strict=True)], [x.split()[0] for x in PARTIAL.split(", ")])
+PARTIAL = "rk long, doc long, rows long, tokens long, known long, base double, lm double"
 
 
 def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> DataFrame:
@@ -439,12 +466,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
             hit = at >= 0
             known = np.bincount(d[hit], m.hot_counts[at[hit]] > 0, n)
             base, lm = np.bincount(d[hit], log_count[at[hit]], n), np.bincount(d[hit], log_hot[at[hit], u[hit]], n)
-            own = _partials(rk, doc, np.ones(n, np.int64), np.bincount(d, minlength=n), known.astype(np.int64), base, lm)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema) as out:
-                out.write_table(own)
-            # results of this task's own rows are dealt round by a hash of their first row
-            rows = [(-1 - int(abs(int(rk[0])) % (4 * buckets)), sink.getvalue().to_pybytes())]
+            rows = [(-1 - p, blob) for p, blob in _dealt(buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=known, base=base, lm=lm)]
             t, u, d = t[~hit], u[~hit], d[~hit]
             b = (mix(t.copy()) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
@@ -477,7 +499,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         b = key[0].as_py()
         blobs, kinds = group.column("blob"), group.column("kind").to_pylist()
         if b < 0:
-            return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in blobs])
+            return pa.table([pa.array([-1 - b] * len(blobs), pa.int32()), blobs], ["part", "blob"])
         m: Model = shared.value
         rk, n, t, u = [], [], [], []
         w, pu, pc = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -493,7 +515,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
             t.append(np.frombuffer(raw, "<u8", tokens, at + 12 * texts))
             u.append(np.frombuffer(raw, "<u2", tokens, at + 12 * texts + 8 * tokens))
         if not t:
-            return _partials(*([np.empty(0)] * 7))
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "blob"])
         rk, n, t, u = np.concatenate(rk), np.concatenate(n).astype(np.int64), np.concatenate(t), np.concatenate(u).astype(np.int64)
         words, word = _dense(w)
         contexts = len(m.hot) + 2
@@ -520,13 +542,12 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         texts, at = np.unique(rk, return_inverse=True)
         owner = np.repeat(at, n)
         sums = lambda v: np.bincount(owner, v, len(texts))
-        zero = np.zeros(len(texts), np.int64)
-        return _partials(texts, zero, zero, zero, sums(known).astype(np.int64), sums(np.log10(total + 1.0)), sums(np.log10(np.maximum(prob, 1e-300))))
+        rows = _dealt(buckets, rk=texts, known=sums(known), base=sums(np.log10(total + 1.0)), lm=sums(np.log10(np.maximum(prob, 1e-300))))
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     routed = docs.select("rk", "doc", "text").mapInArrow(run, "b int, kind int, blob binary")
     routed = routed.unionByName(pairs.select("b", F.lit(1).alias("kind"), "blob"))
-    parts = routed.groupBy("b").applyInArrow(judge, PARTIAL)
-    return parts.groupBy("rk").agg(F.max("doc").alias("doc"), *[F.sum(x).alias(x) for x in ("rows", "tokens", "known", "base", "lm")])
+    return routed.groupBy("b").applyInArrow(judge, "part int, blob binary").groupBy("part").applyInArrow(_summed, PARTIAL)
 
 
 def apply(docs: DataFrame, training) -> DataFrame:
