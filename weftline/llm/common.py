@@ -7,6 +7,7 @@ Row identity. ``doc_id`` may be null or repeated.  Operators that need a join re
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,18 +45,49 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def drop_table(df_path: str, spark: SparkSession) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialise(df: DataFrame, bucket: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. by: a column with few values that gets folders of its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def drop_part(table_: DataFrame, folder: str) -> None:
+    """Delete one folder of a table written `by` a column, when nothing reads it any more, and let go of finished shuffles."""
+    spark = table_.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{table_._weftline_path}/{folder}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished stages' shuffle files are no longer referred to, so that they go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tidied(run):
+    """`run` for mapInArrow, giving a worker's free memory back at the end of each task: workers live on, and their heaps
+    and Arrow's pool would otherwise stay as large as they ever were."""
+
+    def tidy_after(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidy_after
 
 
 def held_out(modulus: int, remainder: int):
@@ -156,7 +188,7 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def text_batches(batch, column: str = "text", most: int = 4 << 20):
+def text_batches(batch, column: str = "text", most: int = 1 << 20):
     """Slices of an Arrow batch as (first row, byte array, offsets), each of about `most` bytes or one text."""
     import pyarrow as pa
 

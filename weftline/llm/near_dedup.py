@@ -3,12 +3,13 @@
 1. Every document becomes its set of hashed shingles; equal sets are one class, whose representative has the least id.
 2. Signatures of HASHES minima are cut into bands; classes that share a band are candidates.  A pair at the threshold
    0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS, about 5e-6.
-3. In each band's group every member is paired with the least one (a star, never all pairs).  A pair's signatures are
+3. In each band's group every member is paired with the least one and with one drawn by hash (stars, never all pairs).  A pair's signatures are
    compared in batches of BATCH; once the posterior probability of similarity >= threshold (uniform prior) is below
    MISS, the pair is pruned.  Survivors are verified on their full sets.
-4. Components of the verified links are found.  Groups that still hold several components have their pairs across
-   components tested in a second round: members outside a group's largest component against all others.  A pair inside
-   a component can't change the result, so no link that matters is left out, and no group is capped.
+4. Components of the verified links are found.  For members of groups that still hold several components, pairs across
+   components are found by an exact prefix filter over the full sets: only pairs that share a rare shingle and can
+   still reach the threshold are verified.  A pair inside a component can't change the result, so no link that matters
+   is left out, and no group is capped.
 
 Defined results: documents without words have an empty set, link with nothing and are kept; with fewer words than a
 shingle, the whole sequence is the one shingle; a null doc_id never names a component while a number is in it, and its
@@ -24,13 +25,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, materialise, mix, prefix_sums, span_hash, table, text_batches, word_bounds
+from .common import CODES, LOWER, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 HASHES, BATCH, MISS = BANDS * ROWS, 16, 1e-7
+#: Longest prefix whose shingles are carried into the exact round's join.
+CARRIED = 256
 #: Ids of rows without doc_id start here.
 NAMELESS = 1 << 62
 
@@ -106,7 +110,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 count = len(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, count), batch.column(1).slice(row, count), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "id", "n", "k1", "k2", "sig"])
 
-    return docs.select("doc_id", "id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, id long, n long, k1 long, k2 long, sig binary")
+    return docs.select("doc_id", "id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, id long, n long, k1 long, k2 long, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -119,7 +123,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 g = mix(g ^ (sig[:, :, k] + np.uint64(0x9E3779B97F4A7C15)))
             yield pa.RecordBatch.from_arrays([pa.array(g.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["g", "c"])
 
-    return classes.select("c", "sig").mapInArrow(run, "g long, c long")
+    return classes.select("c", "sig").mapInArrow(tidied(run), "g long, c long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,6 +147,55 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("c"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("c"), F.col("b").alias("comp")).distinct())
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (g, c, comp) of groups that hold several components."""
+    m = members.select("g", "c").join(labels, "c", "left").select("g", "c", F.coalesce("comp", "c").alias("comp"))
+    mixed = m.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
+    return materialise(m.join(mixed, "g"))
+
+
+def _largest(m: DataFrame, by: str) -> DataFrame:
+    return m.groupBy(by, "comp").agg(F.count("*").alias("k")).groupBy(by).agg(F.max(F.struct("k", "comp")).alias("x")).select(by, F.col("x.comp").alias("largest"))
+
+
+def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (c, comp) of different components that can reach the threshold, by an exact prefix filter.
+
+    Shingles are ordered by how many members hold them.  Two sets at the threshold share one of the first n - ceil(p n) + 1
+    of each; at any shared shingle, what can be shared before it (shingles only one member holds can't) and after it must
+    add up to the least overlap.
+    """
+    need = members.join(classes.select("c", "k1", "k2"), "c")
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in text_batches(batch, "text"):
+                sets = list(shingle_sets(data, offsets, size))
+                for k, s in enumerate(sets, row):
+                    if set_key(s) == (batch.column(3)[k].as_py(), batch.column(4)[k].as_py()):
+                        n = len(s)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.full(n, batch.column(1)[k].as_py())), pa.array(np.full(n, n)), pa.array(s.view(np.int64))], ["c", "comp", "n", "sh"])
+
+    rows = docs.join(need, docs["id"] == need["c"]).select("c", "comp", "text", "k1", "k2").mapInArrow(tidied(unfold), "c long, comp long, n long, sh long")
+    rows = materialise(rows.distinct())
+    held = rows.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = rows.join(held, "sh", "left").select("c", "comp", "n", "sh", F.coalesce("k", F.lit(1)).alias("k"))
+    order = Window.partitionBy("c").orderBy("k", "sh")
+    ranked = ranked.withColumn("pos", F.row_number().over(order)).withColumn("shared", F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = materialise(ranked.where(f"k > 1 AND pos <= n - ({percent} * n + 99) DIV 100 + 1").drop("k"))
+    several = prefix.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sh")
+    prefix = materialise(prefix.join(several, "sh"))
+    # with both prefixes at hand a pair is found once, at its first common shingle; longer prefixes are not carried along
+    lists = prefix.groupBy("c").agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("pos", "sh"))).alias("p")).where(F.col("k") <= CARRIED).select("c", F.col("p.sh").alias("p"))
+    prefix = prefix.join(lists, "c", "left")
+    outside = prefix.join(_largest(prefix, "sh"), "sh").where("comp <> largest").select("sh", *[F.col(x).alias(f"{x}_1") for x in ("c", "comp", "n", "pos", "shared", "p")])
+    least = f"({percent} * (n + n_1) + {percent} + 99) DIV {100 + percent}"
+    bound = f"least(shared, shared_1) + least(n - pos, n_1 - pos_1) >= {least}"
+    first = f"(p IS NULL OR p_1 IS NULL OR (1 + least(n - pos, n_1 - pos_1) >= {least} AND array_intersect(p, p_1)[0] = sh))"
+    found = outside.join(prefix, "sh").where(f"comp <> comp_1 AND 100 * least(n, n_1) >= {percent} * greatest(n, n_1) AND {bound} AND {first}")
+    return found.select(F.least("c", "c_1").alias("a"), F.greatest("c", "c_1").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose full sets reach the threshold."""
     least = least_matches(percent / 100)
@@ -158,7 +211,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     p = p.join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     # sizes alone can rule a pair out
     p = p.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    p = materialise(p.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"))
+    p = materialise(p.select("a", "b", "sa", "sb").mapInArrow(tidied(prune), "a long, b long"))
 
     needed = p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "k1", "k2"), "c")
 
@@ -173,7 +226,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                         blobs.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["c", "s"])
 
-    full = docs.join(needed, docs["id"] == needed["c"]).select("c", "text", "k1", "k2").mapInArrow(sets, "c long, s binary")
+    full = docs.join(needed, docs["id"] == needed["c"]).select("c", "text", "k1", "k2").mapInArrow(tidied(sets), "c long, s binary")
     full = materialise(full.dropDuplicates(["c"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +240,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
     q = p.join(full.select(F.col("c").alias("a"), F.col("s").alias("xa")), "a").join(full.select(F.col("c").alias("b"), F.col("s").alias("xb")), "b")
-    return q.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
+    return q.select("a", "b", "xa", "xb").mapInArrow(tidied(verify), "a long, b long")
 
 
 def row_id():
@@ -221,22 +274,21 @@ def judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = materialise(sketch.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("c"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     bands = _bands(classes)
-    groups = bands.groupBy("g").agg(F.count("*").alias("k"), F.min("c").alias("hub")).where("k > 1").select("g", "hub")
+    groups = bands.groupBy("g").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.min(F.struct(F.xxhash64(F.lit(5), "c"), "c"))["c"].alias("y")).where("k > 1").select("g", "x", "y")
     members = materialise(bands.join(groups, "g"))
-    star = materialise(members.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
+    star = members.select(F.explode(F.array("x", "y")).alias("h"), "c").where("c <> h").select(F.least("h", "c").alias("a"), F.greatest("h", "c").alias("b"))
+    star = materialise(star.distinct())
     links = materialise(_verified(star, classes, d, size, percent))
 
     labels = components(links)
-    m = members.select("g", "c").join(labels, "c", "left").select("g", "c", F.coalesce("comp", "c").alias("comp"))
-    mixed = m.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    m = materialise(m.join(mixed, "g"))
-    largest = m.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("x")).select("g", F.col("x.comp").alias("largest"))
-    outside = m.join(largest, "g").where("comp <> largest").select("g", F.col("c").alias("x"), F.col("comp").alias("cx"))
-    across = outside.join(m, "g").where("cx <> comp").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-    across = materialise(across.join(star, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        links = links.unionByName(materialise(_verified(across, classes, d, size, percent)))
-        labels = components(links)
+    m = _mixed(members, labels)
+    # what is left, exactly: members of mixed groups that share a rare shingle across components
+    left = materialise(m.select("c", "comp").distinct())
+    if left.limit(1).count():
+        across = materialise(_prefix_pairs(left, classes, d, size, percent).join(star, ["a", "b"], "left_anti"))
+        if across.limit(1).count():
+            links = links.unionByName(materialise(_verified(across, classes, d, size, percent)))
+            labels = components(links)
 
     named = classes.select("k1", "k2", "c").join(labels, "c", "left").select("k1", "k2", "c", F.coalesce("comp", "c").alias("comp"))
     out = sketch.select("doc_id", "id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
