@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, table, tidied
 
 SAMPLE, MOST_WORDS, MOST_GRAMS, N = 1_500, 60_000, 60_000, 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,7 +38,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             rows = list(out)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([out[r] for r in rows], pa.int64())], ["lang", "word", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def sample_of(docs: DataFrame, per_language: int) -> DataFrame:
@@ -136,7 +136,7 @@ def apply(docs: DataFrame, model: Backoff) -> DataFrame:
             got = [m.score(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -453,7 +453,7 @@ def apply(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPANS}")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, model: Tagger | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -479,7 +479,7 @@ def redact(docs: DataFrame, model: Tagger | None = None, columns: list[str] | No
             cols = [pa.array(out, pa.string()) if k == at_text else b.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, columns)
 
-    return docs.select(*columns).mapInArrow(run, docs.select(*columns).schema)
+    return docs.select(*columns).mapInArrow(tidied(run), docs.select(*columns).schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

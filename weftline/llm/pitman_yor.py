@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, word_bounds
+from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
 
 HOT, CHAINS, ROUNDS, SWEEPS, SEATED = 1024, 3, 1, 2, 64
 STRENGTH = 1.0
@@ -75,7 +75,7 @@ def frequent(docs: DataFrame, hot: int = HOT) -> tuple[np.ndarray, int]:
                 words, counts = words[keep], counts[keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(words, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, total))], ["w", "n"])
 
-    got = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     got = materialise(got)
     total = (got.where("w = 0").first() or {"n": 0})["n"]
     words = [r["w"] for r in got.where((F.col("w") != 0) & (F.col("n") * hot >= total)).collect()] if total else []
@@ -308,7 +308,7 @@ def _route_counts(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield send()
 
-    return docs.select("text").mapInArrow(run, "b int, blob binary")
+    return docs.select("text").mapInArrow(tidied(run), "b int, blob binary")
 
 
 def _gather(key: tuple, group: pa.Table) -> pa.Table:
@@ -336,7 +336,7 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]
                 w, u, c = unpack_pairs(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(u), pa.array(c)], ["w", "u", "c"])
 
-    hot_rows = both.where("b < 0").select("blob").mapInArrow(unfold, "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c")).orderBy("w", "u").toArrow()
+    hot_rows = both.where("b < 0").select("blob").mapInArrow(tidied(unfold), "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c")).orderBy("w", "u").toArrow()
     hw, hu, hc = (hot_rows[k].to_numpy().astype(np.int64) for k in ("w", "u", "c"))
     hot_word, hot_at = _dense(hw)
 
@@ -349,7 +349,7 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]
 
     totals = Totals(len(hot) + 2)
     sums = np.zeros(7)
-    first = pairs.mapInArrow(stats, "kind int, k long, v double").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()
+    first = pairs.mapInArrow(tidied(stats), "kind int, k long, v double").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()
     for kind, k, v in [(r["kind"], r["k"], r["v"]) for r in first] + (_stats(hot_at, hu, hc) if len(hw) else []):
         if kind == 0:
             totals.customers[k] += v
@@ -379,7 +379,7 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]
                         keys = np.concatenate([k, [-1, -2]])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chain, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.concatenate([n[k], [pc.sum(), pt.sum()]]).astype(np.float64))], ["chain", "k", "v"])
 
-        got = [(r["chain"], r["k"], r["v"]) for r in pairs.mapInArrow(seat, "chain int, k long, v double").groupBy("chain", "k").agg(F.sum("v").alias("v")).collect()]
+        got = [(r["chain"], r["k"], r["v"]) for r in pairs.mapInArrow(tidied(seat), "chain int, k long, v double").groupBy("chain", "k").agg(F.sum("v").alias("v")).collect()]
         for chain in range(CHAINS):
             if len(hw):
                 t, pc, pt = hot_sample(chain)
@@ -545,7 +545,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         rows = _dealt(buckets, rk=texts, known=sums(known), base=sums(np.log10(total + 1.0)), lm=sums(np.log10(np.maximum(prob, 1e-300))))
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
-    routed = docs.select("rk", "doc", "text").mapInArrow(run, "b int, kind int, blob binary")
+    routed = docs.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
     routed = routed.unionByName(pairs.select("b", F.lit(1).alias("kind"), "blob"))
     return routed.groupBy("b").applyInArrow(judge, "part int, blob binary").groupBy("part").applyInArrow(_summed, PARTIAL)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CODES, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, word_bounds
+from .common import CODES, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
 
 SAMPLE = 30_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -98,7 +98,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 f = features(data, offsets)
                 yield pa.RecordBatch.from_arrays([ids.slice(row, len(f)), *(pa.array(f[:, k]) for k in range(f.shape[1]))], ["doc_id", *FEATURES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"`{x}` float" for x in FEATURES))
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"`{x}` float" for x in FEATURES))
 
 
 class Additive:
@@ -229,7 +229,7 @@ def apply(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return feats.mapInArrow(run, f"doc_id {dict(feats.dtypes)['doc_id']}, score double, predicted int")
+    return feats.mapInArrow(tidied(run), f"doc_id {dict(feats.dtypes)['doc_id']}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -250,7 +250,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample
                 good = model.score(features(data, offsets)) >= threshold
                 yield b.slice(row, len(good)).filter(pa.array(good))
 
-    return docs.select(*columns[:at], "text", *columns[at + 1 :]).mapInArrow(run, docs.schema)
+    return docs.select(*columns[:at], "text", *columns[at + 1 :]).mapInArrow(tidied(run), docs.schema)
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

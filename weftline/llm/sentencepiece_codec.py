@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidied
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -151,7 +151,7 @@ class Codec:
     the backend.
     """
 
-    CACHE = 600_000
+    CACHE = 300_000
 
     def __init__(self, raw: bytes, parity: bool = True) -> None:
         self.model = Model(raw)
@@ -227,6 +227,8 @@ class Codec:
         # a chunk's own decoding loses the dummy prefix, which is its first marker
         back = self.backend.decode_batch(ids, skip_special_tokens=False)
         same = self.other.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if self.other and not self.model.charsmap else ids
+        if self.other and MARK in chunks:  # one marker has no text of its own: a space at the end of a text
+            same[chunks.index(MARK)] = [self.other.piece_to_id(MARK)]
         self._keep(chunks, ids, [x == c[1:].replace(MARK, " ") for c, x in zip(chunks, back, strict=True)], [i == o for i, o in zip(ids, same, strict=True)])
 
     def apply(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
@@ -296,8 +298,9 @@ def apply(docs: DataFrame, model: bytes, parity: bool = True) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), lists, pa.array(back, pa.bool_()), pa.array(agree, pa.bool_())], ["doc_id", "ids", "round_trip", "parity"])
                 start = stop
+        c._forget()  # the worker lives on
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, round_trip boolean, parity boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, round_trip boolean, parity boolean")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
@@ -309,7 +312,7 @@ def digest(encoded: DataFrame) -> DataFrame:
             hashes = [hashlib.sha256(flat[s:e].astype("<i4").tobytes()).hexdigest() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(hashes), b.column(2), b.column(3)], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity"])
 
-    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
+    return encoded.mapInArrow(tidied(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, round_trip boolean, parity boolean")
 
 
 def default_model() -> bytes:
