@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CODES, materialise, mix, prefix_sums, sliding_argmin, span_hash, text_batches, word_bounds
+from .common import CODES, drop_part, materialise, mix, prefix_sums, release, sliding_argmin, span_hash, text_batches, tidied, word_bounds
 
 #: Contexts of one anchor in one task that are reported; in sum that make it wide; and the share of all segments above which it is.
 REPORT, WIDE, WIDE_SHARE = 64, 8_192, 1e-5
-#: Units worked on at once, and segments kept in a task before they are sent on.
-CHUNK, FLUSH = 1 << 21, 1_200_000
+#: Units worked on at once, segments kept in a task before they are sent on, and octets of text taken at once.
+CHUNK, FLUSH, PIECE = 1 << 19, 400_000, 1 << 20
 FIELDS = (("m", "<u4"), ("ch", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("n", "<u2"), ("multi", "u1"))
 OCCURRENCE = "b int, m long, ch long, doc long, tag int, start long, n int, rep boolean, single boolean, solo boolean, wide boolean"
 
@@ -108,7 +108,14 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int) -> Dat
     def send(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         held.clear()
-        order = np.lexsort((c["start"], c["doc"], c["ch"], c["anchor"]))
+        # by anchor and content; the order of places inside does not matter, _repeated sorts them
+        order = np.argsort(c["anchor"])
+        a = c["anchor"][order]
+        twice = np.zeros(len(a), bool)
+        twice[1:] = a[1:] == a[:-1]
+        twice[:-1] |= a[1:] == a[:-1]
+        some = np.flatnonzero(twice)  # only anchors that occur again need their contents in order
+        order[some] = order[some][np.lexsort((c["start"][order[some]], c["doc"][order[some]], c["ch"][order[some]], a[some]))]
         c = {k: v[order] for k, v in c.items()}
         at = _groups(c["anchor"], c["ch"])
         count = np.diff(np.append(at, len(order)))
@@ -140,7 +147,7 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int) -> Dat
         size = 0
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_batches(batch):
+            for row, data, offsets in text_batches(batch, most=PIECE):
                 codes, limits = units_of(data, offsets, unit)
                 start, n, anchor, ch = segments(codes, limits, width, gram)
                 if not len(start):
@@ -154,7 +161,7 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int) -> Dat
         if held:
             yield from send(held)
 
-    return docs.mapInArrow(run, "b int, kind int, blob binary")
+    return docs.mapInArrow(tidied(run), "b int, kind int, blob binary")
 
 
 def _rows(b: int | np.ndarray, c: dict[str, np.ndarray], **flags) -> pa.RecordBatch:
@@ -190,14 +197,14 @@ def _repeated(key: tuple, group: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: Callable, with_place: bool, index_solo: bool, output: Callable, schema: str) -> DataFrame:
     """`output(ids, texts, spans)` for all rows of docs, spans being sorted arrays (start, end) of units that windows starting earlier cover.
 
-    shard(contents, docs, starts) gives for each content the first (doc, start) of each of its windows.  with_place: a
+    shard(contents, docs, starts, anchors) gives for each content the first (doc, start) of each of its windows.  with_place: a
     window of the same document counts if it starts earlier; otherwise only smaller doc_ids count.
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
     buckets = max(16, 8 * d.rdd.getNumPartitions())
-    cut = materialise(_cut(d.select("doc", "text", "tag"), unit, width, gram, buckets))
+    cut = materialise(_cut(d.select("doc", "text", "tag"), unit, width, gram, buckets), "kind")
 
     # anchors with too many contexts for one shard
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +212,7 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64))], ["b", "m", "n"])
 
-    heavy = cut.where("kind = 2").select("b", "blob").mapInArrow(told, "b int, m long, n long").groupBy("b", "m").agg(F.sum("n").alias("n")).where(F.col("n") >= WIDE)
+    heavy = cut.where("kind = 2").select("b", "blob").mapInArrow(tidied(told), "b int, m long, n long").groupBy("b", "m").agg(F.sum("n").alias("n")).where(F.col("n") >= WIDE)
     record = sum(np.dtype(t).itemsize for _, t in FIELDS)
     total = cut.where("kind = 0").agg(F.sum(F.octet_length("blob"))).first()[0] or 0
     least = max(WIDE, WIDE_SHARE * total / record)  # so at most 1 / WIDE_SHARE anchors come to the driver
@@ -233,43 +240,46 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
                         blobs[k] = pack({f: v[near] for f, v in c.items()})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["b", "blob"])
 
-    near = cut.where("kind = 0").select("b", "blob").mapInArrow(narrow, "b int, blob binary").groupBy("b").applyInArrow(_repeated, OCCURRENCE)
+    near = cut.where("kind = 0").select("b", "blob").mapInArrow(tidied(narrow), "b int, blob binary").groupBy("b").applyInArrow(_repeated, OCCURRENCE)
     near = materialise(near)
-    later = cut.where("kind = 1" if not wide_list else "kind < 2").mapInArrow(waiting, OCCURRENCE)
+    if not wide_list:
+        drop_part(cut, "kind=0")
+    later = cut.where("kind = 1" if not wide_list else "kind < 2").select("b", "kind", "blob").mapInArrow(tidied(waiting), OCCURRENCE)
 
     # units of the representatives, read from their documents
     wanted = near.where("rep" if index_solo else "rep AND NOT solo")
-    wanted = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("b", "ch", "start", "n")).alias("w"))
+    wanted = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("b", "m", "ch", "start", "n")).alias("w"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in text_batches(batch, "text"):
+            for row, data, offsets in text_batches(batch, "text", PIECE):
                 codes, limits = units_of(data, offsets, unit)
                 # the bytes themselves, or the words' 64-bit codes
                 buffer, size = (data.tobytes(), 1) if unit == "bytes" else (codes.tobytes(), 8)
-                bs, chs, ds, ss, cs = [], [], [], [], []
+                bs, ms, chs, ds, ss, cs = [], [], [], [], [], []
                 for k in range(len(offsets) - 1):
                     doc, base = batch.column(0)[row + k].as_py(), int(limits[k])
                     for w in batch.column(2)[row + k].as_py():
                         at = base + w["start"]
                         bs.append(w["b"])
+                        ms.append(w["m"])
                         chs.append(w["ch"])
                         ds.append(doc)
                         ss.append(w["start"])
                         cs.append(buffer[at * size : (at + w["n"]) * size])
-                yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(chs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.int64()), pa.array(cs, pa.binary())], ["b", "ch", "doc", "start", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(ms, pa.int64()), pa.array(chs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.int64()), pa.array(cs, pa.binary())], ["b", "m", "ch", "doc", "start", "content"])
 
     contents = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "text", "w")
-    contents = contents.mapInArrow(read, "b int, ch long, doc long, start long, content binary")
+    contents = contents.mapInArrow(tidied(read), "b int, m long, ch long, doc long, start long, content binary")
 
     def index(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         docs_, starts = group.column("doc").to_numpy(), group.column("start").to_numpy()
-        ch = group.column("ch").to_numpy()
+        ch, anchor = group.column("ch").to_numpy(), group.column("m").to_numpy()
         once = np.unique(ch, return_index=True)[1]  # rows repeated in the table give a representative twice
         raw = group.column("content")
         size = np.uint8 if unit == "bytes" else np.uint64
-        found = shard([np.frombuffer(raw[int(k)].as_py(), size) for k in once], docs_[once], starts[once])
+        found = shard([np.frombuffer(raw[int(k)].as_py(), size) for k in once], docs_[once], starts[once], anchor[once])
         out = [[], [], [], [], []]
         for k, (doc, place) in zip(once, found, strict=True):
             j = np.arange(len(doc))
@@ -285,6 +295,10 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
     runs = contents.groupBy("b").applyInArrow(index, "b int, ch long, lo long, hi long, first long, place long")
     if not index_solo:  # the only content of its anchor: all its windows first start in its first occurrence
         runs = runs.unionByName(near.where("rep AND solo").select("b", "ch", F.lit(0).cast("long").alias("lo"), (F.col("n") - width + 1).cast("long").alias("hi"), F.col("doc").alias("first"), F.col("start").alias("place")))
+    # written, so that the texts shuffled for the shards are gone before they are shuffled for the result
+    runs = materialise(runs)
+    del contents, wanted
+    release(spark)
     everywhere = near.unionByName(later.where("NOT wide")) if wide_list else near.unionByName(later)
     occurrences = everywhere.select("b", "ch", "doc", "tag", "start")
     earlier = (F.col("first") < F.col("doc")) | ((F.col("first") == F.col("doc")) & (F.col("place") < F.col("start") + F.col("lo"))) if with_place else F.col("first") < F.col("doc")
@@ -293,7 +307,9 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
     if wide_list:
         spans = spans.unionByName(_wide_spans(d, later.where("wide"), unit, width, with_place))
     # neighbouring spans of one segment are united here, all others by output()
-    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = materialise(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
+    del occurrences, everywhere
+    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +331,7 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
                 yield output(ids.slice(at, 512), texts.slice(at, 512).to_pylist(), unions)
 
     out = d.select("doc_id", "doc", "tag", "text").join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(finish, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
+    return out.mapInArrow(tidied(finish), f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
 
 
 def _wide_spans(d: DataFrame, wide: DataFrame, unit: str, width: int, with_place: bool) -> DataFrame:
@@ -324,7 +340,7 @@ def _wide_spans(d: DataFrame, wide: DataFrame, unit: str, width: int, with_place
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in text_batches(batch, "text"):
+            for row, data, offsets in text_batches(batch, "text", PIECE):
                 codes, limits = units_of(data, offsets, unit)
                 sums = prefix_sums(codes)
                 for k in range(len(offsets) - 1):
@@ -333,7 +349,7 @@ def _wide_spans(d: DataFrame, wide: DataFrame, unit: str, width: int, with_place
                     n = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, batch.column(0)[row + k].as_py())), pa.array(np.full(n, batch.column(1)[row + k].as_py(), np.int32)), pa.array(at.astype(np.int64))], ["h", "doc", "tag", "s"])
 
-    windows = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "w").mapInArrow(read, "h long, doc long, tag int, s long")
+    windows = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "w").mapInArrow(tidied(read), "h long, doc long, tag int, s long")
     first = windows.groupBy("h").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", F.col("f.doc").alias("first"), F.col("f.s").alias("place"))
     found = windows.join(first, "h")
     found = found.where("first < doc OR (first = doc AND place < s)" if with_place else "first < doc")

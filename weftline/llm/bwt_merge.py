@@ -1,8 +1,8 @@
 """Suffix-array dedup by merging Burrows-Wheeler transforms.
 
 A shard sorts the suffixes of its own texts once.  Two shards are merged without sorting again: the interleave starts
-as all of the first before all of the second and is refined symbol by symbol, each round a stable distribution of the
-interleave by the transforms' symbols; after k rounds it is ordered by the first k symbols.  It stops when it no longer
+as all of the first before all of the second and is refined by a few symbols a round, each round a stable distribution of
+the interleave by the transforms' symbols; it is then ordered by so many symbols more.  It stops when it no longer
 changes or the window is reached.  Neighbours of the merged order that share a whole window form a repeated interval.
 
 Query op10: texts are UTF-8 bytes, windows have 100 bytes.  Byte 0xFF, which UTF-8 never holds, ends a text inside a
@@ -16,7 +16,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import repeated_windows
@@ -28,12 +27,39 @@ END = 0xFF
 PART = 1 << 19
 
 
+def octads(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, in the order of bytes."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+    return out
+
+
+def _ranked(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(order), np.int64)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 class Transform:
-    """Texts joined with END, their suffix order (by the first `depth` symbols at least) and its BWT."""
+    """Texts joined with END, and their suffix order (by the first `depth` symbols at least)."""
 
     def __init__(self, text: np.ndarray, suffixes: np.ndarray) -> None:
         self.text, self.suffixes = text, suffixes
-        self.bwt = text[suffixes - 1]
+
+    @property
+    def bwt(self) -> np.ndarray:
+        return self.text[self.suffixes - 1]
+
+    def grams(self, codes: np.ndarray, q: int, base: int) -> np.ndarray:
+        """The q symbols before each suffix as one 16-bit number, the farthest first."""
+        out = np.zeros(len(self.text), np.uint16)
+        for k in range(q, 0, -1):
+            out = out * np.uint16(base) + codes[np.roll(self.text, k)]
+        return out[self.suffixes]
 
     @classmethod
     def of(cls, texts: list[np.ndarray], depth: int) -> Transform:
@@ -42,66 +68,62 @@ class Transform:
         for t in texts:
             text[at : at + len(t)] = t
             at += len(t) + 1
-        # eight bytes at a time for the first ranks
-        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-        key = np.zeros(len(text), np.uint64)
-        for k in range(8):
-            key = (key << np.uint64(8)) | padded[k : k + len(text)]
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(len(text), np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(new)
-        ranks = rank
-        step = 8
+        key = octads(text)  # eight bytes at a time for the first ranks
+        order = np.argsort(key)
+        rank, step = _ranked(order, key), 8
         while step < depth:
             ahead = np.zeros(len(text), np.int64)
-            ahead[: max(0, len(text) - step)] = ranks[step:] + 1
-            order = np.argsort((ranks << 32) | ahead, kind="stable")
-            a, b = ranks[order], ahead[order]
-            new = np.zeros(len(text), np.int64)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            ranks = np.empty(len(text), np.int64)
-            ranks[order] = np.cumsum(new)
-            step *= 2
+            ahead[: max(0, len(text) - step)] = rank[step:] + 1
+            key = (rank << 32) | ahead
+            order = np.argsort(key)
+            rank, step = _ranked(order, key), step * 2
         return cls(text, order)
 
 
-def interleave(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
-    """Which transform each suffix of the merged order comes from, ordered by `rounds` symbols."""
-    z = np.concatenate([np.zeros(len(a), bool), np.ones(len(b), bool)])
-    c = np.empty(len(z), np.uint8)
-    for _ in range(rounds):
-        c[~z] = a
-        c[z] = b
-        refined = z[np.argsort(c, kind="stable")]
+def interleave(a: Transform, b: Transform, symbols: int) -> np.ndarray:
+    """Which transform each suffix of the merged order comes from, ordered by `symbols` symbols at least.
+
+    A round refines by as many symbols as fit into 16 bits: the symbols before each suffix, taken from the transforms in
+    the order of the interleave so far, distribute it stably."""
+    used = np.flatnonzero(np.bincount(a.text, minlength=256) + np.bincount(b.text, minlength=256))
+    codes = np.zeros(256, np.uint16)
+    codes[used] = np.arange(len(used))
+    base = max(2, len(used))
+    q = max(q for q in (1, 2, 3, 4, 5) if base**q <= 1 << 16)
+    grams = np.concatenate([a.grams(codes, q, base), b.grams(codes, q, base)])
+    n = len(a.suffixes)
+    z = np.zeros(len(grams), bool)
+    z[n:] = True
+    place = np.arange(len(grams), dtype=np.int32)
+    for _ in range(0, symbols, q):
+        ones = np.cumsum(z, dtype=np.int32)
+        refined = z[np.argsort(grams[np.where(z, ones + np.int32(n - 1), place - ones)], kind="stable")]
         if np.array_equal(refined, z):
             break
         z = refined
     return z
 
 
-def merge(a: Transform, b: Transform, rounds: int) -> Transform:
-    z = interleave(a.bwt, b.bwt, rounds)
+def merge(a: Transform, b: Transform, symbols: int) -> Transform:
+    z = interleave(a, b, symbols)
     suffixes = np.empty(len(z), np.int64)
     suffixes[~z] = a.suffixes
     suffixes[z] = b.suffixes + len(a.text)
     return Transform(np.concatenate([a.text, b.text]), suffixes)
 
 
-def merged(texts: list[np.ndarray], depth: int, part: int = PART) -> Transform:
-    """Shards of about `part` bytes, sorted one by one and merged pairwise."""
-    shards, held, size = [], [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t) + 1
-        if size >= part:
-            shards.append(Transform.of(held, depth))
-            held, size = [], 0
-    if held:
-        shards.append(Transform.of(held, depth))
+def subset(t: Transform, lengths: np.ndarray, keep: np.ndarray) -> Transform:
+    """The transform of some of t's texts, by leaving the others out of its order."""
+    size = lengths + 1
+    octets = np.repeat(keep, size)
+    place = np.cumsum(octets) - 1
+    return Transform(t.text[octets], place[t.suffixes[octets[t.suffixes]]])
+
+
+def merged(shards: list[Transform], symbols: int) -> Transform:
+    """Pairwise, until one is left."""
     while len(shards) > 1:
-        shards = [merge(shards[k], shards[k + 1], depth) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
+        shards = [merge(shards[k], shards[k + 1], symbols) if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
     return shards[0]
 
 
@@ -110,36 +132,64 @@ def repeated_intervals(t: Transform, places: np.ndarray, width: int) -> tuple[np
     wanted = np.zeros(len(t.text), bool)
     wanted[places] = True
     order = t.suffixes[wanted[t.suffixes]]
-    new = np.ones(len(order), np.int64)
-    if len(order):
-        windows = sliding_window_view(t.text, width)
-        new[0] = 0
-        for k in range(1, len(order), 1 << 14):
-            to = min(len(order), k + (1 << 14))
-            new[k:to] = (windows[order[k:to]] != windows[order[k - 1 : to - 1]]).any(axis=1)
+    new = np.zeros(len(order), np.int64)
+    same = np.arange(1, len(order))  # pairs of neighbours that agree so far
+    key = octads(t.text)
+    for k in (*range(0, width - 7, 8), *([width - 8] if width % 8 else [])):
+        differ = key[order[same] + k] != key[order[same - 1] + k]
+        new[same[differ]] = 1
+        same = same[~differ]
     return order, np.cumsum(new)
 
 
-def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First (doc, place) of each window of each content."""
-    half = max(1, sum(map(len, contents)) // 2 + 1)
-    t = merged(contents, WINDOW, min(PART, half))
+def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First (doc, place) of each window of each content.
+
+    Contents are dealt to shards by document, each with a transform of its own.  Windows with different anchors can't be
+    equal, so what goes into the merge are the texts whose anchor occurs in several shards."""
     lengths = np.array([len(c) for c in contents], np.int64)
-    begin = np.cumsum(lengths + 1) - lengths - 1
     windows = lengths - WINDOW + 1
     first = np.cumsum(windows) - windows
-    offset = np.arange(int(windows.sum())) - np.repeat(first, windows)
-    places = np.repeat(begin, windows) + offset
-    order, group = repeated_intervals(t, places, WINDOW)
-    owner = np.searchsorted(begin, order, "right") - 1
-    at = starts[owner] + order - begin[owner]
     ids, rank = np.unique(docs, return_inverse=True)
-    value = (rank[owner] << 40) | at
-    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.minimum.reduceat(value, bounds)[group]
-    by_place = np.empty(len(order), np.int64)
-    by_place[first[owner] + order - begin[owner]] = least
-    doc, place = ids[by_place >> 40], by_place & ((1 << 40) - 1)
+    least = np.empty(int(windows.sum()), np.int64)
+
+    order = np.argsort(docs, kind="stable")
+    total = np.cumsum(lengths[order] + 1)
+    count = min(len(contents), max(2, -(-int(total[-1]) // PART)))
+    part = np.empty(len(contents), np.int64)
+    part[order] = np.minimum((total - 1) * count // total[-1], count - 1)
+    pairs = np.unique(np.stack([anchors, part], axis=1), axis=0)
+    several, times = np.unique(pairs[:, 0], return_counts=True)
+    shared = np.isin(anchors, several[times > 1])
+
+    def collect(t: Transform, own: np.ndarray, wanted: np.ndarray) -> None:
+        """Least (doc, place) of the windows of t's texts `own` (all in t's order) that are wanted."""
+        begin = np.cumsum(lengths[own] + 1) - lengths[own] - 1
+        w = windows[own] * wanted
+        offset = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        at, group = repeated_intervals(t, np.repeat(begin, w) + offset, WINDOW)
+        if not len(at):
+            return
+        k = np.searchsorted(begin, at, "right") - 1
+        inside = at - begin[k]
+        value = (rank[own[k]] << 40) | (starts[own[k]] + inside)
+        bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least[first[own[k]] + inside] = np.minimum.reduceat(value, bounds)[group]
+
+    subsets, owners = [], []
+    for p in range(count):
+        own = order[part[order] == p]
+        if not len(own):
+            continue
+        t = Transform.of([contents[k] for k in own], WINDOW)
+        collect(t, own, ~shared[own])
+        if shared[own].any():
+            subsets.append(subset(t, lengths[own], shared[own]))
+            owners.append(own[shared[own]])
+    if subsets:
+        own = np.concatenate(owners)
+        collect(merged(subsets, WINDOW), own, np.ones(len(own), bool))
+    doc, place = ids[least >> 40], least & ((1 << 40) - 1)
     cuts = np.cumsum(windows)[:-1]
     return list(zip(np.split(doc, cuts), np.split(place, cuts), strict=True))
 

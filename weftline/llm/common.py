@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -65,9 +66,13 @@ def drop_part(table_: DataFrame, folder: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished stages' shuffle files are no longer referred to, so that they go."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver notice that finished stages' shuffle files are no longer referred to, so that they go.
+
+    The first round frees what Python still names in the JVM, the second what that referred to."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def tidied(run):

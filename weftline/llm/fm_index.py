@@ -177,7 +177,7 @@ class FMIndex:
         return np.minimum.reduceat(v, self.group_start[:-1])
 
 
-def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """First doc of each window of each content (the place is not asked for)."""
     flat = np.concatenate(contents)
     words, symbols = np.unique(flat, return_inverse=True)
