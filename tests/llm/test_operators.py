@@ -118,6 +118,23 @@ def test_pitman_yor_probabilities_add_up():
             assert q.sum() + t.escape(chain)[k] * t.parent(chain, np.zeros(1), np.zeros(1))[0] == pytest.approx(1)
 
 
+def test_pitman_yor_learns_contexts_of_rare_words(spark):
+    """Neither word of `left right` is frequent; as the same words in another order they must score worse."""
+    r = random.Random(3)
+    filler = lambda n: " ".join(r.choice(WORDS[:20]) for _ in range(n))
+    learn = [(k, f"{filler(150)} left{k % 9} right{k % 9} {filler(150)}") for k in range(90)]
+    held = [(1000, "left1 right1 left2 right2"), (1001, "left1 right2 left2 right1")]
+    # `often` is frequent and always follows the rare words `before`
+    learn += [(200 + k, f"{filler(100)} before{k % 5} often often often {filler(100)}") for k in range(40)]
+    held += [(1002, "before1 often"), (1003, "right1 often")]
+    df = spark.createDataFrame(learn + held, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in pitman_yor.apply(df, F.col("doc_id") < 1000).collect()}
+    assert got[1000]["n_known"] == got[1001]["n_known"] == 5
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 2
+    assert got[1002]["score"] > got[1003]["score"] + 0.3
+
+
 def brute_groups(rows):
     lower = str.maketrans({c: c + 32 for c in range(65, 91)})
     sets = []

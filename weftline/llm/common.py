@@ -80,21 +80,37 @@ def tidied(run):
     and Arrow's pool would otherwise stay as large as they ever were."""
 
     def tidy_after(batches):
-        import ctypes
+        yield from run(batches)
+        _give_back()
 
-        import pyarrow as pa
+    return tidy_after
 
-        yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+
+def tidied_group(run):
+    """The same for applyInArrow, after each group."""
+
+    def tidy_after(key, group):
+        out = run(key, group)
+        del group
+        _give_back()
+        return out
 
     return tidy_after
 
 
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 

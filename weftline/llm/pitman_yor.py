@@ -1,19 +1,24 @@
 """Hierarchical Pitman-Yor language model.
 
-Every frequent word (count at least a share 1 / HOT of all tokens, so at most HOT of them) and the start of a text has a
-restaurant of its own for the words that follow it; all of them share the parent restaurant of single words, where words
-after any other context sit directly; its base is uniform over the vocabulary and one unknown word.  Discounts are
-estimated from the counts of counts of each level.
+Every word that some training token follows, and the start of a text, has a restaurant of its own for the words that
+follow it; all of them share the parent restaurant of single words; its base is uniform over the vocabulary and one
+unknown word.  Discounts are estimated from the counts of counts of each level.
 
 Training is by Gibbs sampling of Chinese-restaurant seating.  Words are dealt to buckets by hash; a bucket holds all
 counts of its words in all restaurants, so that the seating of a word, in the context restaurants and in their parent,
-is sampled where the word is.  What couples words, the number of tables in each restaurant, is summed over buckets
-between rounds (at most CHAINS * (HOT + 2) numbers).  Customers of a word in a restaurant are seated one by one, then
+is sampled where the word is.  Frequent words (count at least a share 1 / HOT of all tokens, so at most HOT of them) would
+overfill a bucket: their counts after frequent words are seated on the driver (at most HOT * (HOT + 2) pairs), those after
+rarer words lie in the bucket of the preceding word, with the parent's probability fixed for the round.
+
+What couples words, the number of customers and tables in each restaurant, is summed between rounds: of frequent contexts
+on the driver (at most CHAINS * (HOT + 2) numbers), of all others in a table dealt by context (`_exchange`), which answers
+each bucket for the contexts it holds.  No context is left out.  Customers of a word in a restaurant are seated one by one, then
 every one is taken up and seated anew in each sweep.  Where a word has more than SEATED customers in one restaurant,
 only the number of tables is kept, drawn in blocks of an eighth.  The probabilities of CHAINS chains are averaged.
 
-Scoring sends every token that isn't frequent to its word's bucket, where counts and seating are; frequent words (and
-their at most HOT * (HOT + 2) probabilities) are scored where the text is.
+Scoring sends a token to the bucket its pair of word and context lies in, where counts and seating are; frequent words
+after frequent words (at most HOT * (HOT + 2) probabilities) are scored where the text is.  Pairs that only texts to be
+scored have are counted as 0, so that a bucket knows the totals of all contexts it is asked about.
 
 Tokens: A-Z lower-cased, words are runs of bytes other than white space, then one end token.  Words are told apart by
 64-bit hashes.  Defined results: null and empty texts are one end token; without training rows every probability comes
@@ -23,6 +28,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
+from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, release, span_hash, table, text_batches, tidied, tidied_group, word_bounds
 
 HOT, CHAINS, ROUNDS, SWEEPS, SEATED = 1024, 3, 1, 2, 64
 STRENGTH = 1.0
+#: Pairs seated at once.
+STRETCH = 200_000
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
 #: Tokens of a task sent on at once, and about as many to a bucket.
 FLUSH, BUCKET = 2_000_000, 2_000_000
@@ -91,7 +99,7 @@ def _place(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _context(before: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Restaurant of each context: 0 the parent, 1.. the frequent words, len(hot) + 1 the start."""
+    """Number of each context: 1.. the frequent words, len(hot) + 1 the start, 0 any other."""
     return np.where(before == START, len(hot) + 1, _place(before, hot) + 1)
 
 
@@ -105,13 +113,23 @@ def _counted(w: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple
     return w[at], u[at], n.astype(np.int64)
 
 
-def pack_pairs(w: np.ndarray, u: np.ndarray, c: np.ndarray) -> bytes:
-    return w.astype("<u8").tobytes() + c.astype("<u4").tobytes() + u.astype("<u2").tobytes()
+def pack_pairs(w: np.ndarray, x: np.ndarray, c: np.ndarray) -> bytes:
+    return w.astype("<u8").tobytes() + x.astype("<u8").tobytes() + c.astype("<u4").tobytes()
 
 
 def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 14
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u2", n, 12 * n).astype(np.int64), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64)
+    n = len(blob) // 20
+    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "<u4", n, 16 * n).astype(np.int64)
+
+
+def pack_contexts(x: np.ndarray, numbers: np.ndarray) -> bytes:
+    """numbers: customers and the tables of each chain, a row each."""
+    return x.astype("<u8").tobytes() + numbers.astype("<u4").tobytes()
+
+
+def unpack_contexts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // (12 + 4 * CHAINS)
+    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", (1 + CHAINS) * n, 8 * n).reshape(1 + CHAINS, n)
 
 
 # ---- seating -----------------------------------------------------------------------------------
@@ -205,6 +223,7 @@ class Totals:
         self.parent_customers, self.parent_tables = np.zeros(CHAINS), np.zeros(CHAINS)
         self.vocabulary = 0
         self.discount, self.parent_discount = 0.75, 0.75
+        self.frequent_parent = np.zeros((CHAINS, max(0, contexts - 2)))  # the parent's probability of each frequent word
 
     def escape(self, chain: int) -> np.ndarray:
         """Weight of the parent in each context (1 for contexts without a restaurant)."""
@@ -243,16 +262,35 @@ def sample(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain
     return t, parent_c, parent_t
 
 
+def sample_bucket(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`sample` over stretches of whole words, so that seating needs no arrays of the bucket's size."""
+    out, at, k = [], 0, 0
+    while at < len(word):
+        to = int(np.searchsorted(word, word[min(at + STRETCH, len(word)) - 1], "right"))
+        out.append(sample((word[at:to] - word[at]).astype(np.int64), u[at:to], c[at:to].astype(np.int64), totals, chain, seed + (k << 32)))
+        at, k = to, k + 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0), np.zeros(0))
+
+
+def sample_frequent(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain: int, seed: int) -> np.ndarray:
+    """Tables of each pair of a frequent word (by its index) and a rarer context, the parent being fixed."""
+    alpha = (STRENGTH + totals.discount * totals.tables[chain])[u] * totals.frequent_parent[chain][word]
+    seats = Seating(c, alpha, totals.discount, np.random.default_rng([chain, seed, 1]))
+    for _ in range(SWEEPS):
+        seats.sweep(alpha)
+    return seats.tables
+
+
 def _dense(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words, at = np.unique(w, return_inverse=True)
     return words, at
 
 
-def _stats(word: np.ndarray, u: np.ndarray, c: np.ndarray) -> list[tuple[int, int, float]]:
-    """(kind, key, value) of a bucket's counts: 0 customers and 1 pairs of a context, 2 the sums that don't belong to one."""
+def _stats(word: np.ndarray, u: np.ndarray, c: np.ndarray, contexts: int | None = None) -> list[tuple[int, int, float]]:
+    """(kind, key, value) of a bucket's counts: 0 customers and 1 pairs of a context (of the first `contexts`), 2 the sums that don't belong to one."""
     out = []
     for kind, values in ((0, np.bincount(u, c)), (1, np.bincount(u))):
-        out += [(kind, int(k), float(values[k])) for k in np.flatnonzero(values)]
+        out += [(kind, int(k), float(values[k])) for k in np.flatnonzero(values[:contexts])]
     n = int(word[-1]) + 1 if len(word) else 0
     own = u > 0
     parent = np.bincount(word[~own], c[~own], n) + np.bincount(word[own], minlength=n)
@@ -274,33 +312,105 @@ class Model:
         self.hot_table = np.zeros((len(hot), len(hot) + 2))
 
 
+class Bucket:
+    """Counts of a bucket: `word, u, c` of its own words, `fword, fu, fc` of frequent words after rarer contexts.
+
+    Contexts have local numbers: those of `_context`, then `rare`, the hashes of the others."""
+
+    def __init__(self, blob: bytes, hot: np.ndarray) -> None:
+        w, x, c = unpack_pairs(blob)
+        self.hot, self.shared = hot, len(hot) + 2
+        self.rare = np.unique(x[_context(x, hot) == 0])
+        self.contexts = self.shared + len(self.rare)
+        u, h = self.numbers(x), _place(w, hot)
+        own, far = (h < 0) & (c > 0), (h >= 0) & (c > 0)
+        order = np.lexsort((u[own], w[own]))
+        self.words, self.word = _dense(w[own][order])
+        self.word = self.word.astype(np.int32)
+        self.u, self.c = u[own][order], c[own][order].astype(np.int32)
+        order = np.lexsort((u[far], h[far]))
+        self.fword, self.fu, self.fc = h[far][order], u[far][order], c[far][order]
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        u = _context(x, self.hot).astype(np.int32)
+        other = u == 0
+        u[other] = self.shared + np.searchsorted(self.rare, x[other])
+        return u
+
+    def asks(self, numbers: np.ndarray, b: int, buckets: int) -> list[tuple[int, int, bytes]]:
+        """(bucket of the context, b, blob) of what this bucket adds to its rarer contexts."""
+        to = (mix(self.rare.copy()) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        return [(int(k), b, pack_contexts(self.rare[o], numbers[:, o])) for k in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[k] : cuts[k + 1]]]]
+
+    def totals(self, totals: Totals, answers: list[bytes]) -> Totals:
+        """The totals with this bucket's rarer contexts."""
+        out = copy.copy(totals)
+        parts = [unpack_contexts(x) for x in answers]
+        numbers = np.concatenate([p[1] for p in parts], axis=1) if parts else np.empty((1 + CHAINS, 0))
+        numbers = numbers[:, np.argsort(np.concatenate([p[0] for p in parts]))] if parts else numbers
+        out.customers = np.concatenate([totals.customers, numbers[0]])
+        out.tables = np.concatenate([totals.tables, numbers[1:]], axis=1)
+        return out
+
+    def customers(self) -> np.ndarray:
+        return np.bincount(self.u, self.c, self.contexts) + np.bincount(self.fu, self.fc, self.contexts)
+
+
+def _answer(key: tuple, group: pa.Table) -> pa.Table:
+    """Sums over buckets of each context, sent back to the buckets that hold it."""
+    parts = [unpack_contexts(x.as_py()) for x in group.column("blob")]
+    x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = np.array([np.bincount(at, np.concatenate([p[1][k] for p in parts]), len(x)) for k in range(1 + CHAINS)])
+    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    blobs = [pack_contexts(p[0], sums[:, at[s:e]]) for p, s, e in zip(parts, cuts[:-1], cuts[1:], strict=True)]
+    return pa.table([group.column("b").combine_chunks(), pa.array(blobs, pa.binary())], ["b", "blob"])
+
+
+def _exchange(told: DataFrame) -> DataFrame:
+    """(b, blob): the totals of all contexts of each bucket."""
+    return materialise(told.where("blob IS NOT NULL").select(F.col("k").cast("int").alias("to"), "b", "blob").groupBy("to").applyInArrow(tidied_group(_answer), "b int, blob binary"))
+
+
+#: What buckets tell: numbers (kind or chain, key, value), and blobs for the bucket k of a context from bucket b.
+TOLD = "kind int, k long, v double, b int, blob binary"
+
+
+def _told(numbers: list[tuple[int, int, float]], asks: list[tuple[int, int, bytes]]) -> pa.Table:
+    rows = [(*n, None, None) for n in numbers] + [(0, to, 0.0, b, blob) for to, b, blob in asks]
+    types = (pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["kind", "k", "v", "b", "blob"])
+
+
 def _route_counts(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(b, blob): counted (word, context) pairs of training texts; b = -1: frequent words, by their index."""
+    """(b, blob): (word, context) pairs of all texts, counted in training texts; b = -1: frequent words after frequent contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            w, u, c = _counted(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            w, x, c = _counted(*(np.concatenate([h[k] for h in held]) for k in range(3)))
             held.clear()
-            at = _place(w, hot)
             rows = []
-            tail = at < 0
-            if not tail.all():
-                rows.append((-1, pack_pairs(at[~tail].astype(np.uint64), u[~tail], c[~tail])))
-            w, u, c = w[tail], u[tail], c[tail]
-            b = (mix(w.copy()) % np.uint64(buckets)).astype(np.int64)
+            often = _place(w, hot) >= 0
+            both = often & (_context(x, hot) > 0)
+            if both.any():
+                rows.append((-1, pack_pairs(w[both], x[both], c[both])))
+            w, x, c, often = w[~both], x[~both], c[~both], often[~both]
+            b = (mix(np.where(often, x, w)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 o = order[cuts[k] : cuts[k + 1]]
-                rows.append((int(k), pack_pairs(w[o], u[o], c[o])))
+                rows.append((int(k), pack_pairs(w[o], x[o], c[o])))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "blob"])
 
         for batch in batches:
-            for _, data, offsets in text_batches(batch):
-                t, before, _ = tokens_of(data, offsets)
-                held.append((t, _context(before, hot)))
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, data, offsets in text_batches(batch):
+                t, before, d = tokens_of(data, offsets)
+                held.append((t, before, learn[row + d]))
                 size += len(t)
                 if size >= FLUSH:
                     yield send()
@@ -308,85 +418,119 @@ def _route_counts(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield send()
 
-    return docs.select("text").mapInArrow(tidied(run), "b int, blob binary")
+    return docs.select("text", "learn").mapInArrow(tidied(run), "b int, blob binary")
 
 
 def _gather(key: tuple, group: pa.Table) -> pa.Table:
     parts = [unpack_pairs(x.as_py()) for x in group.column("blob")]
-    w, u, c = _counted(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-    return pa.table([pa.array([max(-1, key[0].as_py())], pa.int32()), pa.array([pack_pairs(w, u, c)], pa.binary())], ["b", "blob"])
+    w, x, c = _counted(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+    return pa.table([pa.array([max(-1, key[0].as_py())], pa.int32()), pa.array([pack_pairs(w, x, c)], pa.binary())], ["b", "blob"])
 
 
 def _bucket_seed(b: int) -> int:
     return b + 7
 
 
-def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]:
-    """The model, the table of counted pairs by bucket, and the number of buckets. docs: training rows."""
-    hot, tokens = frequent(docs, hot_share)
+def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model, the tables of counted pairs and of context totals by bucket, and the number of buckets. docs: text, and learn, true for training rows."""
+    spark = docs.sparkSession
+    hot, tokens = frequent(docs.where("learn"), hot_share)
     buckets = max(8, -(-tokens // BUCKET))
-    routed = _route_counts(docs, hot, buckets)
-    # the frequent words' counts are combined by pair, in rows: at most HOT * (HOT + 2) of them
-    both = materialise(routed.withColumn("part", F.when(F.col("b") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(64)).cast("int")).otherwise(F.col("b"))).groupBy("part").applyInArrow(_gather, "b int, blob binary"))
+    routed = _route_counts(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), hot, buckets)
+    # the frequent words' counts after frequent contexts are combined by pair, in rows: at most HOT * (HOT + 2) of them
+    both = materialise(routed.withColumn("part", F.when(F.col("b") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(64)).cast("int")).otherwise(F.col("b"))).groupBy("part").applyInArrow(tidied_group(_gather), "b int, blob binary"))
+    release(spark)
     pairs = both.where("b >= 0")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                w, u, c = unpack_pairs(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(u), pa.array(c)], ["w", "u", "c"])
+                w, x, c = unpack_pairs(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(_place(w, hot)), pa.array(_context(x, hot)), pa.array(c)], ["w", "u", "c"])
 
-    hot_rows = both.where("b < 0").select("blob").mapInArrow(tidied(unfold), "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c")).orderBy("w", "u").toArrow()
+    hot_rows = both.where("b < 0").select("blob").mapInArrow(tidied(unfold), "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c")).where("c > 0").orderBy("w", "u").toArrow()
     hw, hu, hc = (hot_rows[k].to_numpy().astype(np.int64) for k in ("w", "u", "c"))
-    hot_word, hot_at = _dense(hw)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                w, u, c = unpack_pairs(blob)
-                rows = _stats(_dense(w)[1], u, c)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], ["kind", "k", "v"])
+            for b, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                x = Bucket(blob, hot)
+                numbers = _stats(x.word, x.u, x.c, x.shared)
+                numbers += [(2, k, float(v)) for k, v in ((2, (x.fc == 1).sum()), (3, (x.fc == 2).sum()), (6, x.fc.sum()))]
+                for kind, values in ((3, np.bincount(x.fword)), (4, np.bincount(x.fword, x.fc))):
+                    numbers += [(kind, int(k), float(values[k])) for k in np.flatnonzero(values)]
+                types = np.bincount(x.u, minlength=x.contexts) + np.bincount(x.fu, minlength=x.contexts)
+                yield from _told(numbers, x.asks(np.array([x.customers(), *[types] * CHAINS])[:, x.shared :], b, buckets)).to_batches()
 
     totals = Totals(len(hot) + 2)
     sums = np.zeros(7)
-    first = pairs.mapInArrow(tidied(stats), "kind int, k long, v double").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()
-    for kind, k, v in [(r["kind"], r["k"], r["v"]) for r in first] + (_stats(hot_at, hu, hc) if len(hw) else []):
+    rare_tables, rare_counts = np.zeros((CHAINS, len(hot))), np.zeros(len(hot))
+    told = materialise(pairs.mapInArrow(tidied(stats), TOLD))
+    for kind, k, v in told.where("blob IS NULL").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect():
         if kind == 0:
             totals.customers[k] += v
         elif kind == 1:
             totals.tables[:, k] += v
-        else:
+        elif kind == 2:
             sums[k] += v
+        elif kind == 3:
+            rare_tables[:, k] += v
+        else:
+            rare_counts[k] += v
+    known = _exchange(told)
+    totals.customers += np.bincount(hu, hc, len(hot) + 2)
+    totals.tables += np.bincount(hu, minlength=len(hot) + 2)
+    above = np.bincount(hw, minlength=len(hot)) + rare_tables[0]  # customers of the frequent words in the parent
+    sums += [(above > 0).sum(), above.sum(), (hc == 1).sum(), (hc == 2).sum(), (above == 1).sum(), (above == 2).sum(), hc.sum()]
     totals.vocabulary = int(sums[0])
     totals.parent_customers[:], totals.parent_tables[:] = sums[1], sums[0]
     totals.discount, totals.parent_discount = _discount(sums[2], sums[3]), _discount(sums[4], sums[5])
-
-    def hot_sample(chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return sample(hot_at, hu, hc, totals, chain, _bucket_seed(-1))
+    for chain in range(CHAINS):
+        totals.frequent_parent[chain] = totals.parent(chain, above, np.minimum(above, 1))
+
+    def hot_sample(chain: int) -> tuple[np.ndarray, ...]:
+        """Frequent words: word, context and count of each pair, its tables; and the parent's probability of each word. Tables after rarer contexts sit in the parent."""
+        more = np.flatnonzero(rare_tables[chain])
+        w, u, c = np.concatenate([hw, more]), np.concatenate([hu, np.zeros(len(more), np.int64)]), np.concatenate([hc, rare_tables[chain][more].astype(np.int64)])
+        order = np.lexsort((u, w))
+        w, u, c = w[order], u[order], c[order]
+        words, at = _dense(w)
+        t, pc, pt = sample(at, u, c, totals, chain, _bucket_seed(-1))
+        return w, u, c, t, pc, pt, words
 
     for _ in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(totals)  # CHAINS * (HOT + 2) numbers
-
-        def seat(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    w, u, c = unpack_pairs(blob)
-                    word = _dense(w)[1]
-                    for chain in range(CHAINS):
-                        t, pc, pt = sample(word, u, c, shared.value, chain, _bucket_seed(b))
-                        n = np.bincount(u, t)
-                        k = np.flatnonzero(n)
-                        keys = np.concatenate([k, [-1, -2]])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chain, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.concatenate([n[k], [pc.sum(), pt.sum()]]).astype(np.float64))], ["chain", "k", "v"])
-
-        got = [(r["chain"], r["k"], r["v"]) for r in pairs.mapInArrow(tidied(seat), "chain int, k long, v double").groupBy("chain", "k").agg(F.sum("v").alias("v")).collect()]
+        shared = spark.sparkContext.broadcast(totals)  # CHAINS * (HOT + 2) numbers
+
+        def seat(key: tuple, group: pa.Table) -> pa.Table:
+            b, kinds, blobs = key[0].as_py(), group.column("kind").to_pylist(), group.column("blob").to_pylist()
+            x = Bucket(blobs[kinds.index(1)], hot)
+            local = x.totals(shared.value, [v for k, v in zip(kinds, blobs, strict=True) if k == 2])
+            numbers, tables = [], [x.customers()]
+            for chain in range(CHAINS):
+                t, pc, pt = sample_bucket(x.word, x.u, x.c, local, chain, _bucket_seed(b))
+                ft = sample_frequent(x.fword, x.fu, x.fc, local, chain, _bucket_seed(b))
+                n = np.bincount(x.u, t, x.contexts) + np.bincount(x.fu, ft, x.contexts)
+                tables.append(n)
+                f = np.bincount(x.fword, ft)
+                numbers += [(chain, int(k), float(n[k])) for k in np.flatnonzero(n[: x.shared])] + [(chain, -1, float(pc.sum())), (chain, -2, float(pt.sum()))]
+                numbers += [(chain, -3 - int(k), float(f[k])) for k in np.flatnonzero(f)]
+            return _told(numbers, x.asks(np.array(tables)[:, x.shared :], b, buckets))
+
+        both = pairs.select("b", F.lit(1).alias("kind"), "blob").unionByName(known.select("b", F.lit(2).alias("kind"), "blob"))
+        told = materialise(both.groupBy("b").applyInArrow(tidied_group(seat), TOLD))
+        del both
+        release(spark)
+        got = [(r["kind"], r["k"], r["v"]) for r in told.where("blob IS NULL").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()]
+        known = _exchange(told)
+        release(spark)
         for chain in range(CHAINS):
-            if len(hw):
-                t, pc, pt = hot_sample(chain)
-                n = np.bincount(hu, t)
+            if len(hw) or rare_tables[chain].any():
+                _, u, _, t, pc, pt, _ = hot_sample(chain)
+                n = np.bincount(u, t)
                 got += [(chain, int(k), float(n[k])) for k in np.flatnonzero(n)] + [(chain, -1, float(pc.sum())), (chain, -2, float(pt.sum()))]
         new = Totals(len(hot) + 2)
         new.customers, new.vocabulary, new.discount, new.parent_discount = totals.customers, totals.vocabulary, totals.discount, totals.parent_discount
+        rare_tables = np.zeros((CHAINS, len(hot)))
         for chain, k, v in got:
             if k == -1:
                 new.parent_customers[chain] += v
@@ -394,20 +538,24 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, int]
                 new.parent_tables[chain] += v
             elif k > 0:
                 new.tables[chain, k] += v
+            elif k < 0:
+                rare_tables[chain, -3 - k] += v
         totals = new
 
     model = Model(hot, totals, int(sums[6]))
-    if len(hw):
+    if len(hot):
+        model.hot_counts += rare_counts.astype(np.int64)
         np.add.at(model.hot_counts, hw, hc)
         for chain in range(CHAINS):
-            t, pc, pt = hot_sample(chain)
+            w, u, c, t, pc, pt, words = hot_sample(chain)
             p = np.full(len(hot), totals.parent(chain, np.zeros(1), np.zeros(1))[0])
-            p[hot_word] = totals.parent(chain, pc, pt)
+            p[words] = totals.parent(chain, pc, pt)
+            totals.frequent_parent[chain] = p
             out = totals.escape(chain)[None, :] * p[:, None]
-            own = hu > 0
-            out[hw[own], hu[own]] += (hc[own] - totals.discount * t[own]) / (STRENGTH + totals.customers[hu[own]])
+            own = u > 0
+            out[w[own], u[own]] += (c[own] - totals.discount * t[own]) / (STRENGTH + totals.customers[u[own]])
             model.hot_table += out / CHAINS
-    return model, pairs, buckets
+    return model, pairs, known, buckets
 
 
 # ---- scoring -----------------------------------------------------------------------------------
@@ -446,7 +594,7 @@ def _summed(key: tuple, group: pa.Table) -> pa.Table:
 PARTIAL = "rk long, doc long, rows long, tokens long, known long, base double, lm double"
 
 
-def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> DataFrame:
+def score(docs: DataFrame, model: Model, pairs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     """rk, doc, rows and the sums over tokens of each distinct (doc_id, text); base is the sum of log10(count + 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most HOT * (HOT + 2) probabilities
 
@@ -459,16 +607,17 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         def send() -> pa.RecordBatch:
             rk, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             shift = np.cumsum([0, *(len(h[0]) for h in held)])
-            t, u = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            t, x = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
             d = np.concatenate([h[4] + s for h, s in zip(held, shift, strict=False)])
             held.clear()
-            at, n = _place(t, m.hot), len(rk)
-            hit = at >= 0
-            known = np.bincount(d[hit], m.hot_counts[at[hit]] > 0, n)
-            base, lm = np.bincount(d[hit], log_count[at[hit]], n), np.bincount(d[hit], log_hot[at[hit], u[hit]], n)
+            at, u, n = _place(t, m.hot), _context(x, m.hot), len(rk)
+            often = at >= 0
+            hit = often & (u > 0)
+            known = np.bincount(d[often], m.hot_counts[at[often]] > 0, n)
+            base, lm = np.bincount(d[often], log_count[at[often]], n), np.bincount(d[hit], log_hot[at[hit], u[hit]], n)
             rows = [(-1 - p, blob) for p, blob in _dealt(buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=known, base=base, lm=lm)]
-            t, u, d = t[~hit], u[~hit], d[~hit]
-            b = (mix(t.copy()) % np.uint64(buckets)).astype(np.int64)
+            t, x, d, often = t[~hit], x[~hit], d[~hit], often[~hit]
+            b = (mix(np.where(often, x, t)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
@@ -479,7 +628,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
                 texts = d[o][first]
                 runs = np.diff(np.append(np.flatnonzero(first), len(o)))
                 head = np.array([len(o), len(texts)], "<u8").tobytes()
-                rows.append((int(k), head + rk[texts].astype("<i8").tobytes() + runs.astype("<u4").tobytes() + t[o].astype("<u8").tobytes() + u[o].astype("<u2").tobytes()))
+                rows.append((int(k), head + rk[texts].astype("<i8").tobytes() + runs.astype("<u4").tobytes() + t[o].astype("<u8").tobytes() + x[o].astype("<u8").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "kind", "blob"])
 
         for batch in batches:
@@ -487,7 +636,7 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
             for row, data, offsets in text_batches(batch):
                 t, before, d = tokens_of(data, offsets)
                 n = len(offsets) - 1
-                held.append((rk[row : row + n], doc[row : row + n], t, _context(before, m.hot), d))
+                held.append((rk[row : row + n], doc[row : row + n], t, before, d))
                 size += len(t)
                 if size >= FLUSH:
                     yield send()
@@ -501,44 +650,59 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         if b < 0:
             return pa.table([pa.array([-1 - b] * len(blobs), pa.int32()), blobs], ["part", "blob"])
         m: Model = shared.value
-        rk, n, t, u = [], [], [], []
-        w, pu, pc = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        for kind, x in zip(kinds, blobs, strict=True):
-            raw = x.as_buffer()
-            if kind:
-                w, pu, pc = unpack_pairs(raw.to_pybytes())
+        rk, n, t, x, held, answers = [], [], [], [], b"", []
+        for kind, v in zip(kinds, blobs, strict=True):
+            raw = v.as_buffer()
+            if kind == 1:
+                held = raw.to_pybytes()
+                continue
+            if kind == 2:
+                answers.append(raw.to_pybytes())
                 continue
             tokens, texts = np.frombuffer(raw, "<u8", 2).tolist()
             at = 16
             rk.append(np.frombuffer(raw, "<i8", texts, at))
             n.append(np.frombuffer(raw, "<u4", texts, at + 8 * texts))
             t.append(np.frombuffer(raw, "<u8", tokens, at + 12 * texts))
-            u.append(np.frombuffer(raw, "<u2", tokens, at + 12 * texts + 8 * tokens))
+            x.append(np.frombuffer(raw, "<u8", tokens, at + 12 * texts + 8 * tokens))
         if not t:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "blob"])
-        rk, n, t, u = np.concatenate(rk), np.concatenate(n).astype(np.int64), np.concatenate(t), np.concatenate(u).astype(np.int64)
-        words, word = _dense(w)
-        contexts = len(m.hot) + 2
-        counts = np.bincount(word, pc, len(words)) if len(words) else np.zeros(0)
-        at = np.minimum(np.searchsorted(words, t), max(0, len(words) - 1)) if len(words) else np.zeros(len(t), np.int64)
-        known = words[at] == t if len(words) else np.zeros(len(t), bool)
-        total = np.where(known, counts[at], 0.0) if len(words) else np.zeros(len(t))
-        pair_key = word * contexts + pu
-        wanted = at * contexts + u
-        pair = np.minimum(np.searchsorted(pair_key, wanted), max(0, len(pair_key) - 1)) if len(pair_key) else np.zeros(len(t), np.int64)
-        seen = known & (pair_key[pair] == wanted) & (u > 0) if len(pair_key) else np.zeros(len(t), bool)
+        rk, n, t, x = np.concatenate(rk), np.concatenate(n).astype(np.int64), np.concatenate(t), np.concatenate(x)
+        have = Bucket(held, m.hot)
+        totals, u, h = have.totals(m.totals, answers), have.numbers(x), _place(t, m.hot)
+        del x
+        often = h >= 0
+        counts = np.bincount(have.word, have.c, len(have.words))
+        at = np.searchsorted(have.words, t)
+        at[at == len(have.words)] = 0
+        known = ~often & (have.words[at] == t) if len(have.words) else np.zeros(len(t), bool)
+        total = np.zeros(len(t))
+        total[known] = counts[at[known]]
+
+        def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(keys, wanted)
+            k[k == len(keys)] = 0
+            return np.where(keys[k] == wanted, k, -1) if len(keys) else np.full(len(wanted), -1)
+
+        # the pair of each token: of the bucket's own words, or of frequent words
+        pair = np.full(len(t), -1)
+        pair[known] = places(have.word.astype(np.int64) * have.contexts + have.u, at[known] * have.contexts + u[known])
+        pair[often] = places(have.fword * have.contexts + have.fu, h[often] * have.contexts + u[often])
+        seen = pair >= 0
         prob = np.zeros(len(t))
         for chain in range(CHAINS):
-            new = m.totals.parent(chain, np.zeros(1), np.zeros(1))[0]
-            p = np.full(len(t), new)
-            if len(words):
-                tables, c1, t1 = sample(word, pu, pc, m.totals, chain, _bucket_seed(b))
-                p = np.where(known, m.totals.parent(chain, c1, t1)[at], new)
-            p = m.totals.escape(chain)[u] * p
-            if seen.any():
-                k = pair[seen]
-                p[seen] += (pc[k] - m.totals.discount * tables[k]) / (STRENGTH + m.totals.customers[u[seen]])
-            prob += p / CHAINS
+            p = np.full(len(t), totals.parent(chain, np.zeros(1), np.zeros(1))[0])
+            p[often] = totals.frequent_parent[chain][h[often]]
+            more = np.zeros(len(t))
+            if len(have.words):
+                tables, c1, t1 = sample_bucket(have.word, have.u, have.c, totals, chain, _bucket_seed(b))
+                p[known] = totals.parent(chain, c1, t1)[at[known]]
+                own = seen & ~often
+                more[own] = (have.c - totals.discount * tables)[pair[own]]
+            if len(have.fword):
+                far = seen & often
+                more[far] = (have.fc - totals.discount * sample_frequent(have.fword, have.fu, have.fc, totals, chain, _bucket_seed(b)))[pair[far]]
+            prob += (totals.escape(chain)[u] * p + more / (STRENGTH + totals.customers[u])) / CHAINS
         texts, at = np.unique(rk, return_inverse=True)
         owner = np.repeat(at, n)
         sums = lambda v: np.bincount(owner, v, len(texts))
@@ -546,16 +710,16 @@ def score(docs: DataFrame, model: Model, pairs: DataFrame, buckets: int) -> Data
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
 
     routed = docs.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
-    routed = routed.unionByName(pairs.select("b", F.lit(1).alias("kind"), "blob"))
-    return routed.groupBy("b").applyInArrow(judge, "part int, blob binary").groupBy("part").applyInArrow(_summed, PARTIAL)
+    routed = routed.unionByName(pairs.select("b", F.lit(1).alias("kind"), "blob")).unionByName(known.select("b", F.lit(2).alias("kind"), "blob"))
+    return routed.groupBy("b").applyInArrow(tidied_group(judge), "part int, blob binary").groupBy("part").applyInArrow(_summed, PARTIAL)
 
 
 def apply(docs: DataFrame, training) -> DataFrame:
     """One row per row of docs. training: a boolean Column, true for rows to learn from."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), training.alias("learn"))
-    model, pairs, buckets = train(d.where("learn"))
+    model, pairs, totals, buckets = train(d)
     named = d.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rk"), F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc"), "text")
-    s = score(named, model, pairs, buckets)
+    s = score(named, model, pairs, totals, buckets)
     size = model.tokens + model.totals.vocabulary + 1
     # equal rows were summed together: each gets its share
     s = s.select(F.when(F.col("doc") != NAMELESS, F.col("doc")).alias("doc_id"), *[(F.col(x) / F.col("rows")).alias(x) for x in ("tokens", "known", "base", "lm")], F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
