@@ -319,6 +319,16 @@ def test_language(spark, none, docs):
     assert language.train(none).score("the cat") == ("und", 0.0)
 
 
+def test_language_long_words():
+    """Every letter of an unbroken run counts, in training and in scoring."""
+    model = language.Backoff([("aa", "abcabd", 5), ("zz", "xyzxyw", 5), ("zz", "a" * 60 + "qrst", 3)])
+    assert model.score("abc" * 10 + "xyz" * 300)[0] == "zz"
+    assert model.score("xyz" * 10 + "abc" * 3000)[0] == "aa"
+    assert "\x00qrst" in model.index
+    assert model.score("ppqrst" * 2)[0] == "zz"
+    assert all(len(w) <= 40 for w in model._cache)
+
+
 def test_sentencepiece(docs, none, rows):
     import sentencepiece
 

@@ -24,8 +24,8 @@ from .common import held_out, table, tidied
 
 SAMPLE, MOST_WORDS, MOST_GRAMS, N = 1_500, 60_000, 60_000, 4
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longer words score by their first and last letters only when unseen.
-LONGEST = 40
+#: The n-grams of longer words are not kept in the cache.
+CACHED = 40
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -51,9 +51,9 @@ def sample_of(docs: DataFrame, per_language: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[str]:
     w = f"^{word}$" if n > 1 else word
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+    return (w[i : i + n] for i in range(len(w) - n + 1))
 
 
 class Backoff:
@@ -66,7 +66,7 @@ class Backoff:
         for lang, word, n in rows:
             w.setdefault(word, np.zeros(k))[at[lang]] += n
             for size in range(1, N + 1):
-                for x in grams(word[:LONGEST], size):
+                for x in grams(word, size):
                     g[size].setdefault(x, np.zeros(k))[at[lang]] += n
         self.index: dict[str, int] = {}
         tables = []
@@ -82,20 +82,23 @@ class Backoff:
         for size in range(1, N + 1):
             put(g[size], most // N, "\x00")
         self.table = np.array(tables).reshape(len(tables), k).astype(np.float32)
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._cache: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
-    def unseen(self, word: str) -> tuple[int, ...]:
-        """Rows of the longest known n-grams of a word."""
+    def unseen(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Rows of the longest known n-grams of a word, and how often each occurs."""
         got = self._cache.get(word)
         if got is None:
             get = self.index.get
+            found: Counter = Counter()
             for n in range(N, 0, -1):
-                got = tuple(i for x in grams(word[:LONGEST], n) if (i := get("\x00" + x)) is not None)
-                if got:
+                found.update(i for x in grams(word, n) if (i := get("\x00" + x)) is not None)
+                if found:
                     break
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            self._cache[word] = got
+            got = tuple(found), tuple(found.values())
+            if len(word) <= CACHED:
+                if len(self._cache) > 200_000:
+                    self._cache.clear()
+                self._cache[word] = got
         return got
 
     def score(self, text: str | None) -> tuple[str, float]:
@@ -109,9 +112,11 @@ class Backoff:
             if i is not None:
                 rows.append(i)
                 weights.append(n)
-            elif some := self.unseen(w):
+            else:
+                some, times = self.unseen(w)
                 rows += some
-                weights += [n / len(some)] * len(some)
+                each = n / max(1, sum(times))
+                weights += [each * k for k in times]
         if not rows:
             return self.langs[0], 1.0 / len(self.langs)
         total = np.asarray(weights, np.float32) @ self.table[rows]
