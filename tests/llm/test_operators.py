@@ -403,6 +403,28 @@ def test_repeated_windows(docs, none, rows, wide):
         anchors.REPORT, anchors.WIDE = old
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_repeated_windows_many_rows_of_one_id(spark, wide):
+    """Rows without doc_id whose texts agree in 16 bits of their hash are still different rows."""
+    r = random.Random(12)
+    passage = prose(r, 60)
+    texts = [f"{prose(r, r.randrange(5, 60))} {passage} {prose(r, r.randrange(0, 20))}" for _ in range(1500)]
+    tags = [x["h"] & 0xFFFF for x in spark.createDataFrame(list(enumerate(texts)), "k int, text string").orderBy("k").select(F.xxhash64("text").alias("h")).collect()]
+    same = Counter(tags)
+    rows = [(0, passage)] + [(None, t) for t, tag in zip(texts, tags, strict=True) if same[tag] > 1]
+    assert len(rows) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (ids(x[0]), x[1:])
+    old = anchors.REPORT, anchors.WIDE
+    if wide:
+        anchors.REPORT = anchors.WIDE = 2
+    try:
+        assert sorted((tuple(x) for x in fm_index.apply(df).collect()), key=key) == sorted(brute_words(rows), key=key)
+        assert sorted((tuple(x) for x in bwt_merge.apply(df).collect()), key=key) == sorted(brute_bytes(rows), key=key)
+    finally:
+        anchors.REPORT, anchors.WIDE = old
+
+
 def test_fm_index():
     import numpy as np
 

@@ -17,7 +17,7 @@ many contexts; those above WIDE in sum, or above the share WIDE_SHARE, are taken
 grouped one by one by a 64-bit hash instead, which has no hot group larger than equal windows, and those are combined
 before the shuffle.  Nothing is capped or dropped.
 
-Row identity: doc_id orders documents; rows that share a doc_id are told apart by a hash of their text.  A null doc_id
+Row identity: doc_id orders documents; rows that share a doc_id are told apart by a 64-bit hash of their text.  A null doc_id
 comes after all others.  Null texts are empty.
 """
 
@@ -36,8 +36,8 @@ from .common import CODES, drop_part, materialise, mix, prefix_sums, release, sl
 REPORT, WIDE, WIDE_SHARE = 64, 8_192, 1e-5
 #: Units worked on at once, segments kept in a task before they are sent on, and octets of text taken at once.
 CHUNK, FLUSH, PIECE = 1 << 19, 400_000, 1 << 20
-FIELDS = (("m", "<u4"), ("ch", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("n", "<u2"), ("multi", "u1"))
-OCCURRENCE = "b int, m long, ch long, doc long, tag int, start long, n int, rep boolean, single boolean, solo boolean, wide boolean"
+FIELDS = (("m", "<u4"), ("ch", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("n", "<u2"), ("multi", "u1"))
+OCCURRENCE = "b int, m long, ch long, doc long, tag long, start long, n int, rep boolean, single boolean, solo boolean, wide boolean"
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def _rows(b: int | np.ndarray, c: dict[str, np.ndarray], **flags) -> pa.RecordBa
     n = len(c["ch"])
     full = lambda v, t: pa.array(np.full(n, v) if np.ndim(v) == 0 else v, t)
     return pa.RecordBatch.from_arrays([
-        full(b, pa.int32()), pa.array(c["m"].astype(np.int64)), pa.array(c["ch"].view(np.int64)), pa.array(c["doc"].astype(np.int64)), pa.array(c["tag"].astype(np.int32)),
+        full(b, pa.int32()), pa.array(c["m"].astype(np.int64)), pa.array(c["ch"].view(np.int64)), pa.array(c["doc"].astype(np.int64)), pa.array(c["tag"].astype(np.int64)),
         pa.array(c["start"].astype(np.int64)), pa.array(c["n"].astype(np.int32)), *(full(flags.get(k, False), pa.bool_()) for k in ("rep", "single", "solo", "wide")),
     ], [x.split()[0] for x in OCCURRENCE.split(", ")])
 
@@ -202,7 +202,7 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
     """
     spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    d = d.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))
+    d = d.withColumn("tag", F.xxhash64("text"))
     buckets = max(16, 8 * d.rdd.getNumPartitions())
     cut = materialise(_cut(d.select("doc", "text", "tag"), unit, width, gram, buckets), "kind")
 
@@ -347,9 +347,9 @@ def _wide_spans(d: DataFrame, wide: DataFrame, unit: str, width: int, with_place
                     at = np.concatenate([np.arange(w["start"], w["start"] + w["n"] - width + 1) for w in batch.column(3)[row + k].as_py()])
                     h = span_hash(sums, at + limits[k], at + limits[k] + width)
                     n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, batch.column(0)[row + k].as_py())), pa.array(np.full(n, batch.column(1)[row + k].as_py(), np.int32)), pa.array(at.astype(np.int64))], ["h", "doc", "tag", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, batch.column(0)[row + k].as_py())), pa.array(np.full(n, batch.column(1)[row + k].as_py(), np.int64)), pa.array(at.astype(np.int64))], ["h", "doc", "tag", "s"])
 
-    windows = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "w").mapInArrow(tidied(read), "h long, doc long, tag int, s long")
+    windows = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "w").mapInArrow(tidied(read), "h long, doc long, tag long, s long")
     first = windows.groupBy("h").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", F.col("f.doc").alias("first"), F.col("f.s").alias("place"))
     found = windows.join(first, "h")
     found = found.where("first < doc OR (first = doc AND place < s)" if with_place else "first < doc")
