@@ -329,6 +329,23 @@ def test_language_long_words():
     assert all(len(w) <= 40 for w in model._cache)
 
 
+def test_language_small_ones_keep_their_own(spark, monkeypatch):
+    """A bound that the large languages' words fill leaves a small language and one without spaces in the model."""
+    monkeypatch.setattr(language, "MOST_WORDS", 40)
+    r = random.Random(4)
+    made = [(k, " ".join(f"{w}{x}" for w in WORDS for _ in range(3)), x) for k, x in enumerate(["aa", "bb"] * 4)]
+    made += [(100 + k, "".join(r.choice("qwxyz") for _ in range(50)), "zz") for k in range(4)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    assert language.train(df).langs == ["aa", "bb", "zz"]
+    model = language.train(df, words=40, most=160)
+    assert model.langs == ["aa", "bb", "zz"]
+    assert model.score("zyxwqqwzyx")[0] == "zz"
+    plain = language.Backoff([(x["lang"], x["word"], x["n"]) for x in language.word_counts(df).collect()], 40, 160)
+    assert plain.langs == model.langs and plain.index == model.index
+    for _, text, _ in [*made, (0, "kanab zyxw lorte", "")]:
+        assert model.score(text) == pytest.approx(plain.score(text))
+
+
 def test_sentencepiece(docs, none, rows):
     import sentencepiece
 

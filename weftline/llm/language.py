@@ -1,8 +1,8 @@
 """Language identification: words first, character n-grams as back-off.
 
 Training counts words per language over documents whose lang is known.  Each language uses about SAMPLE documents, chosen
-by a hash of doc_id, and the model keeps the MOST_WORDS commonest words and MOST_GRAMS commonest n-grams: a bound on
-what goes to the executors.  A known word scores its log frequency in each language; an unseen one scores the mean of
+by a hash of doc_id; all their words and n-grams are counted, and the model keeps of each language the MOST_WORDS
+commonest words and MOST_GRAMS commonest n-grams, so that no language loses its own to another.  A known word scores its log frequency in each language; an unseen one scores the mean of
 its longest known n-grams, from N letters down to one.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every text is
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, tidied
+from .common import held_out, materialise, table, tidied
 
 SAMPLE, MOST_WORDS, MOST_GRAMS, N = 1_500, 60_000, 60_000, 4
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,34 +56,82 @@ def grams(word: str, n: int) -> Iterator[str]:
     return (w[i : i + n] for i in range(len(w) - n + 1))
 
 
+def gram_counts(words: DataFrame) -> DataFrame:
+    """lang, size, gram, n over counted words; size 0 are the words themselves that occur twice or more in all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: Counter = Counter()
+            for lang, word, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                for size in range(1, N + 1):
+                    for x in grams(word, size):
+                        out[lang, size, x] += n
+            rows = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([out[r] for r in rows], pa.int64())], ["lang", "size", "gram", "n"])
+
+    counted = words.select("lang", "word", "n").mapInArrow(tidied(run), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    often = words.withColumn("t", F.sum("n").over(Window.partitionBy("word"))).where("t > 1")
+    return counted.unionByName(often.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n"))
+
+
 class Backoff:
+    """A gram's value in a language it was never seen in depends on its size only, so only languages that have it are stored."""
+
     def __init__(self, rows: list[tuple[str, str, int]], words: int = MOST_WORDS, most: int = MOST_GRAMS) -> None:
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        k = len(self.langs)
-        w: dict[str, np.ndarray] = {}
-        g: list[dict[str, np.ndarray]] = [{} for _ in range(N + 1)]
+        """Over counted words (lang, word, n), here; `train` counts in Spark."""
+        seen: Counter = Counter()
+        for _, word, n in rows:
+            seen[word] += n
+        every: Counter = Counter()
         for lang, word, n in rows:
-            w.setdefault(word, np.zeros(k))[at[lang]] += n
+            if seen[word] > 1:
+                every[lang, 0, word] += n
             for size in range(1, N + 1):
                 for x in grams(word, size):
-                    g[size].setdefault(x, np.zeros(k))[at[lang]] += n
+                    every[lang, size, x] += n
+        totals: Counter = Counter()
+        kept: Counter = Counter()
+        chosen = set()
+        for (lang, size, x), n in sorted(every.items(), key=lambda r: (-r[1], r[0][2])):
+            totals[lang, size] += n
+            kept[lang, size] += 1
+            if kept[lang, size] <= (most // N if size else words):
+                chosen.add((size, x))
+        distinct = Counter(size for size, _ in {k[1:] for k in every})
+        self._fill([r[0] for r in rows], [(*k, n) for k, n in every.items() if k[1:] in chosen], totals, distinct)
+
+    @classmethod
+    def of(cls, *counts) -> Backoff:
+        out = cls.__new__(cls)
+        out._fill(*counts)
+        return out
+
+    def _fill(self, langs: list[str], rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int], distinct: dict[int, int]) -> None:
+        """rows: (lang, size, gram, n) of what is kept; totals: n over all by (lang, size); distinct: grams over all by size."""
+        self.langs = sorted(set(langs))
+        at = {x: i for i, x in enumerate(self.langs)}
+        whole = np.array([[totals.get((x, size), 0) + 0.1 * (distinct.get(size, 0) + 1) for x in self.langs] for size in range(N + 1)]).reshape(N + 1, len(at))
+        self.base = np.log10(0.1 / whole)
         self.index: dict[str, int] = {}
-        tables = []
-
-        def put(d: dict[str, np.ndarray], limit: int, prefix: str) -> None:
-            chosen = sorted(d.items(), key=lambda x: (-x[1].sum(), x[0]))[:limit]
-            total = sum(d.values()) if d else np.zeros(k)
-            for x, c in chosen:
-                self.index[prefix + x] = len(tables)
-                tables.append(np.log10((c + 0.1) / (total + 0.1 * (len(d) + 1))))
-
-        put({x: c for x, c in w.items() if c.sum() > 1}, words, "")
-        for size in range(1, N + 1):
-            put(g[size], most // N, "\x00")
-        self.table = np.array(tables).reshape(len(tables), k).astype(np.float32)
+        rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+        starts, sizes = [], []
+        for k, (_, size, x, _) in enumerate(rows):
+            if not k or rows[k - 1][1:3] != (size, x):
+                self.index["\x00" + x if size else x] = len(starts)
+                starts.append(k)
+                sizes.append(size)
+        self.start = np.array([*starts, len(rows)], np.int64)
+        self.size = np.array(sizes, np.int8)
+        self.lang = np.array([at[r[0]] for r in rows], np.int32)
+        self.more = np.log10(np.array([r[3] for r in rows], np.float64) / 0.1 + 1)
         self._cache: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
+    def total(self, rows: list[int], weights: list[float]) -> np.ndarray:
+        """Weighted sum over rows of log10 shares in each language."""
+        r, w = np.asarray(rows), np.asarray(weights, np.float64)
+        n = self.start[r + 1] - self.start[r]
+        at = np.repeat(self.start[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.size[r], w, N + 1) @ self.base + np.bincount(self.lang[at], np.repeat(w, n) * self.more[at], len(self.langs))
+
     def unseen(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Rows of the longest known n-grams of a word, and how often each occurs."""
         got = self._cache.get(word)
@@ -119,21 +167,26 @@ class Backoff:
                 weights += [each * k for k in times]
         if not rows:
             return self.langs[0], 1.0 / len(self.langs)
-        total = np.asarray(weights, np.float32) @ self.table[rows]
-        total = total.astype(np.float64) * np.log(10)
+        total = self.total(rows, weights) * np.log(10)
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE) -> Backoff:
-    counts = word_counts(sample_of(docs, per_language))
-    # the commonest words carry the frequencies; n-grams come from the same bounded list
-    rows = counts.orderBy(F.desc("n"), "lang", "word").limit(4 * MOST_WORDS).toArrow()
-    return Backoff(list(zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True)))
+def train(docs: DataFrame, per_language: int = SAMPLE, words: int = MOST_WORDS, most: int = MOST_GRAMS) -> Backoff:
+    counted = materialise(word_counts(sample_of(docs, per_language)))
+    every = materialise(gram_counts(counted))
+    totals = {(r["lang"], r["size"]): r["n"] for r in every.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
+    distinct = {r["size"]: r["n"] for r in every.groupBy("size", "gram").agg(F.count("*").alias("n")).groupBy("size").agg(F.count("*").alias("n")).collect()}
+    # the commonest of each language, and their counts in all languages
+    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
+    kept = every.withColumn("k", place).where(F.col("k") <= F.when(F.col("size") == 0, words).otherwise(most // N)).select("size", "gram").distinct()
+    rows = every.join(kept, ["size", "gram"]).select("lang", "size", "gram", "n").toArrow()
+    langs = {x for x, size in totals if size}
+    return Backoff.of(list(langs), list(zip(*(rows[k].to_pylist() for k in ("lang", "size", "gram", "n")), strict=True)), totals, distinct)
 
 
 def apply(docs: DataFrame, model: Backoff) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
