@@ -401,27 +401,29 @@ def brute_bytes(rows, width=100):
     return out
 
 
-@pytest.mark.parametrize("wide", [False, True])
-def test_repeated_windows(docs, none, rows, wide):
-    """wide: with every anchor of two contexts treated as one that has too many."""
+def assert_repeats(df, rows):
     key = lambda r: (ids(r[0]), r[1:])
-    old = anchors.REPORT, anchors.WIDE
-    if wide:
-        anchors.REPORT = anchors.WIDE = 2
-    try:
-        got = [tuple(r) for r in fm_index.apply(docs).collect()]
-        assert sorted(got, key=key) == sorted(brute_words(rows), key=key)
-        got = [tuple(r) for r in bwt_merge.apply(docs).collect()]
-        assert sorted(got, key=key) == sorted(brute_bytes(rows), key=key)
-        assert sum(r[2] for r in got) > 1000
-        if not wide:
-            assert fm_index.apply(none).count() == 0 and bwt_merge.apply(none).count() == 0
-    finally:
-        anchors.REPORT, anchors.WIDE = old
-
-
-@pytest.mark.parametrize("wide", [False, True])
-def test_repeated_windows_many_rows_of_one_id(spark, wide):
+    for op, brute in ((fm_index, brute_words), (bwt_merge, brute_bytes)):
+        assert sorted((tuple(r) for r in op.apply(df).collect()), key=key) == sorted(brute(rows), key=key)
+
+
+@pytest.fixture(params=[False, True])
+def hot(request, monkeypatch):
+    """True: every key with two contexts counts as one that has too many."""
+    if request.param:
+        monkeypatch.setattr(anchors, "SAMPLED", 1)
+        monkeypatch.setattr(anchors, "HOT", 2)
+    return request.param
+
+
+def test_repeated_windows(docs, none, rows, hot):
+    assert_repeats(docs, rows)
+    assert sum(r["n_removed"] for r in bwt_merge.apply(docs).collect()) > 1000
+    if not hot:
+        assert_repeats(none, [])
+
+
+def test_repeated_windows_many_rows_of_one_id(spark, hot):
     """Rows without doc_id whose texts agree in 16 bits of their hash are still different rows."""
     r = random.Random(12)
     passage = prose(r, 60)
@@ -430,48 +432,115 @@ def test_repeated_windows_many_rows_of_one_id(spark, wide):
     same = Counter(tags)
     rows = [(0, passage)] + [(None, t) for t, tag in zip(texts, tags, strict=True) if same[tag] > 1]
     assert len(rows) > 10
+    assert_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_repeated_windows_without_any(spark):
+    """Tables in which nothing repeats: one row, distinct words, one row a task."""
+    one = [(1, " ".join(f"w{k}x{k * k}" for k in range(120)))]
+    assert_repeats(spark.createDataFrame(one, "doc_id long, text string"), one)
+    r = random.Random(3)
+    many = [(k, " ".join(f"{r.randrange(10**9)}" for _ in range(60))) for k in range(60)]
+    assert_repeats(spark.createDataFrame(many, "doc_id long, text string").repartition(50), many)
+    nameless = [(None, t) for _, t in many] + [(None, many[0][1])] * 3 + [(5, many[1][1])] * 2
+    assert_repeats(spark.createDataFrame(nameless, "doc_id long, text string").repartition(5), nameless)
+
+
+def test_repeated_windows_hot_line(spark, hot):
+    """A line in every row, with other words around it, over more tasks than cores."""
+    r = random.Random(21)
+    line = prose(r, 45)
+    rows = [(k, f"{prose(r, r.randrange(3, 30))} {line} {prose(r, r.randrange(3, 30))}") for k in range(120)]
+    rows += [(200 + k, rows[k][1]) for k in range(20)]
+    assert_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(13), rows)
+
+
+def test_repeated_windows_long_text(spark, monkeypatch, hot):
+    """A text of more units than a stretch, with repeats inside it and elsewhere; tag, b and other names clash."""
+    monkeypatch.setattr(anchors, "CHUNK", 5000)
+    monkeypatch.setattr(anchors, "STRETCH", 2000)
+    r = random.Random(22)
+    passage = prose(r, 90)
+    rows = [(1, " ".join([prose(r, 9000), passage, prose(r, 9000), passage, "z" * 20000])), (2, passage), (3, "z" * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    key = lambda x: (ids(x[0]), x[1:])
-    old = anchors.REPORT, anchors.WIDE
-    if wide:
-        anchors.REPORT = anchors.WIDE = 2
-    try:
-        assert sorted((tuple(x) for x in fm_index.apply(df).collect()), key=key) == sorted(brute_words(rows), key=key)
-        assert sorted((tuple(x) for x in bwt_merge.apply(df).collect()), key=key) == sorted(brute_bytes(rows), key=key)
-    finally:
-        anchors.REPORT, anchors.WIDE = old
+    for c in ("tag", "b", "m", "ch", "doc", "spans", "w", "g", "blob", "key"):
+        df = df.withColumn(c, F.lit(1))
+    assert_repeats(df, rows)
 
 
 def test_fm_index():
+    """Matching statistics of texts that the index holds and of texts that it doesn't, against search in the texts."""
     import numpy as np
 
     r = np.random.default_rng(1)
-    texts = [r.integers(1, 5, n) for n in (30, 1, 60, 7, 45)]
-    index = fm_index.FMIndex(texts, 5, 6)
-    flat = lambda t: "".join(map(str, t))
-    for query in [*texts, r.integers(1, 5, 80), np.array([1])]:
-        groups = index.stream([query])[0]
-        for i, g in enumerate(groups):
-            want = sum(flat(t)[k : k + 6] == flat(query[i : i + 6]) for t in texts for k in range(len(t) - 5))
-            size = 0 if g < 0 else int(index.group_start[g + 1] - index.group_start[g])
-            assert size == want
+    texts = [r.integers(1, 5, n) for n in (30, 1, 60, 7, 45, 200)]
+    for depth in (6, 13):
+        index = fm_index.FMIndex(texts, 5, depth, np.array([4, 9, 2, 7, 5, 3]))
+        flat = lambda t: "".join(map(str, t))
+        held = [flat(t) for t in texts]
+        asked = [*texts, r.integers(1, 5, 300), np.concatenate([texts[0][5:25], texts[2][3:40]]), np.array([1]), r.integers(3, 5, 60)]
+        for query, (match, place) in zip(asked, index.statistics(asked), strict=True):
+            q = flat(query)
+            for i in range(len(q)):
+                want = max(k for k in range(depth + 1) if i + k <= len(q) and any(q[i : i + k] in t for t in held))
+                assert match[i] == want
+                if want == depth:
+                    least = min(n for n, t in zip((4, 9, 2, 7, 5, 3), held, strict=True) if q[i : i + depth] in t)
+                    assert index.least[index.interval(place[i : i + 1].astype(np.int64))[0]] == least
     c, i = np.array([0, 1, 2, 3, 4]), np.array([50, 60, 70, 80, 90])
-    bwt = np.concatenate([[0]])
     w = fm_index.WaveletMatrix(np.concatenate(texts), 5)
-    assert [int(x) for x in w.rank(c, i)] == [int((np.concatenate(texts)[:k] == s).sum()) for s, k in zip(c, i, strict=True)] and len(bwt) == 1
+    assert [int(x) for x in w.rank(c, i)] == [int((np.concatenate(texts)[:k] == s).sum()) for s, k in zip(c, i, strict=True)]
+
+
+def test_shards_agree_with_search(monkeypatch):
+    """Both shard functions over many small parts, against search in the contents."""
+    import numpy as np
+
+    monkeypatch.setattr(fm_index, "PART", 300)
+    monkeypatch.setattr(bwt_merge, "PART", 900)
+    for module, width, dtype in ((fm_index, fm_index.WINDOW, np.uint64), (bwt_merge, bwt_merge.WINDOW, np.uint8)):
+        r = np.random.default_rng(5)
+        source = [r.integers(65, 69, 400).astype(dtype) for _ in range(3)]
+        contents, docs, starts, keys = [], [], [], []
+        for k in range(40):
+            s, a = int(r.integers(3)), int(r.integers(0, 100))
+            n = int(r.integers(width, 2 * width))
+            contents.append(source[s][a : a + n].copy())
+            docs.append(int(r.integers(1, 25)))
+            starts.append(int(r.integers(0, 1000)))
+            keys.append(s)  # equal windows have equal keys
+        found = module.shard(contents, np.array(docs), np.array(starts), np.array(keys))
+        first = {}
+        for c, d, s in zip(contents, docs, starts, strict=True):
+            for i in range(len(c) - width + 1):
+                x = c[i : i + width].tobytes()
+                first[x] = min(first.get(x, (99, 0)), (d, s + i))
+        for c, (doc, place) in zip(contents, found, strict=True):
+            want = [first[c[i : i + width].tobytes()] for i in range(len(c) - width + 1)]
+            assert [x[0] for x in want] == doc.tolist()
+            if module is bwt_merge:
+                assert [x[1] for x in want] == place.tolist()
 
 
 def test_interleave_is_the_sorted_order():
     import numpy as np
 
     r = np.random.default_rng(2)
-    texts = [r.integers(97, 101, n).astype(np.uint8) for n in r.integers(1, 60, 40)]
-    shards = [bwt_merge.Transform.of(texts[k : k + 7], 32) for k in range(0, 40, 7)]
-    lengths = np.array([len(x) for x in texts[:7]])
-    some = bwt_merge.subset(shards[0], lengths, lengths > 20)
-    assert np.array_equal(some.text, np.concatenate([np.append(x, np.uint8(255)) for x in texts[:7] if len(x) > 20]))
-    t = bwt_merge.merged(shards, 32)
-    key = [bytes(t.text[s : s + 32]) for s in t.suffixes]
-    whole = [k.split(b"\xff")[0] for k in key]
-    assert all(a <= b or a.startswith(b) or b.startswith(a) for a, b in zip(whole, whole[1:]))
-    assert sorted(t.suffixes.tolist()) == list(range(len(t.text)))
+    texts = [r.integers(97, 100, n).astype(np.uint8) for n in r.integers(1, 60, 40)]
+    texts[3] = r.integers(97, 100, 50).astype(np.uint8)
+    texts[9], texts[30] = texts[3], texts[3]
+    for depth in (32, 20):
+        shards = [bwt_merge.Transform.of(texts[k : k + 7], depth) for k in range(0, 40, 7)]
+        lengths = np.array([len(x) for x in texts[:7]])
+        some = bwt_merge.subset(shards[0], lengths, lengths > 20)
+        assert np.array_equal(some.text, np.concatenate([np.append(x, np.uint8(255)) for x in texts[:7] if len(x) > 20]))
+        t = bwt_merge.merged(shards, depth)
+        key = [bytes(t.text[s : s + depth]) for s in t.suffixes]
+        whole = [k.split(b"\xff")[0] for k in key]
+        assert all(a <= b or a.startswith(b) or b.startswith(a) for a, b in zip(whole, whole[1:]))
+        assert sorted(t.suffixes.tolist()) == list(range(len(t.text)))
+        # common prefixes: neighbours that hold no end share an interval if and only if they are equal
+        for (a, x), (b, y) in zip(zip(whole, t.intervals), zip(whole[1:], t.intervals[1:])):
+            if len(a) == len(b) == depth:
+                assert (a == b) == (x == y)
+        assert any(len(a) == depth and a == b for a, b in zip(whole, whole[1:]))

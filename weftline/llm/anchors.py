@@ -4,21 +4,22 @@ A document is a sequence of units (words or bytes).  Two equal windows of `width
 (their anchor: the leftmost gram of `gram` units with the smallest hash), so windows are routed by their anchor and equal
 windows always meet.  Consecutive windows of a document with one anchor form a segment.
 
-1. `_cut`: each task cuts its documents into segments.  Segments of equal content are collapsed inside the task before
-   anything is shuffled: one goes to the anchor's bucket, the others wait as plain occurrences.
-2. `_repeated`: a bucket keeps the segments whose anchor occurs twice or more, and of each distinct content its first
-   occurrence, the representative.
-3. The representatives' units are read from their documents and go to the bucket's shard, where an index (FM-index or
+1. `hot_keys`: anchors with very many different contexts (a frequent line) would fill one shard.  They are found in a
+   sample of the texts.  Segments of a hot anchor are split: windows that reach far to the left of it are routed by the
+   anchor with its left context, the others by the anchor with its right context; where that is hot too, each window is
+   routed by itself.  Equal windows still meet, so the sample decides about balance only, never about results.
+2. `_cut`: each task cuts its documents into segments.  Segments of equal content are collapsed inside the task before
+   anything is shuffled: one goes to the bucket of its key, the others travel as plain occurrences to any bucket.
+3. `_repeated`: a bucket keeps the segments whose key occurs twice or more together with the same left or right context
+   (two equal windows share one of the two), and of each distinct content its first occurrence, the representative.
+4. The representatives' units are read from their documents and go to the bucket's shards, where an index (FM-indexes or
    merged Burrows-Wheeler transforms) finds, for each window, the first document and place it starts in.
-4. Occurrences are joined with their representative's windows; windows that start earlier elsewhere are removed.
+5. Occurrences are joined with their representative's windows; windows that start earlier elsewhere are removed.
 
-Anchors that occur in very many different contexts (a frequent line) would fill one shard.  Tasks report anchors with
-many contexts; those above WIDE in sum, or above the share WIDE_SHARE, are taken out of the buckets and their windows are
-grouped one by one by a 64-bit hash instead, which has no hot group larger than equal windows, and those are combined
-before the shuffle.  Nothing is capped or dropped.
+Two segments are of equal content if 64 bits of their content's hash, 32 bits of their key and their bucket agree.
 
 Row identity: doc_id orders documents; rows that share a doc_id are told apart by a 64-bit hash of their text.  A null doc_id
-comes after all others.  Null texts are empty.
+comes after all others.  Null texts are empty.  Very long texts are worked on in stretches of CHUNK units.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CODES, drop_part, materialise, mix, prefix_sums, release, sliding_argmin, span_hash, text_batches, tidied, word_bounds
+from .common import CODES, materialise, mix, prefix_sums, sliding_argmin, span_hash, text_batches, tidied, word_bounds
 
-#: Contexts of one anchor in one task that are reported; in sum that make it wide; and the share of all segments above which it is.
-REPORT, WIDE, WIDE_SHARE = 64, 8_192, 1e-5
+#: One text (or stretch of STRETCH units of a long one) in so many is in the sample; contexts in it that make a key hot; and
+#: the share of all sampled contexts it must hold, so that at most 1 / HOT_SHARE keys come to the driver.
+SAMPLED, HOT, HOT_SHARE, STRETCH = 64, 16, 1e-6, 1 << 15
 #: Units worked on at once, segments kept in a task before they are sent on, and octets of text taken at once.
 CHUNK, FLUSH, PIECE = 1 << 19, 400_000, 1 << 20
-FIELDS = (("m", "<u4"), ("ch", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("n", "<u2"), ("multi", "u1"))
-OCCURRENCE = "b int, m long, ch long, doc long, tag long, start long, n int, rep boolean, single boolean, solo boolean, wide boolean"
+FIELDS = (("m", "<u4"), ("ch", "<u8"), ("l", "<u2"), ("r", "<u2"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("n", "<u2"), ("multi", "u1"))
+OCCURRENCE = "b int, m long, ch long, doc long, tag long, start long, n int, rep boolean"
+NONE = np.empty(0, np.uint64)
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +58,17 @@ def units_of(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarr
     return codes, np.searchsorted(ws, offsets, "left")
 
 
-def segments(codes: np.ndarray, limits: np.ndarray, width: int, gram: int):
-    """start, length, anchor hash and content hash of the segments of texts laid end to end."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
+def _among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+def segments(codes: np.ndarray, limits: np.ndarray, width: int, gram: int, hot: tuple[np.ndarray, np.ndarray] = (NONE, NONE), every: bool = False) -> dict[str, np.ndarray]:
+    """start, n, key, ch (content hash) and l, r (hashes of left and right context, 0: none) of the segments of texts laid end to end.
+
+    hot: sorted keys to split by side, and keys of sides to split into windows; every: split all by side."""
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("start", "n", "key", "ch", "l", "r")}
     for at in range(0, max(0, len(codes) - width + 1), CHUNK):
         part = codes[at : at + CHUNK + width - 1]
         windows = len(part) - width + 1
@@ -74,12 +85,33 @@ def segments(codes: np.ndarray, limits: np.ndarray, width: int, gram: int):
         change = np.ones(windows, bool)
         change[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
         s = np.flatnonzero(change)
-        e = np.append(s[1:], windows)
-        ok = inside[s]
-        s, e = s[ok], e[ok] + width - 1
-        for x, v in zip(out, (s + at, e - s, grams[anchor[s]], span_hash(sums, s, e)), strict=True):
-            x.append(v)
-    return [np.concatenate(x) if x else np.empty(0, np.uint64 if k > 1 else np.int64) for k, x in enumerate(out)]
+        last = np.append(s[1:], windows) - 1  # the last window of each
+        s, last = s[inside[s]], last[inside[s]]
+        g, size = anchor[s], np.full(len(s), gram)
+        key = mix(grams[g])
+        split = np.ones(len(s), bool) if every else _among(key, hot[0])
+        if split.any():
+            a = g[split]
+            half = (width - gram) // 2
+            ls, ll, rs, rl = s[split], np.minimum(last[split], a - half), np.maximum(s[split], a - half + 1), last[split]
+            lk = mix(span_hash(sums, np.maximum(a - half, 0), a + gram) ^ np.uint64(0x1EF7))
+            rk = mix(span_hash(sums, a, np.minimum(a + width - half, len(part))) ^ np.uint64(0x9167))
+            ok, ko = ls <= ll, rs <= rl
+            side = [np.concatenate([x[ok], y[ko]]) for x, y in ((ls, rs), (ll, rl), (a - half, a), (np.full(len(a), gram + half), np.full(len(a), width - half)), (lk, rk))]
+            alone = _among(side[4], hot[1])
+            if alone.any():
+                n = (side[1] - side[0] + 1)[alone]
+                w = np.repeat(side[0][alone] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                one = [w, w, w, np.full(len(w), width), mix(span_hash(sums, w, w + width) ^ np.uint64(0x0A1E))]
+                side = [np.concatenate([x[~alone], y]) for x, y in zip(side, one, strict=True)]
+            s, last, g, size, key = (np.concatenate([x[~split], y]) for x, y in zip((s, last, g, size, key), side, strict=True))
+        # a window holds the gram with what stands `half` to the left of it, or with what stands as far to the right
+        half = (width - size) // 2
+        left = np.where(s <= g - half, (span_hash(sums, np.maximum(g - half, 0), g + size) >> np.uint64(48)) | np.uint64(1), 0)
+        right = np.where(last > g - half, (span_hash(sums, g, np.minimum(g + width - half, len(part))) >> np.uint64(48)) | np.uint64(1), 0)
+        for k, v in (("start", s + at), ("n", last - s + width), ("key", key), ("ch", span_hash(sums, s, last + width)), ("l", left), ("r", right)):
+            out[k].append(v)
+    return {k: np.concatenate(v) if v else np.empty(0, np.int64 if k in ("start", "n") else np.uint64) for k, v in out.items()}
 
 
 def pack(cols: dict[str, np.ndarray]) -> bytes:
@@ -103,44 +135,73 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int) -> DataFrame:
-    """(b, kind, blob): 0 one of each content, 1 further occurrences of a content, 2 anchors with many contexts."""
+def _times(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def hot_keys(d: DataFrame, unit: str, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of anchors, and of anchors with one side, that have very many different contexts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, data, offsets in text_batches(batch, most=PIECE):
+                codes, limits = units_of(data, offsets, unit)
+                if len(offsets) == 2 and len(codes) > STRETCH:  # stretches of a long text, drawn like texts
+                    at = np.arange(0, len(codes), STRETCH)
+                    at = at[mix(np.uint64(tags[row] & 0xFFFFFFFF) + at.astype(np.uint64)) % np.uint64(SAMPLED) == 0]
+                    parts = [codes[k : k + STRETCH] for k in at]
+                    limits = np.cumsum([0, *map(len, parts)])
+                    codes = np.concatenate([NONE, *parts])
+                for level in (0, 1):
+                    c = segments(codes, limits, width, gram, every=level > 0)
+                    pairs = np.unique(np.stack([c["key"], c["ch"]], axis=1), axis=0).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), level, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["level", "key", "ch"])
+
+    drawn = d.where((F.pmod("tag", F.lit(SAMPLED)) == 0) | (F.octet_length("text") > STRETCH)).select("tag", "text")
+    counts = drawn.mapInArrow(tidied(run), "level int, key long, ch long").distinct().groupBy("level", "key").agg(F.count("*").alias("n"))
+    counts = materialise(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("n") >= max(HOT, int(HOT_SHARE * total))).select("level", "key").toArrow()
+    level, key = got["level"].to_numpy(), got["key"].to_numpy().view(np.uint64)
+    return np.sort(key[level == 0]), np.sort(key[level == 1])
+
+
+def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int, hot) -> DataFrame:
+    """(g, b, blob): one of each content of a task for group g = b, further occurrences for any group g < 0."""
     def send(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         held.clear()
-        # by anchor and content; the order of places inside does not matter, _repeated sorts them
-        order = np.argsort(c["anchor"])
-        a = c["anchor"][order]
+        # by key and content; the order of places inside does not matter, _repeated sorts them
+        order = np.argsort(c["key"])
+        a = c["key"][order]
         twice = np.zeros(len(a), bool)
         twice[1:] = a[1:] == a[:-1]
         twice[:-1] |= a[1:] == a[:-1]
-        some = np.flatnonzero(twice)  # only anchors that occur again need their contents in order
+        some = np.flatnonzero(twice)  # only keys that occur again need their contents in order
         order[some] = order[some][np.lexsort((c["start"][order[some]], c["doc"][order[some]], c["ch"][order[some]], a[some]))]
         c = {k: v[order] for k, v in c.items()}
-        at = _groups(c["anchor"], c["ch"])
+        at = _groups(c["key"], c["ch"])
         count = np.diff(np.append(at, len(order)))
         c["multi"] = np.zeros(len(order), np.uint8)
         c["multi"][at] = count > 1
         first = np.zeros(len(order), bool)
         first[at] = True
-        c["b"], c["m"] = (c["anchor"] % np.uint64(buckets)).astype(np.int32), (c["anchor"] >> np.uint64(32)).astype(np.uint32)
+        c["b"], c["m"] = (c["key"] % np.uint64(buckets)).astype(np.int32), (c["key"] >> np.uint64(32)).astype(np.uint32)
+        other = -1 - int(c["ch"][0] >> np.uint64(32)) % buckets
         rows: list[tuple[int, int, bytes]] = []
-        for kind, mask in ((0, first), (1, ~first)):
-            d = {k: v[mask] for k, v in c.items()}
+        for mask in (first, ~first):
+            d = {k: v[mask] for k, v in c.items() if k not in ("key",)}
             order = np.argsort(d["b"], kind="stable")
             d = {k: v[order] for k, v in d.items()}
             starts = _groups(d["b"])
-            for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
-                rows.append((int(d["b"][s]), kind, pack({k: d[k][s:e] for k, _ in FIELDS})))
-        anchors = c["anchor"][at]
-        a = _groups(anchors)
-        contexts = np.diff(np.append(a, len(anchors)))
-        many = contexts >= REPORT
-        for x, n in zip(anchors[a[many]], contexts[many], strict=True):
-            rows.append((int(x % np.uint64(buckets)), 2, np.array([x >> np.uint64(32), n], "<u8").tobytes()))
+            for s, e in zip(starts, [*starts[1:], len(order)], strict=False):
+                b = int(d["b"][s])
+                rows.append((b if mask is first else other, b, pack({k: d[k][s:e] for k, _ in FIELDS})))
         for k in range(0, len(rows), 4096):
             part = rows[k : k + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["b", "kind", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["g", "b", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -149,106 +210,63 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int) -> Dat
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for row, data, offsets in text_batches(batch, most=PIECE):
                 codes, limits = units_of(data, offsets, unit)
-                start, n, anchor, ch = segments(codes, limits, width, gram)
-                if not len(start):
+                c = segments(codes, limits, width, gram, hot.value)
+                if not len(c["start"]):
                     continue
-                owner = np.searchsorted(limits, start, "right") - 1
-                held.append({"anchor": mix(anchor), "ch": ch, "doc": ids[row + owner], "tag": tags[row + owner], "start": start - limits[owner], "n": n})
-                size += len(start)
+                owner = np.searchsorted(limits, c["start"], "right") - 1
+                held.append(c | {"doc": ids[row + owner], "tag": tags[row + owner], "start": c["start"] - limits[owner]})
+                size += len(owner)
                 if size >= FLUSH:
                     yield from send(held)
                     size = 0
         if held:
             yield from send(held)
 
-    return docs.mapInArrow(tidied(run), "b int, kind int, blob binary")
-
-
-def _rows(b: int | np.ndarray, c: dict[str, np.ndarray], **flags) -> pa.RecordBatch:
-    n = len(c["ch"])
-    full = lambda v, t: pa.array(np.full(n, v) if np.ndim(v) == 0 else v, t)
-    return pa.RecordBatch.from_arrays([
-        full(b, pa.int32()), pa.array(c["m"].astype(np.int64)), pa.array(c["ch"].view(np.int64)), pa.array(c["doc"].astype(np.int64)), pa.array(c["tag"].astype(np.int64)),
-        pa.array(c["start"].astype(np.int64)), pa.array(c["n"].astype(np.int32)), *(full(flags.get(k, False), pa.bool_()) for k in ("rep", "single", "solo", "wide")),
-    ], [x.split()[0] for x in OCCURRENCE.split(", ")])
+    return docs.mapInArrow(tidied(run), "g int, b int, blob binary")
 
 
 def _repeated(key: tuple, group: pa.Table) -> pa.Table:
-    """One bucket: occurrences of anchors that occur twice or more, representatives marked."""
+    """One group: occurrences of keys that occur twice or more with one context, representatives marked."""
+    bs = group.column("b").to_numpy()
     parts = [unpack(x.as_py()) for x in group.column("blob")]
+    sizes = [len(p["m"]) for p in parts]
     c = {k: np.concatenate([p[k] for p in parts]) for k, _ in FIELDS}
-    order = np.lexsort((c["start"], c["doc"], c["ch"], c["m"]))
-    c = {k: v[order] for k, v in c.items()}
-    a, s = _groups(c["m"]), _groups(c["m"], c["ch"])
-    n_anchor = np.diff(np.append(a, len(order)))
-    n_same = np.diff(np.append(s, len(order)))
-    contents = np.diff(np.append(np.searchsorted(s, a), len(s)))
-    multi = np.add.reduceat(c["multi"].astype(np.int64), a) > 0 if len(a) else np.empty(0, bool)
-    keep = np.repeat((n_anchor > 1) | multi, n_anchor)
-    rep = np.zeros(len(order), bool)
-    rep[s] = True
-    multi_same = np.add.reduceat(c["multi"].astype(np.int64), s) > 0 if len(s) else np.empty(0, bool)
-    single = np.repeat((n_same == 1) & ~multi_same, n_same)
-    solo = np.repeat(contents == 1, n_anchor)
-    d = {k: v[keep] for k, v in c.items()}
-    return pa.Table.from_batches([_rows(key[0].as_py(), d, rep=rep[keep], single=single[keep], solo=solo[keep])])
-
-
-def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: Callable, with_place: bool, index_solo: bool, output: Callable, schema: str) -> DataFrame:
+    del parts
+    c["b"] = np.repeat(bs, sizes)
+    rep = np.zeros(len(c["b"]), bool)
+    if key[0].as_py() >= 0:
+        often = _times(c["m"]) > 1
+        some = np.flatnonzero(often)
+        keep = c["multi"] > 0
+        for side in ("l", "r"):
+            has = some[c[side][some] > 0]
+            keep[has] |= _times((c["m"][has].astype(np.uint64) << np.uint64(16)) | c[side][has]) > 1
+        c = {k: v[keep] for k, v in c.items()}
+        order = np.lexsort((c["start"], c["doc"], c["ch"], c["m"]))
+        c = {k: v[order] for k, v in c.items()}
+        rep = np.zeros(len(order), bool)
+        rep[_groups(c["m"], c["ch"])] = True
+    return pa.table([
+        pa.array(c["b"], pa.int32()), pa.array(c["m"].astype(np.int64)), pa.array(c["ch"].view(np.int64)), pa.array(c["doc"].astype(np.int64)), pa.array(c["tag"].astype(np.int64)),
+        pa.array(c["start"].astype(np.int64)), pa.array(c["n"].astype(np.int32)), pa.array(rep),
+    ], [x.split()[0] for x in OCCURRENCE.split(", ")])
+
+
+def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: Callable, with_place: bool, output: Callable, schema: str) -> DataFrame:
     """`output(ids, texts, spans)` for all rows of docs, spans being sorted arrays (start, end) of units that windows starting earlier cover.
 
-    shard(contents, docs, starts, anchors) gives for each content the first (doc, start) of each of its windows.  with_place: a
+    shard(contents, docs, starts, keys) gives for each content the first (doc, start) of each of its windows.  with_place: a
     window of the same document counts if it starts earlier; otherwise only smaller doc_ids count.
     """
-    spark = docs.sparkSession
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     d = d.withColumn("tag", F.xxhash64("text"))
     buckets = max(16, 8 * d.rdd.getNumPartitions())
-    cut = materialise(_cut(d.select("doc", "text", "tag"), unit, width, gram, buckets), "kind")
-
-    # anchors with too many contexts for one shard
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0].astype(np.int64)), pa.array(x[:, 1].astype(np.int64))], ["b", "m", "n"])
-
-    heavy = cut.where("kind = 2").select("b", "blob").mapInArrow(tidied(told), "b int, m long, n long").groupBy("b", "m").agg(F.sum("n").alias("n")).where(F.col("n") >= WIDE)
-    record = sum(np.dtype(t).itemsize for _, t in FIELDS)
-    total = cut.where("kind = 0").agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    least = max(WIDE, WIDE_SHARE * total / record)  # so at most 1 / WIDE_SHARE anchors come to the driver
-    wide_list = sorted((r["b"], r["m"]) for r in heavy.where(F.col("n") >= int(least)).collect())
-    wide = spark.sparkContext.broadcast(np.array([(b << 32) | m for b, m in wide_list], np.uint64))
-
-    def waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences that need no bucket: further ones of a content, and those of wide anchors."""
-        for batch in batches:
-            for b, kind, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                c = unpack(blob)
-                far = np.isin(c["m"].astype(np.uint64) | np.uint64(b << 32), wide.value) if len(wide.value) else np.zeros(len(c["m"]), bool)
-                keep = far if kind == 0 else np.ones(len(far), bool)
-                if keep.any():
-                    yield _rows(b, {k: v[keep] for k, v in c.items()}, wide=far[keep])
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bs, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if len(wide.value):
-                for k, (b, blob) in enumerate(zip(bs, blobs, strict=True)):
-                    c = unpack(blob)
-                    near = ~np.isin(c["m"].astype(np.uint64) | np.uint64(b << 32), wide.value)
-                    if not near.all():
-                        blobs[k] = pack({f: v[near] for f, v in c.items()})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["b", "blob"])
-
-    near = cut.where("kind = 0").select("b", "blob").mapInArrow(tidied(narrow), "b int, blob binary").groupBy("b").applyInArrow(_repeated, OCCURRENCE)
-    near = materialise(near)
-    if not wide_list:
-        drop_part(cut, "kind=0")
-    later = cut.where("kind = 1" if not wide_list else "kind < 2").select("b", "kind", "blob").mapInArrow(tidied(waiting), OCCURRENCE)
-
-    # units of the representatives, read from their documents
-    wanted = near.where("rep" if index_solo else "rep AND NOT solo")
-    wanted = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("b", "m", "ch", "start", "n")).alias("w"))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(d, unit, width, gram))  # at most 1 / HOT_SHARE keys
+    cut = _cut(d.select("doc", "text", "tag"), unit, width, gram, buckets, hot)
+    near = materialise(cut.groupBy("g").applyInArrow(_repeated, OCCURRENCE))
+
+    # units of the representatives, read from their documents; repeated rows are read once
+    wanted = near.where("rep").groupBy("doc", "tag").agg(F.collect_list(F.struct("b", "m", "ch", "start", "n")).alias("w"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,101 +274,55 @@ def repeated_windows(docs: DataFrame, unit: str, width: int, gram: int, shard: C
                 codes, limits = units_of(data, offsets, unit)
                 # the bytes themselves, or the words' 64-bit codes
                 buffer, size = (data.tobytes(), 1) if unit == "bytes" else (codes.tobytes(), 8)
-                bs, ms, chs, ds, ss, cs = [], [], [], [], [], []
-                for k in range(len(offsets) - 1):
-                    doc, base = batch.column(0)[row + k].as_py(), int(limits[k])
-                    for w in batch.column(2)[row + k].as_py():
-                        at = base + w["start"]
-                        bs.append(w["b"])
-                        ms.append(w["m"])
-                        chs.append(w["ch"])
-                        ds.append(doc)
-                        ss.append(w["start"])
-                        cs.append(buffer[at * size : (at + w["n"]) * size])
-                yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(ms, pa.int64()), pa.array(chs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.int64()), pa.array(cs, pa.binary())], ["b", "m", "ch", "doc", "start", "content"])
-
-    contents = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "text", "w")
+                lists = batch.column(2).slice(row, len(offsets) - 1)
+                w = lists.flatten()
+                b, m, ch, start, n = (w.field(k).to_numpy() for k in range(5))
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                at = (limits[owner] + start) * size
+                blobs = [buffer[x:y] for x, y in zip(at.tolist(), (at + n * size).tolist(), strict=True)]
+                doc = batch.column(0).to_numpy()[row + owner]
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(m), pa.array(ch), pa.array(doc), pa.array(start), pa.array(blobs, pa.binary())], ["b", "m", "ch", "doc", "start", "content"])
+
+    contents = d.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(wanted, ["doc", "tag"]).select("doc", "text", "w")
     contents = contents.mapInArrow(tidied(read), "b int, m long, ch long, doc long, start long, content binary")
 
     def index(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        docs_, starts = group.column("doc").to_numpy(), group.column("start").to_numpy()
-        ch, anchor = group.column("ch").to_numpy(), group.column("m").to_numpy()
-        once = np.unique(ch, return_index=True)[1]  # rows repeated in the table give a representative twice
-        raw = group.column("content")
+        docs_, starts, ch, m = (group.column(k).to_numpy() for k in ("doc", "start", "ch", "m"))
         size = np.uint8 if unit == "bytes" else np.uint64
-        found = shard([np.frombuffer(raw[int(k)].as_py(), size) for k in once], docs_[once], starts[once], anchor[once])
-        out = [[], [], [], [], []]
-        for k, (doc, place) in zip(once, found, strict=True):
-            j = np.arange(len(doc))
-            at = _groups(doc, place - j) if with_place else _groups(doc)
-            out[0].append(np.full(len(at), ch[k]))
-            out[1].append(at)
-            out[2].append(np.append(at[1:], len(doc)))
-            out[3].append(doc[at])
-            out[4].append(place[at])
+        found = shard([np.frombuffer(x.as_buffer(), size) for x in group.column("content")], docs_, starts, m)
+        out = [[], [], [], [], [], []]
+        for k, (doc, place) in enumerate(found):
+            at = _groups(doc, place - np.arange(len(doc))) if with_place else _groups(doc)
+            for x, v in zip(out, (np.full(len(at), m[k]), np.full(len(at), ch[k]), at, np.append(at[1:], len(doc)), doc[at], place[at]), strict=True):
+                x.append(v)
         cols = [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in out]
-        return pa.table([pa.array(np.full(len(cols[0]), key[0].as_py()), pa.int32()), *map(pa.array, cols)], ["b", "ch", "lo", "hi", "first", "place"])
+        return pa.table([pa.array(np.full(len(cols[0]), key[0].as_py()), pa.int32()), *map(pa.array, cols)], ["b", "m", "ch", "lo", "hi", "first", "place"])
 
-    runs = contents.groupBy("b").applyInArrow(index, "b int, ch long, lo long, hi long, first long, place long")
-    if not index_solo:  # the only content of its anchor: all its windows first start in its first occurrence
-        runs = runs.unionByName(near.where("rep AND solo").select("b", "ch", F.lit(0).cast("long").alias("lo"), (F.col("n") - width + 1).cast("long").alias("hi"), F.col("doc").alias("first"), F.col("start").alias("place")))
     # written, so that the texts shuffled for the shards are gone before they are shuffled for the result
-    runs = materialise(runs)
-    del contents, wanted
-    release(spark)
-    everywhere = near.unionByName(later.where("NOT wide")) if wide_list else near.unionByName(later)
-    occurrences = everywhere.select("b", "ch", "doc", "tag", "start")
+    runs = materialise(contents.groupBy("b").applyInArrow(index, "b int, m long, ch long, lo long, hi long, first long, place long"))
+    occurrences = near.select("b", "m", "ch", "doc", "tag", "start")
     earlier = (F.col("first") < F.col("doc")) | ((F.col("first") == F.col("doc")) & (F.col("place") < F.col("start") + F.col("lo"))) if with_place else F.col("first") < F.col("doc")
-    spans = occurrences.join(runs, ["b", "ch"]).where(earlier)
+    spans = occurrences.join(runs, ["b", "m", "ch"]).where(earlier)
     spans = spans.select("doc", "tag", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") - 1 + width).alias("e"))
-    if wide_list:
-        spans = spans.unionByName(_wide_spans(d, later.where("wide"), unit, width, with_place))
     # neighbouring spans of one segment are united here, all others by output()
     spans = materialise(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    del occurrences, everywhere
-    release(spark)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            lists = batch.column(2)
             for at in range(0, batch.num_rows, 512):
                 unions = []
-                for x in lists.slice(at, 512).to_pylist():
-                    if not x:
+                for x in batch.column(2).slice(at, 512):
+                    if not x.is_valid or not len(x.values):
                         unions.append((np.empty(0, np.int64), np.empty(0, np.int64)))
                         continue
-                    s, e = np.array([v["s"] for v in x]), np.array([v["e"] for v in x])
+                    s, e = x.values.field(0).to_numpy(), x.values.field(1).to_numpy()
                     order = np.argsort(s)
                     s, e = s[order], np.maximum.accumulate(e[order])
                     new = np.ones(len(s), bool)
                     new[1:] = s[1:] > e[:-1]
                     last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
                     unions.append((s[new], e[last]))
-                yield output(ids.slice(at, 512), texts.slice(at, 512).to_pylist(), unions)
+                yield output(batch.column(0).slice(at, 512), batch.column(1).slice(at, 512).to_pylist(), unions)
 
     out = d.select("doc_id", "doc", "tag", "text").join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(tidied(finish), f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
-
-
-def _wide_spans(d: DataFrame, wide: DataFrame, unit: str, width: int, with_place: bool) -> DataFrame:
-    """Spans of segments with wide anchors: every window by its hash, the first place by an aggregation that combines before the shuffle."""
-    wanted = wide.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("w"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in text_batches(batch, "text", PIECE):
-                codes, limits = units_of(data, offsets, unit)
-                sums = prefix_sums(codes)
-                for k in range(len(offsets) - 1):
-                    at = np.concatenate([np.arange(w["start"], w["start"] + w["n"] - width + 1) for w in batch.column(3)[row + k].as_py()])
-                    h = span_hash(sums, at + limits[k], at + limits[k] + width)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, batch.column(0)[row + k].as_py())), pa.array(np.full(n, batch.column(1)[row + k].as_py(), np.int64)), pa.array(at.astype(np.int64))], ["h", "doc", "tag", "s"])
-
-    windows = d.select("doc", "tag", "text").join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "w").mapInArrow(tidied(read), "h long, doc long, tag long, s long")
-    first = windows.groupBy("h").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("k")).where("k > 1").select("h", F.col("f.doc").alias("first"), F.col("f.s").alias("place"))
-    found = windows.join(first, "h")
-    found = found.where("first < doc OR (first = doc AND place < s)" if with_place else "first < doc")
-    return found.select("doc", "tag", "s", (F.col("s") + width).alias("e"))

@@ -1,13 +1,14 @@
 """Suffix-array dedup by merging Burrows-Wheeler transforms.
 
 A shard sorts the suffixes of its own texts once.  Two shards are merged without sorting again: the interleave starts
-as all of the first before all of the second and is refined by a few symbols a round, each round a stable distribution of
-the interleave by the transforms' symbols; it is then ordered by so many symbols more.  It stops when it no longer
-changes or the window is reached.  Neighbours of the merged order that share a whole window form a repeated interval.
+as all of the first before all of the second and is refined by eight symbols a round, each round a stable distribution of
+the interleave by the symbols the transforms have before their suffixes.  The round in which two neighbours part gives
+their common prefix, so the intervals that share a whole window, the repeated ones, are known at the end.
 
 Query op10: texts are UTF-8 bytes, windows have 100 bytes.  Byte 0xFF, which UTF-8 never holds, ends a text inside a
 shard.  Defined results: null and empty texts have no bytes; rows that share a doc_id are one document to each other
-(the earlier start wins, equal starts remove nothing); a null doc_id comes after all others; other columns are ignored.
+(the earlier start wins, equal starts remove nothing); a null doc_id comes after all others; very long texts are cut into
+stretches, no byte is left out; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import repeated_windows
-from .common import table
+from .common import sorted_suffixes, table
 
-WINDOW, GRAM = 100, 40
+WINDOW, GRAM = 100, 32
 END = 0xFF
 #: Bytes of one shard's own suffix sort.
 PART = 1 << 19
@@ -36,30 +37,12 @@ def octads(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranked(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), np.int64)
-    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
 class Transform:
-    """Texts joined with END, and their suffix order (by the first `depth` symbols at least)."""
-
-    def __init__(self, text: np.ndarray, suffixes: np.ndarray) -> None:
-        self.text, self.suffixes = text, suffixes
+    """Texts joined with END, their suffixes in the order of `depth` symbols, and for each suffix the number of its interval:
+    neighbours of one number share that many symbols."""
 
-    @property
-    def bwt(self) -> np.ndarray:
-        return self.text[self.suffixes - 1]
-
-    def grams(self, codes: np.ndarray, q: int, base: int) -> np.ndarray:
-        """The q symbols before each suffix as one 16-bit number, the farthest first."""
-        out = np.zeros(len(self.text), np.uint16)
-        for k in range(q, 0, -1):
-            out = out * np.uint16(base) + codes[np.roll(self.text, k)]
-        return out[self.suffixes]
+    def __init__(self, text: np.ndarray, suffixes: np.ndarray, intervals: np.ndarray) -> None:
+        self.text, self.suffixes, self.intervals = text, suffixes, intervals
 
     @classmethod
     def of(cls, texts: list[np.ndarray], depth: int) -> Transform:
@@ -68,56 +51,60 @@ class Transform:
         for t in texts:
             text[at : at + len(t)] = t
             at += len(t) + 1
-        key = octads(text)  # eight bytes at a time for the first ranks
-        order = np.argsort(key)
-        rank, step = _ranked(order, key), 8
-        while step < depth:
-            ahead = np.zeros(len(text), np.int64)
-            ahead[: max(0, len(text) - step)] = rank[step:] + 1
-            key = (rank << 32) | ahead
-            order = np.argsort(key)
-            rank, step = _ranked(order, key), step * 2
-        return cls(text, order)
-
-
-def interleave(a: Transform, b: Transform, symbols: int) -> np.ndarray:
-    """Which transform each suffix of the merged order comes from, ordered by `symbols` symbols at least.
-
-    A round refines by as many symbols as fit into 16 bits: the symbols before each suffix, taken from the transforms in
-    the order of the interleave so far, distribute it stably."""
-    used = np.flatnonzero(np.bincount(a.text, minlength=256) + np.bincount(b.text, minlength=256))
-    codes = np.zeros(256, np.uint16)
-    codes[used] = np.arange(len(used))
-    base = max(2, len(used))
-    q = max(q for q in (1, 2, 3, 4, 5) if base**q <= 1 << 16)
-    grams = np.concatenate([a.grams(codes, q, base), b.grams(codes, q, base)])
-    n = len(a.suffixes)
-    z = np.zeros(len(grams), bool)
+        order, levels = sorted_suffixes(octads(text), 8, depth)
+        return cls(text, order, levels[-1][1][order])
+
+
+def interleave(a: Transform, b: Transform, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which transform each suffix of the merged order comes from, and the interval of `symbols` common symbols it lies in.
+
+    The interleave begins as all of a before all of b, one interval.  A round takes, in the order so far, the eight symbols
+    that each transform has before its suffixes and deals the interleave out by them, stably: that orders it by eight
+    symbols more.  Two neighbours part in the round in which their symbols differ, or what they were dealt from had parted;
+    so common prefixes come from the rounds.  The first round uses what is left of `symbols` by eights."""
+    n, size = len(a.suffixes), len(a.suffixes) + len(b.suffixes)
+    z = np.zeros(size, bool)
     z[n:] = True
-    place = np.arange(len(grams), dtype=np.int32)
-    for _ in range(0, symbols, q):
-        ones = np.cumsum(z, dtype=np.int32)
-        refined = z[np.argsort(grams[np.where(z, ones + np.int32(n - 1), place - ones)], kind="stable")]
-        if np.array_equal(refined, z):
+    interval = np.zeros(size, np.int64)
+    before = []
+    for t in (a, b):
+        key = octads(np.concatenate([t.text, t.text[:8]]))[: len(t.text)]
+        before.append(key[t.suffixes - 8])  # places before the first wrap around to the last text's end
+    before = np.concatenate(before)
+    place, low = np.arange(size), np.uint64(0xFFFFFFFF)
+    distinct = None
+    for width in ([symbols % 8] if symbols % 8 else []) + [8] * (symbols // 8):
+        if width < 8 or distinct is None:
+            keys = before & ((np.uint64(1) << np.uint64(8 * width)) - np.uint64(1)) if width < 8 else before
+            distinct, code = np.unique(keys, return_inverse=True)
+            code = code.astype(np.uint64)
+            if width < 8:
+                distinct = None
+        ones = np.cumsum(z)
+        mine = code[np.where(z, n - 1 + ones, place - ones)]
+        dealt = np.sort((mine << np.uint64(32)) | place.astype(np.uint64))
+        source = (dealt & low).astype(np.int64)
+        parted = np.ones(size, bool)
+        parted[1:] = ((dealt[1:] >> np.uint64(32)) != (dealt[:-1] >> np.uint64(32))) | (interval[source[1:]] != interval[source[:-1]])
+        z, interval = z[source], np.cumsum(parted)
+        if interval[-1] == size:
             break
-        z = refined
-    return z
+    return z, interval
 
 
 def merge(a: Transform, b: Transform, symbols: int) -> Transform:
-    z = interleave(a, b, symbols)
+    z, interval = interleave(a, b, symbols)
     suffixes = np.empty(len(z), np.int64)
-    suffixes[~z] = a.suffixes
-    suffixes[z] = b.suffixes + len(a.text)
-    return Transform(np.concatenate([a.text, b.text]), suffixes)
+    suffixes[~z], suffixes[z] = a.suffixes, b.suffixes + len(a.text)
+    return Transform(np.concatenate([a.text, b.text]), suffixes, interval)
 
 
 def subset(t: Transform, lengths: np.ndarray, keep: np.ndarray) -> Transform:
     """The transform of some of t's texts, by leaving the others out of its order."""
-    size = lengths + 1
-    octets = np.repeat(keep, size)
+    octets = np.repeat(keep, lengths + 1)
     place = np.cumsum(octets) - 1
-    return Transform(t.text[octets], place[t.suffixes[octets[t.suffixes]]])
+    left = octets[t.suffixes]
+    return Transform(t.text[octets], place[t.suffixes[left]], t.intervals[left])
 
 
 def merged(shards: list[Transform], symbols: int) -> Transform:
@@ -127,26 +114,12 @@ def merged(shards: list[Transform], symbols: int) -> Transform:
     return shards[0]
 
 
-def repeated_intervals(t: Transform, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The given places in suffix order and the group each belongs to: equal groups share their first `width` symbols."""
-    wanted = np.zeros(len(t.text), bool)
-    wanted[places] = True
-    order = t.suffixes[wanted[t.suffixes]]
-    new = np.zeros(len(order), np.int64)
-    same = np.arange(1, len(order))  # pairs of neighbours that agree so far
-    key = octads(t.text)
-    for k in (*range(0, width - 7, 8), *([width - 8] if width % 8 else [])):
-        differ = key[order[same] + k] != key[order[same - 1] + k]
-        new[same[differ]] = 1
-        same = same[~differ]
-    return order, np.cumsum(new)
-
-
-def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """First (doc, place) of each window of each content.
 
-    Contents are dealt to shards by document, each with a transform of its own.  Windows with different anchors can't be
-    equal, so what goes into the merge are the texts whose anchor occurs in several shards."""
+    Contents are dealt to shards by document, each with a transform of its own.  Windows with different keys can't be
+    equal, so repeated intervals of texts whose key only one shard has are those of its own transform; what goes into the
+    merge are the others."""
     lengths = np.array([len(c) for c in contents], np.int64)
     windows = lengths - WINDOW + 1
     first = np.cumsum(windows) - windows
@@ -158,23 +131,25 @@ def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, anch
     count = min(len(contents), max(2, -(-int(total[-1]) // PART)))
     part = np.empty(len(contents), np.int64)
     part[order] = np.minimum((total - 1) * count // total[-1], count - 1)
-    pairs = np.unique(np.stack([anchors, part], axis=1), axis=0)
+    pairs = np.unique(np.stack([keys, part], axis=1), axis=0)
     several, times = np.unique(pairs[:, 0], return_counts=True)
-    shared = np.isin(anchors, several[times > 1])
+    shared = np.isin(keys, several[times > 1])
 
     def collect(t: Transform, own: np.ndarray, wanted: np.ndarray) -> None:
         """Least (doc, place) of the windows of t's texts `own` (all in t's order) that are wanted."""
-        begin = np.cumsum(lengths[own] + 1) - lengths[own] - 1
-        w = windows[own] * wanted
-        offset = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        at, group = repeated_intervals(t, np.repeat(begin, w) + offset, WINDOW)
+        size = lengths[own] + 1
+        owner = np.repeat(np.arange(len(own)), size)
+        inside = np.arange(len(t.text)) - np.repeat(np.cumsum(size) - size, size)
+        asked = (wanted[owner] & (inside < windows[own][owner]))[t.suffixes]
+        at, interval = t.suffixes[asked], t.intervals[asked]
         if not len(at):
             return
-        k = np.searchsorted(begin, at, "right") - 1
-        inside = at - begin[k]
-        value = (rank[own[k]] << 40) | (starts[own[k]] + inside)
-        bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least[first[own[k]] + inside] = np.minimum.reduceat(value, bounds)[group]
+        k, inside = own[owner[at]], inside[at]
+        value = (rank[k] << 40) | (starts[k] + inside)
+        new = np.ones(len(at), bool)
+        new[1:] = interval[1:] != interval[:-1]
+        bounds = np.flatnonzero(new)
+        least[first[k] + inside] = np.repeat(np.minimum.reduceat(value, bounds), np.diff(np.append(bounds, len(at))))
 
     subsets, owners = [], []
     for p in range(count):
@@ -211,7 +186,7 @@ def _output(ids: pa.Array, texts: list[str | None], unions: list[tuple[np.ndarra
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    return repeated_windows(docs, "bytes", WINDOW, GRAM, shard, True, False, _output, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_windows(docs, "bytes", WINDOW, GRAM, shard, True, _output, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -18,6 +17,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[object, str]] = []
+_own: dict[str, str] = {}
+#: Spark's setting to remove the shuffle files of a query when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only in a local session (tests), where all tasks share the machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="weftline-"))
     return named.rstrip("/")
 
 
@@ -46,33 +49,20 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors. by: a column with few values that gets folders of its own."""
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Shuffle files of the plan written are freed at its end, and not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
-    return out
-
-
-def drop_part(table_: DataFrame, folder: str) -> None:
-    """Delete one folder of a table written `by` a column, when nothing reads it any more, and let go of finished shuffles."""
-    spark = table_.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{table_._weftline_path}/{folder}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished stages' shuffle files are no longer referred to, so that they go.
-
-    The first round frees what Python still names in the JVM, the second what that referred to."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tidied(run):
@@ -209,6 +199,40 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
+def sorted_suffixes(key: np.ndarray, first: int, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes ordered by `depth` symbols, and (depth, ranks) after each doubling; equal ranks share that many symbols.
+
+    key: a number for the first `first` symbols of each suffix, in their order.  Only groups that still tie are sorted on."""
+    n = len(key)
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, n))
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.repeat(starts, sizes)
+    levels = [(first, rank[:n].astype(np.int32))]
+    tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    while first < depth:
+        step = min(first, depth - first)
+        if len(tied):
+            s = order[tied]
+            k = (rank[s].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(s + step, n)] + 1).astype(np.uint64)
+            o = np.argsort(k)
+            s, k = s[o], k[o]
+            order[tied] = s
+            new = np.ones(len(s), bool)
+            new[1:] = k[1:] != k[:-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(s)))
+            rank[s] = np.repeat(tied[starts], sizes)
+            tied = tied[np.repeat(sizes > 1, sizes)]
+        first += step
+        levels.append((first, rank[:n].astype(np.int32)))
+    return order, levels
+
+
 def text_batches(batch, column: str = "text", most: int = 1 << 20):
     """Slices of an Arrow batch as (first row, byte array, offsets), each of about `most` bytes or one text."""
     import pyarrow as pa

@@ -1,14 +1,15 @@
 """Substring dedup with a compressed FM-index per shard.
 
 A shard's index is the Burrows-Wheeler transform of its texts in a wavelet matrix over packed bit vectors, with rank by
-block counts and popcounts.  Texts are streamed through it by backward search, all of a batch in lockstep; matching
-statistics follow, capped at the window: whenever the matched string grows beyond the window, its interval is widened
-to the strings that agree in the first `depth` symbols.  Intervals at the full depth are the windows that occur in the
-shard, and the smallest doc_id of each interval is what the query asks for.
+block counts and popcounts, and common prefixes in one octet a symbol.  Texts of other documents and its own are streamed
+through it by backward search, all of a batch in lockstep; that gives their matching statistics, capped at the window.
+Places with a match of the whole window are reported with their interval, for which the index knows the least doc_id.
 
 Query op9: words are maximal runs of bytes other than white space, windows have 50 words.  Words are compared by 64-bit
 hashes.  Defined results: null and empty texts have no words and the hash of the empty string; repeated rows (same
-doc_id) never remove each other; a null doc_id comes after all others; other columns are ignored.
+doc_id) never remove each other, so of equal texts all rows with the least doc_id stay whole; a null doc_id comes after all
+others; very long texts are cut into stretches, no word is left out; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import repeated_windows
-from .common import table
+from .common import sorted_suffixes, table
 
 WINDOW, GRAM = 50, 16
+#: Words in one index, and texts streamed through it together.
+PART, STREAMED = 1 << 17, 4096
 
 
 class BitVector:
@@ -63,128 +66,154 @@ class WaveletMatrix:
         return self.descend(c, i) - self.start[c]
 
 
-def depth_order(text: np.ndarray, least: int, kept: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Suffixes ordered by their first `least` symbols at least (prefix doubling), and the ranks at depth `kept`."""
-    n = len(text)
-    rank = text.astype(np.int64)
-    depth, ranks = 1, None
-    while True:
-        if depth == kept:
-            ranks = rank
-        if depth >= least:
-            break
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - depth)] = rank[depth:] + 1
-        order = np.argsort((rank << 32) | ahead, kind="stable")
-        a, b = rank[order], ahead[order]
-        new = np.ones(n, np.int64)
-        if n:
-            new[0] = 0
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        depth *= 2
-        if n and rank[order[-1]] == n - 1 and (kept is None or ranks is not None):
-            break
-    return np.argsort(rank, kind="stable"), ranks
+class CommonPrefixes:
+    """Common prefixes of neighbouring suffixes, capped, one octet each, with minima of blocks for searches."""
+
+    BLOCK = 64
+
+    def __init__(self, values: np.ndarray) -> None:
+        """values[k]: symbols that suffixes k - 1 and k share; both ends are 0."""
+        self.values = values.astype(np.uint8)
+        size = -(-len(values) // self.BLOCK) * self.BLOCK
+        self.least = np.pad(self.values, (0, size - len(values)), constant_values=255).reshape(-1, self.BLOCK).min(axis=1)
+
+    @staticmethod
+    def _scan(values: np.ndarray, p: np.ndarray, below: np.ndarray, step: int) -> np.ndarray:
+        """From each p on in direction `step`, the first place among BLOCK with a smaller value, or -1."""
+        at = np.clip(p[:, None] + step * np.arange(CommonPrefixes.BLOCK), 0, len(values) - 1)
+        hit = values[at] < below[:, None]
+        k = hit.argmax(axis=1)
+        return np.where(hit.any(axis=1), at[np.arange(len(p)), k], -1)
+
+    def nearest(self, p: np.ndarray, below: np.ndarray, step: int) -> np.ndarray:
+        """The nearest place from p on, in direction `step`, with a value under `below` (which is 1 at least)."""
+        out = self._scan(self.values, p, below, step)
+        todo = np.flatnonzero(out < 0)
+        if len(todo):
+            block = p[todo] // self.BLOCK + step  # what its own block holds on that side has been seen
+            found = np.full(len(todo), -1)
+            while (found < 0).any():
+                k = np.flatnonzero(found < 0)
+                found[k] = self._scan(self.least, block[k], below[todo[k]], step)
+                block[k] += step * self.BLOCK
+            edge = found * self.BLOCK if step > 0 else np.minimum(found * self.BLOCK + self.BLOCK, len(self.values)) - 1
+            out[todo] = self._scan(self.values, edge, below[todo], step)
+        return out
 
 
 class FMIndex:
-    """Index over texts (arrays of symbols 1..size-1); symbol 0 separates them."""
+    """Compressed index over texts (arrays of symbols 1..size-1), each with a number; symbol 0 separates them.
+
+    What stays: the transform's wavelet matrix, where each symbol's suffixes begin, common prefixes capped at one more than
+    the depth, marks of the intervals of equal `depth` symbols, and the least number of the texts in each.  Texts, suffixes
+    and ranks don't."""
 
-    def __init__(self, texts: list[np.ndarray], size: int, depth: int) -> None:
+    def __init__(self, texts: list[np.ndarray], size: int, depth: int, numbers: np.ndarray) -> None:
         self.depth = depth
         lengths = np.array([len(t) for t in texts], np.int64)
-        self.begin = np.cumsum(lengths + 1) - lengths
+        begin = np.cumsum(lengths + 1) - lengths
         text = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
-        for t, b in zip(texts, self.begin, strict=True):
+        for t, b in zip(texts, begin, strict=True):
             text[b : b + len(t)] = t
-        half = 1 << (depth.bit_length() - 1)  # the largest power of two within depth
         # one symbol more than the depth: backward search looks at strings of depth + 1
-        self.suffixes, ranks = depth_order(text, 1 << (depth + 1 - 1).bit_length() if depth & (depth - 1) else 2 * depth, half)
-        self.n = len(text)
-        bwt = text[self.suffixes - 1]
-        self.first = np.searchsorted(text[self.suffixes], np.arange(size + 1))
-        self.wavelet = WaveletMatrix(bwt, size)
-        # neighbours that agree in the first `depth` symbols: two overlapping stretches of `half`
-        a, b = self.suffixes[:-1], self.suffixes[1:]
-        far = lambda x: ranks[np.minimum(x + depth - half, self.n - 1)]
-        same = (ranks[a] == ranks[b]) & (far(a) == far(b))
-        new = np.ones(self.n, bool)
-        new[1:] = ~same
-        self.group = np.cumsum(new) - 1
-        starts = np.flatnonzero(new)
-        self.group_start = np.append(starts, self.n)
-        self.lcp_depth = depth
-
-    def stream(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text and each of its places, the group of its next `depth` symbols, or -1 where they don't occur.
-
-        A group g is the interval group_start[g] .. group_start[g + 1] of suffixes."""
-        out = [np.full(max(0, len(t) - self.depth + 1), -1, np.int64) for t in texts]
+        suffixes, levels = sorted_suffixes(text, 1, depth + 1)
+        self.n = n = len(text)
+        self.first = np.searchsorted(text[suffixes], np.arange(size + 1))
+        self.wavelet = WaveletMatrix(text[suffixes - 1], size)
+        # neighbours share as many symbols as powers of two add up to; ranks beyond the text are unlike all others
+        common, a, b = np.zeros(n + 1, np.int64), suffixes[:-1], suffixes[1:]
+        for d, rank in reversed([x for x in levels if x[0] & (x[0] - 1) == 0]):
+            i, j = a + common[1:n], b + common[1:n]
+            inside = (i < n) & (j < n)
+            common[1:n] += d * (inside & (rank[np.minimum(i, n - 1)] == rank[np.minimum(j, n - 1)]))
+        self.common = CommonPrefixes(np.minimum(common, depth + 1))
+        edge = common[:n] < depth
+        self.edges = BitVector(edge)
+        owner = np.searchsorted(begin, suffixes, "right") - 1
+        numbers = np.asarray(numbers, np.int64)
+        self.least = np.minimum.reduceat(np.where(owner >= 0, numbers[np.maximum(owner, 0)], np.iinfo(np.int64).max), np.flatnonzero(edge))
+
+    def _extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return self.first[c] + r[: len(c)], self.first[c] + r[len(c) :]
+
+    def interval(self, place: np.ndarray) -> np.ndarray:
+        """Number of the interval of equal `depth` symbols that a place in suffix order lies in."""
+        return self.edges.rank1(place + 1) - 1
+
+    def statistics(self, texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text and each of its places: how many of the next symbols the index holds as one string, at most
+        `depth`, and a place in the suffix order where they stand.
+
+        Backward search, all texts in lockstep.  Where a symbol can't be put before the match, the match gives up symbols at
+        its end, as many as it takes for its interval to grow."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
         lengths = np.array([len(texts[k]) for k in order], np.int64)
-        if not len(order) or not lengths[0]:
-            return out
-        grid = np.zeros((len(order), int(lengths[0])), np.int64)
+        most = int(lengths.max(initial=0))
+        grid = np.zeros((len(order), most), np.int64)
         for r, k in enumerate(order):
-            if len(texts[k]):
-                grid[r, : len(texts[k])] = texts[k][::-1]
-        groups = np.full(grid.shape, -1, np.int64)
+            grid[r, : len(texts[k])] = texts[k][::-1]
+        matches, places = np.zeros(grid.shape, np.int16), np.zeros(grid.shape, np.int32)
         lo, hi, matched = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64), np.zeros(len(order), np.int64)
-        for step in range(int(lengths[0])):
-            rows = slice(0, int(np.searchsorted(-lengths, -step, "left")))  # texts longer than step
-            c = grid[rows, step]
-            while True:
-                new_lo, new_hi = self.first[c] + self.wavelet.rank(c, lo[rows]), self.first[c] + self.wavelet.rank(c, hi[rows])
-                lost = (new_lo >= new_hi) & (matched[rows] > 0)
-                if not lost.any():
-                    break
-                # shorten the match from its right end until it can be extended: matching statistics' shrink step
-                at = np.flatnonzero(lost)
-                for r in at:
-                    m = int(matched[r]) - 1
-                    s = texts[order[r]]
-                    end = len(s) - step
-                    lo[r], hi[r] = self._interval(s[end : end + m])
-                    matched[r] = m
-            none = new_lo >= new_hi
-            lo[rows], hi[rows] = np.where(none, 0, new_lo), np.where(none, self.n, new_hi)
-            matched[rows] = np.where(none, 0, matched[rows] + 1)
-            wide = matched[rows] > self.depth
-            g = self.group[lo[rows]]
-            lo[rows] = np.where(wide, self.group_start[g], lo[rows])
-            hi[rows] = np.where(wide, self.group_start[g + 1], hi[rows])
-            matched[rows] = np.minimum(matched[rows], self.depth)
-            groups[rows, step] = np.where(matched[rows] == self.depth, self.group[lo[rows]], -1)
+        for step in range(most):
+            rows = int(np.searchsorted(-lengths, -step, "left"))  # texts longer than step
+            todo = np.arange(rows)
+            while len(todo):
+                c = grid[todo, step]
+                new_lo, new_hi = self._extend(c, lo[todo], hi[todo])
+                ok = new_lo < new_hi
+                r = todo[ok]
+                lo[r], hi[r], matched[r] = new_lo[ok], new_hi[ok], matched[r] + 1
+                todo = todo[~ok]
+                todo = todo[matched[todo] > 0]  # a symbol the index doesn't have leaves the empty match
+                if len(todo):
+                    self._shrink(todo, lo, hi, matched, np.maximum(self.common.values[lo[todo]], self.common.values[hi[todo]]).astype(np.int64))
+            over = np.flatnonzero(matched[:rows] > self.depth)
+            if len(over):
+                self._shrink(over, lo, hi, matched, np.full(len(over), self.depth))
+            matches[:rows, step], places[:rows, step] = matched[:rows], lo[:rows]
+        out: list = [None] * len(texts)
         for r, k in enumerate(order):
             n = len(texts[k])
-            if n >= self.depth:
-                out[k] = groups[r, self.depth - 1 : n][::-1].copy()
+            out[k] = matches[r, :n][::-1], places[r, :n][::-1]
         return out
 
-    def _interval(self, pattern: np.ndarray) -> tuple[int, int]:
-        lo, hi = np.array([0]), np.array([self.n])
-        for c in pattern[::-1]:
-            c = np.array([c])
-            lo, hi = self.first[c] + self.wavelet.rank(c, lo), self.first[c] + self.wavelet.rank(c, hi)
-        return int(lo[0]), int(hi[0])
-
-    def least(self, values: np.ndarray) -> np.ndarray:
-        """The least value, given one for each indexed text, among the suffixes of each group."""
-        owner = np.searchsorted(self.begin, self.suffixes, "right") - 1
-        v = np.where(owner >= 0, values[np.maximum(owner, 0)], np.iinfo(np.int64).max)
-        return np.minimum.reduceat(v, self.group_start[:-1])
-
-
-def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """First doc of each window of each content (the place is not asked for)."""
-    flat = np.concatenate(contents)
-    words, symbols = np.unique(flat, return_inverse=True)
-    texts = np.split(symbols + 1, np.cumsum([len(c) for c in contents])[:-1])
-    index = FMIndex(texts, len(words) + 1, WINDOW)
-    least = index.least(docs)
-    return [(least[g], np.zeros(len(g), np.int64)) for g in index.stream(texts)]
+    def _shrink(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, matched: np.ndarray, depth: np.ndarray) -> None:
+        """Widen the rows' intervals to all suffixes that share the first `depth` symbols."""
+        none = depth == 0
+        lo[rows[none]], hi[rows[none]] = 0, self.n
+        some, d = rows[~none], depth[~none]
+        lo[some], hi[some] = self.common.nearest(lo[some], d, -1), self.common.nearest(hi[some], d, 1)
+        matched[rows] = depth
+
+
+def shard(contents: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First doc of each window of each content (the place is not asked for).
+
+    Contents are dealt by document to indexes of about PART words; each content is streamed through every index that holds
+    its key, its own and those of other documents."""
+    lengths = np.array([len(c) for c in contents], np.int64)
+    words, symbols = np.unique(np.concatenate(contents), return_inverse=True)
+    texts = np.split(symbols + 1, np.cumsum(lengths)[:-1])
+    order = np.argsort(docs, kind="stable")
+    total = np.cumsum(lengths[order])
+    count = min(len(contents), max(2, -(-int(total[-1]) // PART)))
+    part = np.empty(len(contents), np.int64)
+    part[order] = np.minimum((total - 1) * count // total[-1], count - 1)
+    found = [np.full(n - WINDOW + 1, np.iinfo(np.int64).max) for n in lengths]
+    for p in range(count):
+        own = np.flatnonzero(part == p)
+        if not len(own):
+            continue
+        index = FMIndex([texts[k] for k in own], len(words) + 1, WINDOW, docs[own])
+        asked = np.flatnonzero(np.isin(keys, keys[own]))
+        for at in range(0, len(asked), STREAMED):
+            some = asked[at : at + STREAMED]
+            for k, (match, place) in zip(some, index.statistics([texts[k] for k in some]), strict=True):
+                n = len(found[k])
+                hit = np.flatnonzero(match[:n] >= WINDOW)
+                found[k][hit] = np.minimum(found[k][hit], index.least[index.interval(place[hit].astype(np.int64))])
+    return [(doc, np.zeros(len(doc), np.int64)) for doc in found]
 
 
 def _output(ids: pa.Array, texts: list[str | None], unions: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -204,7 +233,7 @@ def _output(ids: pa.Array, texts: list[str | None], unions: list[tuple[np.ndarra
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    return repeated_windows(docs, "words", WINDOW, GRAM, shard, False, True, _output, "n_words long, n_removed long, kept_sha256 string")
+    return repeated_windows(docs, "words", WINDOW, GRAM, shard, False, _output, "n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, release, span_hash, table, text_batches, tidied, tidied_group, word_bounds
+from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, tidied_group, word_bounds
 
 HOT, CHAINS, ROUNDS, SWEEPS, SEATED = 1024, 3, 1, 2, 64
 STRENGTH = 1.0
@@ -439,7 +439,6 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, Data
     routed = _route_counts(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), hot, buckets)
     # the frequent words' counts after frequent contexts are combined by pair, in rows: at most HOT * (HOT + 2) of them
     both = materialise(routed.withColumn("part", F.when(F.col("b") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(64)).cast("int")).otherwise(F.col("b"))).groupBy("part").applyInArrow(tidied_group(_gather), "b int, blob binary"))
-    release(spark)
     pairs = both.where("b >= 0")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,10 +518,8 @@ def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, Data
         both = pairs.select("b", F.lit(1).alias("kind"), "blob").unionByName(known.select("b", F.lit(2).alias("kind"), "blob"))
         told = materialise(both.groupBy("b").applyInArrow(tidied_group(seat), TOLD))
         del both
-        release(spark)
         got = [(r["kind"], r["k"], r["v"]) for r in told.where("blob IS NULL").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()]
         known = _exchange(told)
-        release(spark)
         for chain in range(CHAINS):
             if len(hw) or rare_tables[chain].any():
                 _, u, _, t, pc, pt, _ = hot_sample(chain)
