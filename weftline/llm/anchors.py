@@ -148,12 +148,17 @@ def hot_keys(d: DataFrame, unit: str, width: int, gram: int) -> tuple[np.ndarray
             tags = batch.column(0).to_numpy(zero_copy_only=False)
             for row, data, offsets in text_batches(batch, most=PIECE):
                 codes, limits = units_of(data, offsets, unit)
-                if len(offsets) == 2 and len(codes) > STRETCH:  # stretches of a long text, drawn like texts
-                    at = np.arange(0, len(codes), STRETCH)
-                    at = at[mix(np.uint64(tags[row] & 0xFFFFFFFF) + at.astype(np.uint64)) % np.uint64(SAMPLED) == 0]
-                    parts = [codes[k : k + STRETCH] for k in at]
-                    limits = np.cumsum([0, *map(len, parts)])
-                    codes = np.concatenate([NONE, *parts])
+                parts = []
+                for k in range(len(limits) - 1):
+                    if offsets[k + 1] - offsets[k] <= STRETCH:
+                        parts.append(codes[limits[k] : limits[k + 1]])
+                        continue
+                    at = np.arange(limits[k], limits[k + 1], STRETCH)  # stretches of a long text, drawn like texts
+                    drawn_ = mix(np.uint64(tags[row + k] & 0xFFFFFFFF) + (at - limits[k]).astype(np.uint64)) % np.uint64(SAMPLED) == 0
+                    parts += [codes[x : min(x + STRETCH, limits[k + 1])] for x in at[drawn_]]
+                if not parts:
+                    continue
+                codes, limits = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
                 for level in (0, 1):
                     c = segments(codes, limits, width, gram, every=level > 0)
                     pairs = np.unique(np.stack([c["key"], c["ch"]], axis=1), axis=0).view(np.int64)
@@ -169,7 +174,7 @@ def hot_keys(d: DataFrame, unit: str, width: int, gram: int) -> tuple[np.ndarray
 
 
 def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int, hot) -> DataFrame:
-    """(g, b, blob): one of each content of a task for group g = b, further occurrences for any group g < 0."""
+    """(g, blob): one of each content of a task for its bucket g, further occurrences, with their buckets, for any group g < 0."""
     def send(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         held.clear()
@@ -190,18 +195,18 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int, hot) -
         first[at] = True
         c["b"], c["m"] = (c["key"] % np.uint64(buckets)).astype(np.int32), (c["key"] >> np.uint64(32)).astype(np.uint32)
         other = -1 - int(c["ch"][0] >> np.uint64(32)) % buckets
-        rows: list[tuple[int, int, bytes]] = []
-        for mask in (first, ~first):
-            d = {k: v[mask] for k, v in c.items() if k not in ("key",)}
-            order = np.argsort(d["b"], kind="stable")
-            d = {k: v[order] for k, v in d.items()}
-            starts = _groups(d["b"])
-            for s, e in zip(starts, [*starts[1:], len(order)], strict=False):
-                b = int(d["b"][s])
-                rows.append((b if mask is first else other, b, pack({k: d[k][s:e] for k, _ in FIELDS})))
+        rows: list[tuple[int, bytes]] = []
+        d = {k: v[first] for k, v in c.items() if k != "key"}
+        order = np.argsort(d["b"], kind="stable")
+        d = {k: v[order] for k, v in d.items()}
+        starts = _groups(d["b"])
+        for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
+            rows.append((int(d["b"][s]), pack({k: d[k][s:e] for k, _ in FIELDS})))
+        if not first.all():
+            rows.append((other, c["b"][~first].tobytes() + pack({k: c[k][~first] for k, _ in FIELDS})))
         for k in range(0, len(rows), 4096):
             part = rows[k : k + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], ["g", "b", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["g", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -222,19 +227,23 @@ def _cut(docs: DataFrame, unit: str, width: int, gram: int, buckets: int, hot) -
         if held:
             yield from send(held)
 
-    return docs.mapInArrow(tidied(run), "g int, b int, blob binary")
+    return docs.mapInArrow(tidied(run), "g int, blob binary")
 
 
 def _repeated(key: tuple, group: pa.Table) -> pa.Table:
     """One group: occurrences of keys that occur twice or more with one context, representatives marked."""
-    bs = group.column("b").to_numpy()
-    parts = [unpack(x.as_py()) for x in group.column("blob")]
-    sizes = [len(p["m"]) for p in parts]
+    g, blobs = key[0].as_py(), [x.as_py() for x in group.column("blob")]
+    if g < 0:  # buckets stand first
+        size = 4 + sum(np.dtype(t).itemsize for _, t in FIELDS)
+        cuts = [4 * (len(x) // size) for x in blobs]
+        bs = np.concatenate([np.frombuffer(x, np.int32, k // 4) for x, k in zip(blobs, cuts, strict=True)])
+        blobs = [x[k:] for x, k in zip(blobs, cuts, strict=True)]
+    parts = [unpack(x) for x in blobs]
     c = {k: np.concatenate([p[k] for p in parts]) for k, _ in FIELDS}
-    del parts
-    c["b"] = np.repeat(bs, sizes)
+    del parts, blobs
+    c["b"] = bs if g < 0 else np.full(len(c["m"]), g, np.int32)
     rep = np.zeros(len(c["b"]), bool)
-    if key[0].as_py() >= 0:
+    if g >= 0:
         often = _times(c["m"]) > 1
         some = np.flatnonzero(often)
         keep = c["multi"] > 0
