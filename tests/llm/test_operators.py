@@ -70,12 +70,47 @@ def test_quality_rules(docs, none, rows):
 
 def test_quality_rules_verdicts(spark):
     r = random.Random(1)
-    good = [(k, prose(r, 120)) for k in range(80)]
+    good = [(k, prose(r, 120).capitalize().replace("karta", "kn.") + ".") for k in range(80)]
     bad = [(100 + k, " ".join(w + "***" for w in prose(r, 120).split())) for k in range(10)] + [(200 + k, "!! ".join(prose(r, 120).upper().split())) for k in range(10)]
     got = {x["doc_id"]: x["kept"] for x in quality_rules.apply(spark.createDataFrame(good + bad, "doc_id long, text string")).collect()}
     assert all(got[k] for k, _ in good) and not any(got[k] for k, _ in bad)
 
 
+def test_quality_rules_recover_planted_accuracies(spark):
+    """EM finds the shares that votes were drawn with, and no share runs into 0 or 1."""
+    r = random.Random(17)
+    planted = {"good": {}, "bad": {}}
+    for k, rule in enumerate(quality_rules.RULES):
+        planted["good"][rule] = (0.03 + 0.02 * (k % 3), 0.2 + 0.05 * k, None)
+        planted["bad"][rule] = (0.35 + 0.05 * k, 0.2, None)
+    for table in planted.values():
+        for rule, (bad, none, _) in table.items():
+            table[rule] = (bad, none, 1 - bad - none)
+    votes, good = [], []
+    for _ in range(30000):
+        kind = "good" if r.random() < 0.8 else "bad"
+        good.append(kind == "good")
+        votes.append(tuple(r.choices((-1, 0, 1), planted[kind][rule])[0] for rule in quality_rules.RULES))
+    df = spark.createDataFrame(votes, ", ".join(f"v_{x} int" for x in quality_rules.RULES))
+    model = quality_rules.fit(df)
+    assert model["prior"] == pytest.approx(0.8, abs=0.03)
+    for kind, table in planted.items():
+        for rule, shares in table.items():
+            assert model[kind][rule] == pytest.approx(shares, abs=0.06)
+            assert all(0 < x < 1 for x in model[kind][rule])
+    got = [x[0] for x in df.select(quality_rules.posterior(model) >= 0.5).collect()]
+    assert sum(a == b for a, b in zip(got, good, strict=True)) > 28000
+
+
+def test_quality_rules_colliding_hashes(spark, docs, rows, monkeypatch):
+    """With hashes of few bits, windows are compared word by word and the counts stay right."""
+    plain = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.statistics(docs).collect()}
+    statistics = quality_rules.statistics
+    real = F.expr
+    monkeypatch.setattr(F, "expr", lambda e: real(e.replace("xxhash64(w, words[i + 1], words[i + 2])", "pmod(xxhash64(w, words[i + 1], words[i + 2]), 7)")))
+    assert {r["doc_id"]: r["n_repeat_words"] for r in statistics(docs).collect()} == plain
+
+
 def test_pitman_yor(docs, none, rows):
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
     got = pitman_yor.apply(docs, learn).collect()

@@ -40,6 +40,8 @@ from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_
 
 HOT, CHAINS, ROUNDS, SWEEPS, SEATED = 1024, 3, 1, 2, 64
 STRENGTH = 1.0
+#: Largest count a pair is packed with.
+MOST = (1 << 32) - 1
 #: Pairs seated at once.
 STRETCH = 200_000
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
@@ -68,25 +70,36 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def frequent(docs: DataFrame, hot: int = HOT) -> tuple[np.ndarray, int]:
-    """Codes of words with at least a share 1 / hot of the training tokens, sorted; and the number of those tokens."""
+    """Codes of words with at least a share 1 / hot of the training tokens, sorted; and the number of those tokens.
+
+    All words are counted, whatever the partitioning, so that a word is frequent or not for good."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        words, counts, held = np.empty(0, np.uint64), np.empty(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            w, at = np.unique(np.concatenate([words, *(h[0] for h in held)]), return_inverse=True)
+            n = np.zeros(len(w), np.int64)
+            np.add.at(n, at, np.concatenate([counts, *(h[1] for h in held)]))
+            held.clear()
+            return w, n
+
+        size = 0
         for batch in batches:
             for _, data, offsets in text_batches(batch):
-                t, _, _ = tokens_of(data, offsets)
-                w, n = np.unique(t, return_counts=True)
-                total += len(t)
-                # a share of 1 / (8 hot) of what came so far is kept: at most 8 hot words
-                words, at = np.unique(np.concatenate([words, w]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
-                keep = counts * 8 * hot >= total
-                words, counts = words[keep], counts[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(words, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, total))], ["w", "n"])
-
-    got = docs.select("text").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    got = materialise(got)
-    total = (got.where("w = 0").first() or {"n": 0})["n"]
-    words = [r["w"] for r in got.where((F.col("w") != 0) & (F.col("n") * hot >= total)).collect()] if total else []
+                held.append(np.unique(tokens_of(data, offsets)[0], return_counts=True))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    words, counts = merged()
+                    size = 0
+                    if len(words) >= FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "n"])
+                        words, counts = words[:0], counts[:0]
+        words, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "n"])
+
+    got = materialise(docs.select("text").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = got.agg(F.sum("n")).first()[0] or 0
+    words = [r["w"] for r in got.where(F.col("n") * hot >= total).collect()] if total else []
     return np.sort(np.array(words, np.int64).view(np.uint64)), int(total)
 
 
@@ -114,22 +127,27 @@ def _counted(w: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple
 
 
 def pack_pairs(w: np.ndarray, x: np.ndarray, c: np.ndarray) -> bytes:
+    """Counts take 32 bits; of larger ones the pair is told several times."""
+    while len(c) and c.max() > MOST:
+        big = c > MOST
+        w, x, c = np.concatenate([w, w[big]]), np.concatenate([x, x[big]]), np.concatenate([np.minimum(c, MOST), c[big] - MOST])
     return w.astype("<u8").tobytes() + x.astype("<u8").tobytes() + c.astype("<u4").tobytes()
 
 
 def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(blob) // 20
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "<u4", n, 16 * n).astype(np.int64)
+    w, x, c = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "<u4", n, 16 * n).astype(np.int64)
+    return _counted(w, x, c) if n and c.max() == MOST else (w, x, c)
 
 
 def pack_contexts(x: np.ndarray, numbers: np.ndarray) -> bytes:
     """numbers: customers and the tables of each chain, a row each."""
-    return x.astype("<u8").tobytes() + numbers.astype("<u4").tobytes()
+    return x.astype("<u8").tobytes() + numbers.astype("<u8").tobytes()
 
 
 def unpack_contexts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // (12 + 4 * CHAINS)
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u4", (1 + CHAINS) * n, 8 * n).reshape(1 + CHAINS, n)
+    n = len(blob) // (16 + 8 * CHAINS)
+    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", (1 + CHAINS) * n, 8 * n).reshape(1 + CHAINS, n)
 
 
 # ---- seating -----------------------------------------------------------------------------------

@@ -1,11 +1,15 @@
 """Weak supervision over quality rules, in DataFrame operations only.
 
-Every rule votes good (+1), bad (-1) or abstains (0) on a document.  The rules' accuracies on good and on bad documents
-and the share of good documents come from expectation-maximisation over the table of vote patterns, which has at most 3**7 rows
-however many documents there are.  A document's verdict is its posterior probability of being good.
-
-Defined results: null and empty texts have no words; ``base_failed`` is then true (fewer than 50 words).
-Other columns of the input are ignored, whatever their names; repeated rows are scored one by one.
+Every rule votes good (+1), bad (-1) or abstains (0) on a document.  A rule's accuracy is a table of six shares: how often
+it votes each way, and abstains, on good and on bad documents.  These tables and the share of good documents come from
+expectation-maximisation over the table of vote patterns, which has at most 3**7 rows however many documents there are.
+A prior worth STRENGTH documents gives each table its start and keeps shares above 0; nothing is clamped or fixed.
+A document's verdict is its posterior probability of being good.
+
+Defined results: null and empty texts have no words; ``base_failed`` is then true (fewer than 50 words).  Texts of any length
+are counted whole; windows whose hashes collide are compared word by word.  Repeated rows are scored one by one and equal
+votes (ties) give equal posteriors; a posterior equal to the threshold keeps.  An empty table gives no rows.  Other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,12 +20,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialise, table
 
 SYMBOLS = "#*$%&|<>"
-RULES = ("symbols", "lines", "repeats", "word_length", "shouting", "capitals", "prose")
-ITERATIONS = 20
-#: Bounds: a rule that votes accuses few good documents and beats chance on bad ones; unbounded, two kinds of good text pass for the two classes.
-LEAST_HIT, LEAST_CATCH = 0.98, 0.5
-#: Starting values: share of good documents, P(good vote | good, voted), P(bad vote | bad, voted).
-PRIOR, HIT, CATCH = 0.8, 0.99, 0.6
+RULES = ("symbols", "lines", "repeats", "word_length", "shouting", "capitals", "sentences")
+ITERATIONS = 30
+#: The prior: share of good documents, and shares of bad votes, abstentions and good votes on good and on bad documents, worth
+#: so many documents.  A bad vote is rare on good documents; bad documents need not fail every rule.
+PRIOR, GOOD, BAD, STRENGTH = 0.8, (0.02, 0.33, 0.65), (0.3, 0.3, 0.4), 10.0
 
 
 def _count_of(text, letters: str):
@@ -31,22 +34,22 @@ def _count_of(text, letters: str):
     return (F.octet_length(text) - F.octet_length(rest)).cast("long")
 
 
-def _repeats():
-    """Words inside 3-word windows that occur twice or more: sort hashed windows with their places in the low bits,
-    keep neighbours that agree in hash and in their words, then measure the union of the windows' spans."""
-    return """
-      CASE WHEN n_words < 4 THEN 0L ELSE aggregate(
-        array_sort(transform(filter(grams, (k, i) ->
-            (i > 0 AND shiftright(k, bits) = shiftright(grams[i - 1], bits)
-               AND words[int(k & low)] = words[int(grams[i - 1] & low)]
-               AND words[int(k & low) + 1] = words[int(grams[i - 1] & low) + 1]
-               AND words[int(k & low) + 2] = words[int(grams[i - 1] & low) + 2])
-            OR (i < size(grams) - 1 AND shiftright(k, bits) = shiftright(grams[i + 1], bits)
-               AND words[int(k & low)] = words[int(grams[i + 1] & low)]
-               AND words[int(k & low) + 1] = words[int(grams[i + 1] & low) + 1]
-               AND words[int(k & low) + 2] = words[int(grams[i + 1] & low) + 2])), k -> k & low)),
-        struct(0L AS n, -3L AS last),
-        (a, p) -> struct(a.n + least(3L, p - a.last) AS n, p AS last), a -> a.n) END"""
+def _united(places: str) -> str:
+    """Words in the union of the 3-word windows at an array of places."""
+    return f"aggregate(array_sort({places}), struct(0L AS n, -3L AS last), (a, p) -> struct(a.n + least(3L, p - a.last) AS n, p AS last), a -> a.n)"
+
+
+def _repeats() -> str:
+    """Words inside 3-word windows that occur twice or more: sort hashed windows with their places in the low bits and keep
+    neighbours that agree.  Where neighbours agree in hash but not in their words, windows are sorted by their words."""
+    hashed = lambda i, j: f"shiftright({i}, bits) = shiftright({j}, bits)"
+    same = lambda i, j: " AND ".join(f"words[int({i} & low) + {k}] = words[int({j} & low) + {k}]" for k in range(3))
+    clash = f"exists(sequence(1, size(grams) - 1), i -> {hashed('grams[i]', 'grams[i - 1]')} AND NOT ({same('grams[i]', 'grams[i - 1]')}))"
+    quick = f"transform(filter(grams, (k, i) -> (i > 0 AND {hashed('k', 'grams[i - 1]')}) OR (i < size(grams) - 1 AND {hashed('k', 'grams[i + 1]')})), k -> k & low)"
+    ordered = "sort_array(transform(slice(words, 1, size(words) - 2), (w, i) -> struct(w AS a, words[i + 1] AS b, words[i + 2] AS c, bigint(i) AS i)))"
+    equal = lambda j: f"(k.a = s[{j}].a AND k.b = s[{j}].b AND k.c = s[{j}].c)"
+    plain = f"flatten(transform(array({ordered}), s -> transform(filter(s, (k, i) -> (i > 0 AND {equal('i - 1')}) OR (i < size(s) - 1 AND {equal('i + 1')})), k -> k.i)))"
+    return f"CASE WHEN n_words < 4 THEN 0L WHEN {clash} THEN {_united(plain)} ELSE {_united(quick)} END"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -69,6 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.expr(_repeats()).alias("n_repeat_words"),
         _count_of(F.col("text"), "!").alias("n_marks"),
         (F.octet_length("text") - F.octet_length(F.regexp_replace("text", "[A-Z]+", ""))).cast("long").alias("n_capitals"),
+        _count_of(F.col("text"), ".").alias("n_stops"),
     )
 
 
@@ -78,56 +82,55 @@ def _vote(bad: str, good: str) -> str:
 
 #: Integer arithmetic only, so that every engine votes alike.
 VOTES = {
-    "symbols": _vote("10 * n_symbols > n_words", "FALSE"),
-    "lines": _vote("n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines", "FALSE"),
-    "repeats": _vote("100 * n_repeat_words > 35 * n_words", "FALSE"),
+    "symbols": _vote("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "lines": _vote("n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines", "n_lines >= 2 AND n_dup_lines = 0"),
+    "repeats": _vote("100 * n_repeat_words > 35 * n_words", "100 * n_repeat_words <= 10 * n_words"),
     "word_length": _vote("word_chars < 2 * n_words OR word_chars > 14 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
-    "shouting": _vote("10 * n_marks > n_words", "FALSE"),
-    "capitals": _vote("2 * n_capitals > word_chars", "FALSE"),
-    "prose": _vote("FALSE", "50 * n_symbols <= n_words AND 50 * n_marks <= n_words AND 5 * n_capitals <= word_chars AND 100 * n_repeat_words <= 20 * n_words"),
+    "shouting": _vote("10 * n_marks > n_words", "50 * n_marks <= n_words"),
+    "capitals": _vote("2 * n_capitals > word_chars", "200 * n_capitals >= word_chars AND 5 * n_capitals <= word_chars"),
+    "sentences": _vote("5 * (n_symbols + n_marks) > n_words OR n_words > 400 * (n_stops + 1)", "50 * (n_symbols + n_marks) <= n_words AND n_words <= 40 * n_stops AND n_words >= 3 * n_stops"),
 }
 
 
 def _step(p: str) -> str:
-    """One round of EM as an expression over `t`, an array of (votes array, count), and parameters `p`."""
-    like = lambda s, acc: f"aggregate(sequence(0, {len(RULES) - 1}), 1.0D, (a, r) -> a * CASE WHEN x.v[r] = 0 THEN 1.0D WHEN x.v[r] = {s} THEN {p}.{acc}[r] ELSE 1.0D - {p}.{acc}[r] END)"
-    q = f"({p}.prior * {like('1', 'hit')}) / ({p}.prior * {like('1', 'hit')} + (1.0D - {p}.prior) * {like('-1', 'catch')})"
+    """One round's posteriors as an expression over `t`, an array of (votes array, count), and parameters `p`."""
+    like = lambda table: f"aggregate(sequence(0, {len(RULES) - 1}), 1.0D, (a, r) -> a * {p}.{table}[3 * r + x.v[r] + 1])"
+    q = f"({p}.prior * {like('good')}) / ({p}.prior * {like('good')} + (1.0D - {p}.prior) * {like('bad')})"
     return f"transform(t, x -> named_struct('v', x.v, 'n', x.n, 'q', {q}))"
 
 
 def fit(votes: DataFrame) -> dict:
-    """EM over the pattern table (at most 3**7 rows) inside one expression; returns 15 numbers."""
+    """EM over the pattern table (at most 3**7 rows) inside one expression; columns v_<rule> to the prior and, for good and for
+    bad documents, each rule's shares of (bad votes, abstentions, good votes)."""
     names = ", ".join(f"v_{r}" for r in RULES)
     patterns = votes.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.expr(f"struct(array({names}) AS v, n)"))).alias("t"))
-    k = len(RULES) - 1
+    total = lambda weight: f"aggregate(s, 0.0D, (a, x) -> a + x.n * {weight})"
+    voted = lambda weight: f"aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[j DIV 3] = j % 3 - 1 THEN x.n * {weight} ELSE 0.0D END)"
+    start = lambda shares: "array(" + ", ".join(f"{x}D" for x in shares * len(RULES)) + ")"
+    table_ = lambda shares, weight: f"transform(sequence(0, {3 * len(RULES) - 1}), j -> ({STRENGTH}D * {start(shares)}[j] + {voted(weight)}) / ({STRENGTH}D + {total(weight)}))"
     update = f"""aggregate(sequence(1, {ITERATIONS}),
-        named_struct('prior', {PRIOR}D, 'hit', array({', '.join([f'{HIT}D'] * len(RULES))}), 'catch', array({', '.join([f'{CATCH}D'] * len(RULES))})),
+        named_struct('prior', {PRIOR}D, 'good', {start(GOOD)}, 'bad', {start(BAD)}),
         (p, i) -> transform(array({_step('p')}), s -> named_struct(
-            'prior', least(0.999D, greatest(0.001D, aggregate(s, 0.0D, (a, x) -> a + x.n * x.q) / aggregate(s, 0.0D, (a, x) -> a + x.n))),
-            'hit', transform(sequence(0, {k}), r -> least(0.999D, greatest({LEAST_HIT}D,
-                (0.9D + aggregate(s, 0.0D, (a, x) -> a + CASE x.v[r] WHEN 1 THEN x.n * x.q ELSE 0.0D END))
-                / (1.0D + aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[r] = 0 THEN 0.0D ELSE x.n * x.q END))))),
-            'catch', transform(sequence(0, {k}), r -> least(0.999D, greatest({LEAST_CATCH}D,
-                (0.5D + aggregate(s, 0.0D, (a, x) -> a + CASE x.v[r] WHEN -1 THEN x.n * (1.0D - x.q) ELSE 0.0D END))
-                / (1.0D + aggregate(s, 0.0D, (a, x) -> a + CASE WHEN x.v[r] = 0 THEN 0.0D ELSE x.n * (1.0D - x.q) END)))))))[0])"""
+            'prior', ({STRENGTH * PRIOR}D + {total('x.q')}) / ({STRENGTH}D + {total('1.0D')}),
+            'good', {table_(GOOD, 'x.q')}, 'bad', {table_(BAD, '(1.0D - x.q)')}))[0])"""
     row = one.where("size(t) > 0").select(F.expr(update).alias("p")).first()
-    if row is None:  # no document to learn from
-        return {"prior": PRIOR, "hit": dict.fromkeys(RULES, HIT), "catch": dict.fromkeys(RULES, CATCH)}
-    row = row["p"]
-    return {"prior": row["prior"], "hit": dict(zip(RULES, row["hit"], strict=True)), "catch": dict(zip(RULES, row["catch"], strict=True))}
+    row = row["p"] if row else {"prior": PRIOR, "good": GOOD * len(RULES), "bad": BAD * len(RULES)}  # no document to learn from
+    tables = {k: {r: tuple(row[k][3 * i : 3 * i + 3]) for i, r in enumerate(RULES)} for k in ("good", "bad")}
+    return {"prior": row["prior"], **tables}
 
 
 def posterior(model: dict):
     """Probability that a document with columns v_<rule> is good."""
-    def like(sign, right):
+    def like(kind):
         out = F.lit(1.0)
         for r in RULES:
-            a, v = model[right][r], F.col(f"v_{r}")
-            out = out * F.when(v == 0, 1.0).when(v == sign, a).otherwise(1.0 - a)
+            bad, none, good = model[kind][r]
+            v = F.col(f"v_{r}")
+            out = out * F.when(v == 0, none).when(v == 1, good).otherwise(bad)
         return out
 
-    good, bad = F.lit(model["prior"]) * like(1, "hit"), F.lit(1.0 - model["prior"]) * like(-1, "catch")
+    good, bad = F.lit(model["prior"]) * like("good"), F.lit(1.0 - model["prior"]) * like("bad")
     return good / (good + bad)
 
 
@@ -153,16 +156,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     w = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
     votes = ", ".join(f"{e} AS v_{r}" for r, e in VOTES.items())
-    like = lambda s, p, acc: " * ".join(f"CASE WHEN v_{r} = 0 THEN 1.0::DOUBLE WHEN v_{r} = {s} THEN {p}.{acc}_{r} ELSE 1.0 - {p}.{acc}_{r} END" for r in RULES)
-    q = lambda p: f"({p}.prior * {like(1, p, 'hit')}) / ({p}.prior * {like(1, p, 'hit')} + (1.0 - {p}.prior) * {like(-1, p, 'catch')})"
-    steps = [f"m0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{HIT}::DOUBLE AS hit_{r}, {CATCH}::DOUBLE AS catch_{r}" for r in RULES) + ")"]
+    sides = ("bad", "none", "good")
+    like = lambda p, kind: " * ".join(f"CASE v_{r} WHEN 0 THEN {p}.{kind}_{r}_none WHEN 1 THEN {p}.{kind}_{r}_good ELSE {p}.{kind}_{r}_bad END" for r in RULES)
+    q = lambda p: f"({p}.prior * {like(p, 'good')}) / ({p}.prior * {like(p, 'good')} + (1.0 - {p}.prior) * {like(p, 'bad')})"
+    kinds = (("good", GOOD, "q"), ("bad", BAD, "(1.0 - q)"))
+    steps = [f"m0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{x}::DOUBLE AS {kind}_{r}_{side}" for kind, shares, _ in kinds for r in RULES for side, x in zip(sides, shares, strict=True)) + ")"]
     for i in range(ITERATIONS):
-        accs = ", ".join(
-            f"least(0.999, greatest({LEAST_HIT}, (0.9 + sum(CASE v_{r} WHEN 1 THEN n * q ELSE 0.0 END)) / (1.0 + sum(CASE WHEN v_{r} = 0 THEN 0.0 ELSE n * q END)))) AS hit_{r}, "
-            f"least(0.999, greatest({LEAST_CATCH}, (0.5 + sum(CASE v_{r} WHEN -1 THEN n * (1.0 - q) ELSE 0.0 END)) / (1.0 + sum(CASE WHEN v_{r} = 0 THEN 0.0 ELSE n * (1.0 - q) END)))) AS catch_{r}"
+        tables = ", ".join(
+            f"({STRENGTH} * {x} + sum(CASE WHEN v_{r} = {v} THEN n * {weight} ELSE 0.0 END)) / ({STRENGTH} + sum(n * {weight})) AS {kind}_{r}_{side}"
+            for kind, shares, weight in kinds
             for r in RULES
+            for v, side, x in zip((-1, 0, 1), sides, shares, strict=True)
         )
-        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT least(0.999, greatest(0.001, sum(n * q) / sum(n))) AS prior, {accs} FROM (SELECT t.*, {q('p')} AS q FROM patterns t, m{i} p))")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT ({STRENGTH * PRIOR} + sum(n * q)) / ({STRENGTH} + sum(n)) AS prior, {tables} FROM (SELECT t.*, {q('p')} AS q FROM patterns t, m{i} p))")
     names = ", ".join(f"v_{r}" for r in RULES)
     return f"""
     WITH base AS (
@@ -177,7 +183,8 @@ def _oracle() -> str:
       SELECT base.doc_id, len(words)::BIGINT AS n_words, len(list_aggregate(list_concat([''], words), 'string_agg', ''))::BIGINT AS word_chars,
              (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-             (len(text) - len(replace(text, '!', '')))::BIGINT AS n_marks, (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
+             (len(text) - len(replace(text, '!', '')))::BIGINT AS n_marks, (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+             (len(text) - len(replace(text, '.', '')))::BIGINT AS n_stops
       FROM base LEFT JOIN r USING (rn)),
     votes AS (SELECT *, {votes} FROM stats),
     patterns AS MATERIALIZED (SELECT {names}, count(*)::DOUBLE AS n FROM votes WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
