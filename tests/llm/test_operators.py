@@ -132,25 +132,60 @@ def test_pitman_yor(docs, none, rows):
 def test_pitman_yor_probabilities_add_up():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    word, u, c = pitman_yor._counted(rng.integers(0, 30, 4000), rng.integers(0, 4, 4000))
-    t = pitman_yor.Totals(4)
-    n, *sums = (x for _, _, x in [r for r in pitman_yor._stats(word, u, c) if r[0] == 2])
-    t.vocabulary, t.parent_customers[:], t.parent_tables[:] = int(n), sums[0], n
-    t.customers = np.bincount(u, c, 4)
-    t.tables[:] = np.bincount(u, minlength=4)
-    for chain in range(2):
-        tables, pc, pt = pitman_yor.sample(word, u, c, t, chain, 1)
-        assert (tables[u > 0] >= 1).all() and (tables <= c).all() and (pt <= pc).all()
-        t.tables[chain] = np.bincount(u, tables, 4)
-        t.parent_customers[chain], t.parent_tables[chain] = pc.sum(), pt.sum()
-        p = t.parent(chain, pc, pt)
-        assert p.sum() + t.parent(chain, np.zeros(1), np.zeros(1))[0] == pytest.approx(1)
-        for k in range(1, 4):
-            own = u == k
-            q = t.escape(chain)[k] * p
-            q[word[own]] += (c[own] - t.discount * tables[own]) / (pitman_yor.STRENGTH + t.customers[k])
-            assert q.sum() + t.escape(chain)[k] * t.parent(chain, np.zeros(1), np.zeros(1))[0] == pytest.approx(1)
+    r = np.random.default_rng(0)
+    u, w = np.divmod(np.unique(r.integers(0, 5 * 30, 400)), 30)
+    c = r.integers(1, 9, len(u))
+    t = np.minimum(c, r.integers(1, 5, len(u)))
+    parent = r.random(30)
+    parent /= parent.sum()
+    customers, tables = np.bincount(u, c, 5), np.bincount(u, t, 5)
+    every = np.repeat(np.arange(5), 30), np.tile(np.arange(30), 5)
+    full_c, full_t = np.zeros((5, 30)), np.zeros((5, 30))
+    full_c[u, w], full_t[u, w] = c, t
+    p = pitman_yor.predictive(full_c.ravel(), full_t.ravel(), every[0], customers, tables, parent[every[1]], 1.3, 0.6)
+    assert np.bincount(every[0], p) == pytest.approx(np.ones(5))
+
+
+def test_pitman_yor_seating_agrees_with_plain_restaurants():
+    """Mean tables against customers seated one by one at tables with sizes."""
+    import numpy as np
+
+    rng, r = np.random.default_rng(3), random.Random(3)
+    for c, alpha, d in ((2, 0.4, 0.7), (9, 1.1, 0.5), (40, 0.2, 0.8), (600, 0.9, 0.3)):
+        got = pitman_yor.seat(np.full(3000, c), np.full(3000, alpha), d, rng)
+        assert got.min() >= 1 and got.max() <= c
+        plain = []
+        for _ in range(600):
+            sizes = [1]
+            for _ in range(c - 1):
+                x = r.random() * (alpha + sum(sizes) - d * len(sizes))
+                if x < alpha:
+                    sizes.append(1)
+                else:
+                    k = r.choices(range(len(sizes)), [s - d for s in sizes])[0]
+                    sizes[k] += 1
+            plain.append(len(sizes))
+        assert got.mean() == pytest.approx(sum(plain) / len(plain), rel=0.06)
+    assert pitman_yor.seat(np.zeros(3, np.int64), np.ones(3), 0.5, rng).tolist() == [0, 0, 0]
+
+
+def test_pitman_yor_packs_any_count():
+    import numpy as np
+
+    p = pitman_yor.Pairs(np.array([3, 5], np.uint64), np.array([7, 8, 9], np.uint64), np.array([0, 0, 1]), np.array([0, 2, 1]), np.array([1 << 40, 0, 255]))
+    q = pitman_yor.Pairs.joined([pitman_yor.Pairs.unpack(p.pack())] * 2)
+    assert q.c.tolist() == [1 << 41, 0, 510] and q.u.tolist() == [0, 0, 1] and q.w.tolist() == [0, 2, 1]
+
+
+def test_pitman_yor_same_for_any_partitioning(spark, monkeypatch):
+    """Also with many buckets, split contexts and listed words."""
+    monkeypatch.setattr(pitman_yor, "BUCKET", 200)
+    monkeypatch.setattr(pitman_yor, "SAMPLED", 2)
+    r = random.Random(9)
+    df = spark.createDataFrame([(k, prose(r, r.randrange(1, 60)) + " ka " * (k % 3)) for k in range(300)], "doc_id long, text string")
+    assert len(pitman_yor.layout(df.withColumn("learn", F.lit(True))).split) > 0
+    runs = [{x["doc_id"]: x["score"] for x in pitman_yor.apply(df.repartition(n), F.col("doc_id") % 5 != 0).collect()} for n in (1, 20)]
+    assert len(runs[0]) == 300 and runs[0] == pytest.approx(runs[1], rel=1e-6)
 
 
 def test_pitman_yor_learns_contexts_of_rare_words(spark):

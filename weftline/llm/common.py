@@ -62,7 +62,16 @@ def materialise(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def forget(written: DataFrame) -> None:
+    """Delete what `materialise` wrote, when nothing reads it any more."""
+    spark, path = written.sparkSession, written._weftline_path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def tidied(run):

@@ -2,33 +2,33 @@
 
 Every word that some training token follows, and the start of a text, has a restaurant of its own for the words that
 follow it; all of them share the parent restaurant of single words; its base is uniform over the vocabulary and one
-unknown word.  Discounts are estimated from the counts of counts of each level.
-
-Training is by Gibbs sampling of Chinese-restaurant seating.  Words are dealt to buckets by hash; a bucket holds all
-counts of its words in all restaurants, so that the seating of a word, in the context restaurants and in their parent,
-is sampled where the word is.  Frequent words (count at least a share 1 / HOT of all tokens, so at most HOT of them) would
-overfill a bucket: their counts after frequent words are seated on the driver (at most HOT * (HOT + 2) pairs), those after
-rarer words lie in the bucket of the preceding word, with the parent's probability fixed for the round.
-
-What couples words, the number of customers and tables in each restaurant, is summed between rounds: of frequent contexts
-on the driver (at most CHAINS * (HOT + 2) numbers), of all others in a table dealt by context (`_exchange`), which answers
-each bucket for the contexts it holds.  No context is left out.  Customers of a word in a restaurant are seated one by one, then
-every one is taken up and seated anew in each sweep.  Where a word has more than SEATED customers in one restaurant,
-only the number of tables is kept, drawn in blocks of an eighth.  The probabilities of CHAINS chains are averaged.
-
-Scoring sends a token to the bucket its pair of word and context lies in, where counts and seating are; frequent words
-after frequent words (at most HOT * (HOT + 2) probabilities) are scored where the text is.  Pairs that only texts to be
-scored have are counted as 0, so that a bucket knows the totals of all contexts it is asked about.
+unknown word.
+
+Training is by Gibbs sampling of Chinese-restaurant seating, in CHAINS chains whose predictive probabilities are averaged.
+Pairs of context and word are dealt to buckets by context; contexts with more tokens than a bucket takes are split by
+word.  A round seats all customers of each word in each restaurant anew, one after the other, given the parent's
+probabilities and everything else; a customer opens a table with weight (strength + discount * tables) * parent, or joins
+one with weight customers - discount * tables, so the number of tables is all the state there is to keep.  Above EXACT
+customers of a word in one restaurant, tables are drawn in blocks of 1/64 of those seated.  Each table is a customer of
+the parent: buckets tell the tables of their words to the words' own buckets (`_exchange`), where the parent's customers
+are seated in the same way, and are told the new weights.  Strengths are resampled each round by auxiliary variables;
+discounts are estimated from counts of counts, the parent's from each chain's seating of the round.
+
+Words and pairs with more than a share 1 / LIST of the tokens (at most LIST) are known to every task, so that no bucket is
+asked for them by all others, and frequent pairs are scored where the text is.  All other tokens are scored in the bucket of
+their pair, in PASSES passes over the buckets that bound what is shuffled at once.  Pairs that only texts to be scored have
+count 0.  Which words are listed, and how many buckets there are, follows from a sample of the texts; it decides about
+balance and the random numbers drawn, not about what is counted.
 
 Tokens: A-Z lower-cased, words are runs of bytes other than white space, then one end token.  Words are told apart by
-64-bit hashes.  Defined results: null and empty texts are one end token; without training rows every probability comes
-from the base (train_tokens 0); repeated rows each count and each get a row; a row without doc_id is in training;
-other columns are ignored.
+64-bit hashes.  Defined results: null and empty texts are one end token; texts of any length are counted and scored whole;
+without training rows every probability comes from the base (train_tokens 0); repeated rows each count and each get a row;
+a row without doc_id is in training; an empty table gives no rows; words with equal counts (ties) are treated alike; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, tidied_group, word_bounds
+from .common import CODES, LOWER, forget, held_out, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, tidied_group, word_bounds
 
-HOT, CHAINS, ROUNDS, SWEEPS, SEATED = 1024, 3, 1, 2, 64
-STRENGTH = 1.0
-#: Largest count a pair is packed with.
-MOST = (1 << 32) - 1
-#: Pairs seated at once.
-STRETCH = 200_000
+CHAINS, ROUNDS, EXACT = 3, 2, 256
+#: At most so many words and pairs are listed; of the sample, one text in SAMPLED, a word must have LISTED tokens, of all a pair PAIRED.
+LIST, SAMPLED, LISTED, PAIRED = 1 << 20, 16, 8, 32
+#: Tokens of a task sent on at once, about as many to a bucket, and passes of scoring.
+FLUSH, BUCKET, PASSES = 1_000_000, 1_000_000, 2
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
-#: Tokens of a task sent on at once, and about as many to a bucket.
-FLUSH, BUCKET = 2_000_000, 2_000_000
 NAMELESS = (1 << 63) - 1
+LOW = np.uint64(0xFFFFFFFF)
 
 
 # ---- tokens ------------------------------------------------------------------------------------
@@ -69,366 +67,166 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, before, doc
 
 
-def frequent(docs: DataFrame, hot: int = HOT) -> tuple[np.ndarray, int]:
-    """Codes of words with at least a share 1 / hot of the training tokens, sorted; and the number of those tokens.
-
-    All words are counted, whatever the partitioning, so that a word is frequent or not for good."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, held = np.empty(0, np.uint64), np.empty(0, np.int64), []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            w, at = np.unique(np.concatenate([words, *(h[0] for h in held)]), return_inverse=True)
-            n = np.zeros(len(w), np.int64)
-            np.add.at(n, at, np.concatenate([counts, *(h[1] for h in held)]))
-            held.clear()
-            return w, n
-
-        size = 0
-        for batch in batches:
-            for _, data, offsets in text_batches(batch):
-                held.append(np.unique(tokens_of(data, offsets)[0], return_counts=True))
-                size += len(held[-1][0])
-                if size >= FLUSH:
-                    words, counts = merged()
-                    size = 0
-                    if len(words) >= FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "n"])
-                        words, counts = words[:0], counts[:0]
-        words, counts = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "n"])
-
-    got = materialise(docs.select("text").mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total = got.agg(F.sum("n")).first()[0] or 0
-    words = [r["w"] for r in got.where(F.col("n") * hot >= total).collect()] if total else []
-    return np.sort(np.array(words, np.int64).view(np.uint64)), int(total)
-
-
-def _place(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Index among the frequent words, or -1."""
-    if not len(hot):
+def _place(codes: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Index in a sorted array, or -1."""
+    if not len(among):
         return np.full(len(codes), -1, np.int64)
-    at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
-    return np.where(hot[at] == codes, at, -1)
+    at = np.minimum(np.searchsorted(among, codes), len(among) - 1)
+    return np.where(among[at] == codes, at, -1)
 
 
-def _context(before: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Number of each context: 1.. the frequent words, len(hot) + 1 the start, 0 any other."""
-    return np.where(before == START, len(hot) + 1, _place(before, hot) + 1)
+def pair_code(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u.copy()) + w)
 
 
-def _counted(w: np.ndarray, u: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((u, w))
-    w, u = w[order], u[order]
-    first = np.ones(len(w), bool)
-    first[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-    at = np.flatnonzero(first)
-    n = np.add.reduceat(c[order], at) if c is not None and len(at) else np.diff(np.append(at, len(w)))
-    return w[at], u[at], n.astype(np.int64)
+class Layout:
+    """Where things are: listed words (sorted), the number of buckets, and the contexts that are split, with their parts."""
 
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, texts: int) -> None:
+        """Estimates: tokens of the listed words, of all words, and number of texts."""
+        self.words = words
+        self.buckets = max(8, -(-tokens // BUCKET))
+        names, sizes = np.append(words, START), np.append(counts, texts)
+        order = np.argsort(names)
+        names, sizes = names[order], sizes[order]
+        split = sizes > BUCKET
+        self.split, self.parts = names[split], -(-sizes[split] // BUCKET).astype(np.int64)
 
-def pack_pairs(w: np.ndarray, x: np.ndarray, c: np.ndarray) -> bytes:
-    """Counts take 32 bits; of larger ones the pair is told several times."""
-    while len(c) and c.max() > MOST:
-        big = c > MOST
-        w, x, c = np.concatenate([w, w[big]]), np.concatenate([x, x[big]]), np.concatenate([np.minimum(c, MOST), c[big] - MOST])
-    return w.astype("<u8").tobytes() + x.astype("<u8").tobytes() + c.astype("<u4").tobytes()
+    def bucket(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at, key = _place(u, self.split), u
+        some = at >= 0
+        if some.any():
+            key = u.copy()
+            key[some] += (mix(w[some]) % self.parts[at[some]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return (mix(key.copy()) % np.uint64(self.buckets)).astype(np.int64)
 
+    def home(self, w: np.ndarray) -> np.ndarray:
+        """The bucket of each word in the parent."""
+        return (mix(w + np.uint64(0x484F4D45)) % np.uint64(self.buckets)).astype(np.int64)
 
-def unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 20
-    w, x, c = np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", n, 8 * n), np.frombuffer(blob, "<u4", n, 16 * n).astype(np.int64)
-    return _counted(w, x, c) if n and c.max() == MOST else (w, x, c)
 
+def layout(docs: DataFrame) -> Layout:
+    """From a sample of the training texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_batches(batch):
+                w, n = np.unique(tokens_of(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["w", "n"])
 
-def pack_contexts(x: np.ndarray, numbers: np.ndarray) -> bytes:
-    """numbers: customers and the tables of each chain, a row each."""
-    return x.astype("<u8").tobytes() + numbers.astype("<u8").tobytes()
+    drawn = docs.where("learn").select("text").where(F.pmod(F.xxhash64(F.lit(31), "text"), F.lit(SAMPLED)) == 0)
+    counts = materialise(drawn.mapInArrow(tidied(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("n") >= max(LISTED, total // LIST)).toArrow()
+    w, n = got["w"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(w)
+    texts = int(n[w == END].sum())
+    forget(counts)
+    return Layout(w[order], n[order] * SAMPLED, total * SAMPLED, texts * SAMPLED)
 
 
-def unpack_contexts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // (16 + 8 * CHAINS)
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u8", (1 + CHAINS) * n, 8 * n).reshape(1 + CHAINS, n)
+# ---- counts ------------------------------------------------------------------------------------
 
+def _ints(values: np.ndarray) -> bytes:
+    """Small numbers in one octet each, larger ones aside."""
+    big = values >= 255
+    return np.array([big.sum()], "<u8").tobytes() + np.where(big, 255, values).astype("u1").tobytes() + values[big].astype("<i8").tobytes()
 
-# ---- seating -----------------------------------------------------------------------------------
 
-class Seating:
-    """Tables of many (restaurant, word) pairs with `customers` each, sampled side by side."""
-
-    def __init__(self, customers: np.ndarray, alpha: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        self.c, self.d, self.rng = customers, discount, rng
-        self.tables = np.minimum(customers, 1).astype(np.int64)
-        self.bins, low = [], 2
-        while low <= SEATED:
-            high = min(SEATED, 2 * low - 1)
-            rows = np.flatnonzero((customers >= low) & (customers <= high))
-            for k in range(0, len(rows), 100_000):
-                part = rows[k : k + 100_000]
-                part = part[np.argsort(-customers[part], kind="stable")]
-                n, most = len(part), int(customers[part[0]])
-                state = {"rows": part, "c": customers[part], "seat": np.zeros((n, most), np.int16), "size": np.zeros((n, most), np.int32), "t": np.zeros(n, np.int64),
-                         "free": np.tile(np.arange(most - 1, -1, -1, dtype=np.int16), (n, 1)), "top": np.full(n, most, np.int64)}
-                self.bins.append(state)
-                for j in range(most):
-                    active = int(np.searchsorted(-state["c"], -j, "left"))
-                    self._seat(state, active, j, np.full(active, j), alpha[part[:active]])
-                self.tables[part] = state["t"]
-            low = high + 1
-        self.large = np.flatnonzero(customers > SEATED)
-        self._blocks(alpha)
-
-    def _seat(self, s: dict, active: int, j: int, others: np.ndarray, alpha: np.ndarray) -> None:
-        """Seat customer j of the first `active` rows, others being seated already."""
-        if not active:
-            return
-        r = np.arange(active)
-        t = s["t"][:active]
-        new = self.rng.random(active) * (alpha + others - self.d * t) < alpha
-        new |= others == 0
-        table = np.empty(active, np.int64)
-        todo = r[~new]
-        gibbs = s["c"][:active] - 1 == others
-        while len(todo):
-            # the table of a customer drawn at random, taken with probability (size - d) / size
-            i = (self.rng.random(len(todo)) * others[todo]).astype(np.int64)
-            i += gibbs[todo] & (i >= j)
-            k = s["seat"][todo, i].astype(np.int64)
-            ok = self.rng.random(len(todo)) * s["size"][todo, k] >= self.d
-            table[todo[ok]] = k[ok]
-            todo = todo[~ok]
-        rows = r[new]
-        s["top"][rows] -= 1
-        table[rows] = s["free"][rows, s["top"][rows]]
-        s["t"][rows] += 1
-        s["seat"][r, j] = table
-        s["size"][r, table] += 1
-
-    def _blocks(self, alpha: np.ndarray) -> None:
-        rows = self.large
-        if not len(rows):
-            return
-        a, c, t, j = alpha[rows], self.c[rows], np.ones(len(rows)), np.ones(len(rows))
-        while (j < c).any():
-            b = np.minimum(np.maximum(1, j // 8), c - j)
-            t += np.where(b > 0, self.rng.binomial(np.maximum(b, 0).astype(np.int64), np.clip(a / (a + j - self.d * t), 0, 1)), 0)
-            t = np.minimum(t, j + b)
-            j += b
-        self.tables[rows] = t.astype(np.int64)
-
-    def sweep(self, alpha: np.ndarray) -> None:
-        """Take up every customer once and seat it anew."""
-        for s in self.bins:
-            for j in range(s["seat"].shape[1]):
-                active = int(np.searchsorted(-s["c"], -j, "left"))
-                r = np.arange(active)
-                k = s["seat"][r, j].astype(np.int64)
-                s["size"][r, k] -= 1
-                gone = r[s["size"][r, k] == 0]
-                s["free"][gone, s["top"][gone]] = k[gone]
-                s["top"][gone] += 1
-                s["t"][gone] -= 1
-                self._seat(s, active, j, s["c"][:active] - 1, alpha[s["rows"][:active]])
-            self.tables[s["rows"]] = s["t"]
-        self._blocks(alpha)
+def _indices(values: np.ndarray, size: int) -> bytes:
+    return values.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
 
 
-class Totals:
-    """What restaurants share: customers and tables of each context, customers and tables of the parent, by chain."""
+class _Reader:
+    def __init__(self, blob) -> None:
+        self.blob, self.at = blob, 0
 
-    def __init__(self, contexts: int) -> None:
-        self.customers = np.zeros(contexts)
-        self.tables = np.zeros((CHAINS, contexts))
-        self.parent_customers, self.parent_tables = np.zeros(CHAINS), np.zeros(CHAINS)
-        self.vocabulary = 0
-        self.discount, self.parent_discount = 0.75, 0.75
-        self.frequent_parent = np.zeros((CHAINS, max(0, contexts - 2)))  # the parent's probability of each frequent word
-
-    def escape(self, chain: int) -> np.ndarray:
-        """Weight of the parent in each context (1 for contexts without a restaurant)."""
-        out = (STRENGTH + self.discount * self.tables[chain]) / (STRENGTH + self.customers)
-        out[0] = 1.0
+    def take(self, dtype: str, n: int) -> np.ndarray:
+        out = np.frombuffer(self.blob, dtype, n, self.at)
+        self.at += out.nbytes
         return out
 
-    def parent(self, chain: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        d, n = self.parent_discount, STRENGTH + self.parent_customers[chain]
-        return (c - d * t) / n + (STRENGTH + d * self.parent_tables[chain]) / n / (self.vocabulary + 1)
-
-
-def sample(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables of each pair; customers and tables in the parent of each word. word: dense indices, sorted."""
-    rng = np.random.default_rng([chain, seed])
-    n = int(word[-1]) + 1 if len(word) else 0
-    own = u > 0
-    direct = np.bincount(word[~own], c[~own], n)
-    w, ctx, cc = word[own], u[own], c[own]
-    weight = STRENGTH + totals.discount * totals.tables[chain]
-    parent_c = direct + np.bincount(w, minlength=n)
-    parent_t = np.minimum(parent_c, 1)
-    p = totals.parent(chain, parent_c, parent_t)
-    seats = Seating(cc, weight[ctx] * p[w], totals.discount, rng)
-    for _ in range(SWEEPS):
-        parent_c = direct + np.bincount(w, seats.tables, n)
-        base = np.full(n, (STRENGTH + totals.parent_discount * totals.parent_tables[chain]) / (totals.vocabulary + 1))
-        above = Seating(parent_c.astype(np.int64), base, totals.parent_discount, rng)
-        above.sweep(base)
-        p = totals.parent(chain, parent_c, above.tables)
-        seats.sweep(weight[ctx] * p[w])
-    parent_c = direct + np.bincount(w, seats.tables, n)
-    parent_t = np.minimum(above.tables, parent_c)
-    t = np.zeros(len(word), np.int64)
-    t[own] = seats.tables
-    return t, parent_c, parent_t
-
-
-def sample_bucket(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`sample` over stretches of whole words, so that seating needs no arrays of the bucket's size."""
-    out, at, k = [], 0, 0
-    while at < len(word):
-        to = int(np.searchsorted(word, word[min(at + STRETCH, len(word)) - 1], "right"))
-        out.append(sample((word[at:to] - word[at]).astype(np.int64), u[at:to], c[at:to].astype(np.int64), totals, chain, seed + (k << 32)))
-        at, k = to, k + 1
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0), np.zeros(0))
-
-
-def sample_frequent(word: np.ndarray, u: np.ndarray, c: np.ndarray, totals: Totals, chain: int, seed: int) -> np.ndarray:
-    """Tables of each pair of a frequent word (by its index) and a rarer context, the parent being fixed."""
-    alpha = (STRENGTH + totals.discount * totals.tables[chain])[u] * totals.frequent_parent[chain][word]
-    seats = Seating(c, alpha, totals.discount, np.random.default_rng([chain, seed, 1]))
-    for _ in range(SWEEPS):
-        seats.sweep(alpha)
-    return seats.tables
-
-
-def _dense(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(w, return_inverse=True)
-    return words, at
-
-
-def _stats(word: np.ndarray, u: np.ndarray, c: np.ndarray, contexts: int | None = None) -> list[tuple[int, int, float]]:
-    """(kind, key, value) of a bucket's counts: 0 customers and 1 pairs of a context (of the first `contexts`), 2 the sums that don't belong to one."""
-    out = []
-    for kind, values in ((0, np.bincount(u, c)), (1, np.bincount(u))):
-        out += [(kind, int(k), float(values[k])) for k in np.flatnonzero(values[:contexts])]
-    n = int(word[-1]) + 1 if len(word) else 0
-    own = u > 0
-    parent = np.bincount(word[~own], c[~own], n) + np.bincount(word[own], minlength=n)
-    for k, v in enumerate((n, parent.sum(), (c[own] == 1).sum(), (c[own] == 2).sum(), (parent == 1).sum(), (parent == 2).sum(), c.sum())):
-        out.append((2, k, float(v)))
-    return out
-
-
-def _discount(once: float, twice: float) -> float:
-    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-
-class Model:
-    """Frequent words, totals and, for frequent words, averaged probabilities after each context."""
-
-    def __init__(self, hot: np.ndarray, totals: Totals, tokens: int) -> None:
-        self.hot, self.totals, self.tokens = hot, totals, tokens
-        self.hot_counts = np.zeros(len(hot), np.int64)
-        self.hot_table = np.zeros((len(hot), len(hot) + 2))
+    def ints(self, n: int) -> np.ndarray:
+        big = int(self.take("<u8", 1)[0])
+        out = self.take("u1", n).astype(np.int64)
+        if big:
+            out[out == 255] = self.take("<i8", big)
+        return out
 
+    def indices(self, n: int, size: int) -> np.ndarray:
+        return self.take("<u2" if size <= 1 << 16 else "<u4", n).astype(np.int64)
 
-class Bucket:
-    """Counts of a bucket: `word, u, c` of its own words, `fword, fu, fc` of frequent words after rarer contexts.
-
-    Contexts have local numbers: those of `_context`, then `rare`, the hashes of the others."""
-
-    def __init__(self, blob: bytes, hot: np.ndarray) -> None:
-        w, x, c = unpack_pairs(blob)
-        self.hot, self.shared = hot, len(hot) + 2
-        self.rare = np.unique(x[_context(x, hot) == 0])
-        self.contexts = self.shared + len(self.rare)
-        u, h = self.numbers(x), _place(w, hot)
-        own, far = (h < 0) & (c > 0), (h >= 0) & (c > 0)
-        order = np.lexsort((u[own], w[own]))
-        self.words, self.word = _dense(w[own][order])
-        self.word = self.word.astype(np.int32)
-        self.u, self.c = u[own][order], c[own][order].astype(np.int32)
-        order = np.lexsort((u[far], h[far]))
-        self.fword, self.fu, self.fc = h[far][order], u[far][order], c[far][order]
-
-    def numbers(self, x: np.ndarray) -> np.ndarray:
-        u = _context(x, self.hot).astype(np.int32)
-        other = u == 0
-        u[other] = self.shared + np.searchsorted(self.rare, x[other])
-        return u
-
-    def asks(self, numbers: np.ndarray, b: int, buckets: int) -> list[tuple[int, int, bytes]]:
-        """(bucket of the context, b, blob) of what this bucket adds to its rarer contexts."""
-        to = (mix(self.rare.copy()) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        return [(int(k), b, pack_contexts(self.rare[o], numbers[:, o])) for k in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[k] : cuts[k + 1]]]]
-
-    def totals(self, totals: Totals, answers: list[bytes]) -> Totals:
-        """The totals with this bucket's rarer contexts."""
-        out = copy.copy(totals)
-        parts = [unpack_contexts(x) for x in answers]
-        numbers = np.concatenate([p[1] for p in parts], axis=1) if parts else np.empty((1 + CHAINS, 0))
-        numbers = numbers[:, np.argsort(np.concatenate([p[0] for p in parts]))] if parts else numbers
-        out.customers = np.concatenate([totals.customers, numbers[0]])
-        out.tables = np.concatenate([totals.tables, numbers[1:]], axis=1)
-        return out
 
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.u, self.c, self.contexts) + np.bincount(self.fu, self.fc, self.contexts)
+class Pairs:
+    """Distinct pairs sorted by context and word: names of contexts and words, indices into them, and counts."""
 
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
+        self.contexts, self.words, self.u, self.w, self.c = contexts, words, u, w, c
 
-def _answer(key: tuple, group: pa.Table) -> pa.Table:
-    """Sums over buckets of each context, sent back to the buckets that hold it."""
-    parts = [unpack_contexts(x.as_py()) for x in group.column("blob")]
-    x, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    sums = np.array([np.bincount(at, np.concatenate([p[1][k] for p in parts]), len(x)) for k in range(1 + CHAINS)])
-    cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-    blobs = [pack_contexts(p[0], sums[:, at[s:e]]) for p, s, e in zip(parts, cuts[:-1], cuts[1:], strict=True)]
-    return pa.table([group.column("b").combine_chunks(), pa.array(blobs, pa.binary())], ["b", "blob"])
+    def pack(self) -> bytes:
+        nu, nw, n = len(self.contexts), len(self.words), len(self.u)
+        return b"".join([np.array([nu, nw, n], "<u8").tobytes(), self.contexts.tobytes(), self.words.tobytes(), np.bincount(self.u, minlength=nu).astype("<u4").tobytes(), _indices(self.w, nw), _ints(self.c)])
 
+    @classmethod
+    def unpack(cls, blob) -> Pairs:
+        r = _Reader(blob)
+        nu, nw, n = r.take("<u8", 3).tolist()
+        contexts, words, runs = r.take("<u8", nu), r.take("<u8", nw), r.take("<u4", nu)
+        return cls(contexts, words, np.repeat(np.arange(nu), runs), r.indices(n, nw), r.ints(n))
 
-def _exchange(told: DataFrame) -> DataFrame:
-    """(b, blob): the totals of all contexts of each bucket."""
-    return materialise(told.where("blob IS NOT NULL").select(F.col("k").cast("int").alias("to"), "b", "blob").groupBy("to").applyInArrow(tidied_group(_answer), "b int, blob binary"))
+    @classmethod
+    def joined(cls, parts: list[Pairs]) -> Pairs:
+        contexts, words = (np.unique(np.concatenate([getattr(p, k) for p in parts])) for k in ("contexts", "words"))
+        key = np.concatenate([(np.searchsorted(contexts, p.contexts)[p.u] << 32) | np.searchsorted(words, p.words)[p.w] for p in parts])
+        c = np.concatenate([p.c for p in parts])
+        order = np.argsort(key)
+        key, c = key[order], c[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key = key[at]
+        return cls(contexts, words, key >> 32, key & 0xFFFFFFFF, np.add.reduceat(c, at))
 
 
-#: What buckets tell: numbers (kind or chain, key, value), and blobs for the bucket k of a context from bucket b.
-TOLD = "kind int, k long, v double, b int, blob binary"
+def _coded(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    contexts, ui = np.unique(u, return_inverse=True)
+    words, wi = np.unique(w, return_inverse=True)
+    return contexts, words, ui, wi
 
 
-def _told(numbers: list[tuple[int, int, float]], asks: list[tuple[int, int, bytes]]) -> pa.Table:
-    rows = [(*n, None, None) for n in numbers] + [(0, to, 0.0, b, blob) for to, b, blob in asks]
-    types = (pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.binary())
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["kind", "k", "v", "b", "blob"])
+def _local(names: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names some indices use, and indices into these; names stay sorted."""
+    used = np.zeros(len(names), bool)
+    used[index] = True
+    return names[used], (np.cumsum(used) - 1)[index]
 
 
-def _route_counts(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(b, blob): (word, context) pairs of all texts, counted in training texts; b = -1: frequent words after frequent contexts."""
+def _route(docs: DataFrame, where: Layout) -> DataFrame:
+    """(b, blob): pairs of all texts, counted in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            w, x, c = _counted(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            contexts, words, u, w = _coded(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            key = (u.astype(np.uint64) << np.uint64(32)) | (w.astype(np.uint64) << np.uint64(1)) | np.concatenate([h[2] for h in held])
             held.clear()
-            rows = []
-            often = _place(w, hot) >= 0
-            both = often & (_context(x, hot) > 0)
-            if both.any():
-                rows.append((-1, pack_pairs(w[both], x[both], c[both])))
-            w, x, c, often = w[~both], x[~both], c[~both], often[~both]
-            b = (mix(np.where(often, x, w)) % np.uint64(buckets)).astype(np.int64)
+            key.sort()
+            at = np.flatnonzero(np.append(True, (key[1:] >> np.uint64(1)) != (key[:-1] >> np.uint64(1))))
+            c = np.add.reduceat((key & np.uint64(1)).astype(np.int64), at)
+            u, w = (key[at] >> np.uint64(32)).astype(np.int64), ((key[at] & LOW) >> np.uint64(1)).astype(np.int64)
+            b = where.bucket(contexts[u], words[w])
             order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
+            cuts = np.searchsorted(b[order], np.arange(where.buckets + 1))
+            ks, blobs = np.flatnonzero(np.diff(cuts)), []
+            for k in ks:
                 o = order[cuts[k] : cuts[k + 1]]
-                rows.append((int(k), pack_pairs(w[o], x[o], c[o])))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "blob"])
+                (names_u, i), (names_w, j) = _local(contexts, u[o]), _local(words, w[o])
+                blobs.append(Pairs(names_u, names_w, i, j, c[o]).pack())
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], ["b", "blob"])
 
         for batch in batches:
-            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
             for row, data, offsets in text_batches(batch):
                 t, before, d = tokens_of(data, offsets)
-                held.append((t, before, learn[row + d]))
+                held.append((before, t, learn[row + d]))
                 size += len(t)
                 if size >= FLUSH:
                     yield send()
@@ -439,138 +237,310 @@ def _route_counts(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text", "learn").mapInArrow(tidied(run), "b int, blob binary")
 
 
-def _gather(key: tuple, group: pa.Table) -> pa.Table:
-    parts = [unpack_pairs(x.as_py()) for x in group.column("blob")]
-    w, x, c = _counted(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
-    return pa.table([pa.array([max(-1, key[0].as_py())], pa.int32()), pa.array([pack_pairs(w, x, c)], pa.binary())], ["b", "blob"])
+# ---- seating -----------------------------------------------------------------------------------
 
+def seat(customers: np.ndarray, alpha: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables that the customers of many (restaurant, word) pairs take, seated one after the other, all pairs side by side."""
+    tables = np.minimum(customers, 1).astype(np.int64)
+    order = np.argsort(-customers, kind="stable")
+    order = order[: int(np.searchsorted(-customers[order], -1, "left"))]
+    c, a, t = customers[order], alpha[order], np.ones(len(order), np.int64)
+    most = int(c[0]) if len(c) else 0
+    for j in range(1, min(most, EXACT)):
+        n = int(np.searchsorted(-c, -j, "left"))  # pairs with more than j customers
+        t[:n] += rng.random(n) * (a[:n] + j - discount * t[:n]) < a[:n]
+    n = int(np.searchsorted(-c, -EXACT, "left"))
+    if n:
+        j = np.full(n, EXACT)
+        while (j < c[:n]).any():
+            block = np.clip(j // 64, 0, c[:n] - j)
+            middle = j + block / 2
+            t[:n] += rng.binomial(block, np.clip(a[:n] / (a[:n] + middle - discount * t[:n]), 0, 1))
+            j += block
+    tables[order] = t
+    return tables
+
+
+def strength_terms(customers: np.ndarray, tables: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> tuple[float, float]:
+    """Sums over restaurants of the auxiliary variables of the strength: successes, and logarithms of shares."""
+    some = customers > 1
+    shares = rng.beta(strength + 1, customers[some] - 1) if some.any() else np.ones(1)
+    more = np.maximum(tables - 1, 0)
+    few = np.minimum(more, 1000)
+    i = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few) + 1
+    wins = float((rng.random(len(i)) * (strength + discount * i) < strength).sum())
+    many = more[more > 1000].astype(float)
+    wins += float(rng.poisson(strength / discount * np.log((strength + discount * many) / (strength + discount * 1000))).sum())
+    return wins, float(np.log(np.maximum(shares, 1e-300)).sum())
+
+
+def discount_of(once: float, twice: float) -> float:
+    """From counts of counts; a restaurant without any has 0.5."""
+    return (once + 0.5) / (once + 2 * twice + 1.0)
 
-def _bucket_seed(b: int) -> int:
-    return b + 7
 
+class Totals:
+    """What all restaurants share, by chain, and the parent's weights of listed words."""
 
-def train(docs: DataFrame, hot_share: int = HOT) -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model, the tables of counted pairs and of context totals by bucket, and the number of buckets. docs: text, and learn, true for training rows."""
-    spark = docs.sparkSession
-    hot, tokens = frequent(docs.where("learn"), hot_share)
-    buckets = max(8, -(-tokens // BUCKET))
-    routed = _route_counts(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), hot, buckets)
-    # the frequent words' counts after frequent contexts are combined by pair, in rows: at most HOT * (HOT + 2) of them
-    both = materialise(routed.withColumn("part", F.when(F.col("b") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(64)).cast("int")).otherwise(F.col("b"))).groupBy("part").applyInArrow(tidied_group(_gather), "b int, blob binary"))
-    pairs = both.where("b >= 0")
-
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                w, x, c = unpack_pairs(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(_place(w, hot)), pa.array(_context(x, hot)), pa.array(c)], ["w", "u", "c"])
+    def __init__(self, where: Layout) -> None:
+        n = len(where.words)
+        self.strength, self.parent_strength = np.ones(CHAINS), np.ones(CHAINS)
+        self.discount, self.parent_discount = 0.5, np.full(CHAINS, 0.5)
+        self.parent_customers, self.parent_tables = np.zeros(CHAINS), np.zeros(CHAINS)
+        self.tokens = self.vocabulary = 0
+        self.split_customers, self.split_tables = np.zeros(len(where.split)), np.zeros((CHAINS, len(where.split)))
+        self.weight, self.count = np.zeros((CHAINS, n), np.float32), np.zeros(n, np.int64)
 
-    hot_rows = both.where("b < 0").select("blob").mapInArrow(tidied(unfold), "w long, u long, c long").groupBy("w", "u").agg(F.sum("c").alias("c")).where("c > 0").orderBy("w", "u").toArrow()
-    hw, hu, hc = (hot_rows[k].to_numpy().astype(np.int64) for k in ("w", "u", "c"))
+    def parent(self, chain: int, weight: np.ndarray) -> np.ndarray:
+        """Probability of words in the parent; weight: customers less discount times tables."""
+        n = self.parent_strength[chain] + self.parent_customers[chain]
+        return weight / n + (self.parent_strength[chain] + self.parent_discount[chain] * self.parent_tables[chain]) / n / (self.vocabulary + 1)
 
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                x = Bucket(blob, hot)
-                numbers = _stats(x.word, x.u, x.c, x.shared)
-                numbers += [(2, k, float(v)) for k, v in ((2, (x.fc == 1).sum()), (3, (x.fc == 2).sum()), (6, x.fc.sum()))]
-                for kind, values in ((3, np.bincount(x.fword)), (4, np.bincount(x.fword, x.fc))):
-                    numbers += [(kind, int(k), float(values[k])) for k in np.flatnonzero(values)]
-                types = np.bincount(x.u, minlength=x.contexts) + np.bincount(x.fu, minlength=x.contexts)
-                yield from _told(numbers, x.asks(np.array([x.customers(), *[types] * CHAINS])[:, x.shared :], b, buckets)).to_batches()
-
-    totals = Totals(len(hot) + 2)
-    sums = np.zeros(7)
-    rare_tables, rare_counts = np.zeros((CHAINS, len(hot))), np.zeros(len(hot))
-    told = materialise(pairs.mapInArrow(tidied(stats), TOLD))
-    for kind, k, v in told.where("blob IS NULL").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect():
-        if kind == 0:
-            totals.customers[k] += v
-        elif kind == 1:
-            totals.tables[:, k] += v
-        elif kind == 2:
-            sums[k] += v
-        elif kind == 3:
-            rare_tables[:, k] += v
-        else:
-            rare_counts[k] += v
-    known = _exchange(told)
-    totals.customers += np.bincount(hu, hc, len(hot) + 2)
-    totals.tables += np.bincount(hu, minlength=len(hot) + 2)
-    above = np.bincount(hw, minlength=len(hot)) + rare_tables[0]  # customers of the frequent words in the parent
-    sums += [(above > 0).sum(), above.sum(), (hc == 1).sum(), (hc == 2).sum(), (above == 1).sum(), (above == 2).sum(), hc.sum()]
-    totals.vocabulary = int(sums[0])
-    totals.parent_customers[:], totals.parent_tables[:] = sums[1], sums[0]
-    totals.discount, totals.parent_discount = _discount(sums[2], sums[3]), _discount(sums[4], sums[5])
+
+def predictive(c: np.ndarray, t: np.ndarray, u: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray, strength: float, discount: float) -> np.ndarray:
+    """Probability of each pair; customers and tables of each context u, the parent's probability of each pair's word."""
+    return (c - discount * t + (strength + discount * tables[u]) * parent) / (strength + customers[u])
+
+
+# ---- training ----------------------------------------------------------------------------------
+
+#: kind 0: number k with value v; 1: pairs of bucket b; 2: from bucket b to word bucket k, or back; 3: tables of bucket b; 4: listed words; 5: scores of bucket b; 6: frequent pairs.
+ROWS = "kind int, k int, b int, v double, blob binary"
+_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], [x.split()[0] for x in ROWS.split(", ")])
+
+
+def _asks(pairs: Pairs, tables: np.ndarray, where: Layout, b: int, wanted: np.ndarray, counts: bool) -> list[tuple]:
+    """What bucket b tells the word buckets of its words: tables of each chain, whether it wants an answer, and counts."""
+    n = len(pairs.words)
+    sums = [np.bincount(pairs.w, t, n) for t in tables] + ([np.bincount(pairs.w, pairs.c, n)] if counts else [])
+    home = where.home(pairs.words)
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(where.buckets + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(cuts)):
+        o = order[cuts[k] : cuts[k + 1]]
+        out.append((2, int(k), b, None, b"".join([np.array([len(o)], "<u8").tobytes(), pairs.words[o].tobytes(), wanted[o].tobytes(), *(_ints(x[o].astype(np.int64)) for x in sums)])))
+    return out
+
+
+def _exchange(told: DataFrame, where: Layout, totals: Totals, counts: bool, seed: int) -> DataFrame:
+    """The parent's seating, in the buckets of words; answers to buckets, listed words, and numbers."""
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        k, sizes, words, wanted = key[0].as_py(), [], [], []
+        sums: list[list[np.ndarray]] = [[] for _ in range(CHAINS + counts)]
+        for blob in group.column("blob"):
+            r = _Reader(blob.as_buffer())
+            n = int(r.take("<u8", 1)[0])
+            sizes.append(n)
+            words.append(r.take("<u8", n))
+            wanted.append(r.take("?", n))
+            for x in sums:
+                x.append(r.ints(n))
+        names, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = [np.bincount(at, np.concatenate(x), len(names)).astype(np.int64) for x in sums]
+        listed = _place(names, where.words)
+        weight, out = np.empty((CHAINS, len(names)), np.float32), []
+        for chain in range(CHAINS):
+            c, d = total[chain], totals.parent_discount[chain]
+            base = (totals.parent_strength[chain] + d * totals.parent_tables[chain]) / (totals.vocabulary + 1)
+            t = seat(c, np.full(len(c), base), d, np.random.default_rng([seed, chain, k, 1]))
+            weight[chain] = c - d * t
+            out += [(0, 10 * chain + i, None, float(v), None) for i, v in enumerate((c.sum(), t.sum(), (c == 1).sum(), (c == 2).sum()))]
+        out.append((0, 100, None, float((total[0] > 0).sum()), None))
+        own = listed >= 0
+        if own.any():
+            out.append((4, k, None, None, b"".join([np.array([own.sum()], "<u8").tobytes(), listed[own].astype("<i8").tobytes(), weight[:, own].tobytes(), (total[-1][own] if counts else np.zeros(own.sum(), np.int64)).tobytes()])))
+        cuts = np.cumsum([0, *sizes])
+        for b, s, e, w in zip(group.column("b").to_pylist(), cuts[:-1], cuts[1:], wanted, strict=True):
+            i = at[s:e][w]
+            i = i[~own[i]]
+            out.append((2, k, b, None, weight[:, i].tobytes() + (_ints(total[-1][i]) if counts else b"")))
+        return _rows(out)
+
+    return materialise(told.where("kind = 2").groupBy("k").applyInArrow(tidied_group(answer), ROWS))
+
+
+def _read_exchange(answers: DataFrame, where: Layout, totals: Totals) -> None:
+    """Take the parent's numbers and the listed words over into the totals."""
+    rng = np.random.default_rng(totals.tokens + 1)
+    got = {r["k"]: r["v"] for r in answers.where("kind = 0").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    totals.vocabulary = int(got.get(100, 0))
     for chain in range(CHAINS):
-        totals.frequent_parent[chain] = totals.parent(chain, above, np.minimum(above, 1))
-
-    def hot_sample(chain: int) -> tuple[np.ndarray, ...]:
-        """Frequent words: word, context and count of each pair, its tables; and the parent's probability of each word. Tables after rarer contexts sit in the parent."""
-        more = np.flatnonzero(rare_tables[chain])
-        w, u, c = np.concatenate([hw, more]), np.concatenate([hu, np.zeros(len(more), np.int64)]), np.concatenate([hc, rare_tables[chain][more].astype(np.int64)])
-        order = np.lexsort((u, w))
-        w, u, c = w[order], u[order], c[order]
-        words, at = _dense(w)
-        t, pc, pt = sample(at, u, c, totals, chain, _bucket_seed(-1))
-        return w, u, c, t, pc, pt, words
-
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(totals)  # CHAINS * (HOT + 2) numbers
-
-        def seat(key: tuple, group: pa.Table) -> pa.Table:
-            b, kinds, blobs = key[0].as_py(), group.column("kind").to_pylist(), group.column("blob").to_pylist()
-            x = Bucket(blobs[kinds.index(1)], hot)
-            local = x.totals(shared.value, [v for k, v in zip(kinds, blobs, strict=True) if k == 2])
-            numbers, tables = [], [x.customers()]
+        c, t, once, twice = (got.get(10 * chain + i, 0.0) for i in range(4))
+        totals.parent_customers[chain], totals.parent_tables[chain] = c, t
+        wins, logs = strength_terms(np.array([c]), np.array([int(t)]), totals.parent_strength[chain], totals.parent_discount[chain], rng)
+        totals.parent_strength[chain] = rng.gamma(1 + wins) / (1 - logs)
+        totals.next_discount[chain] = discount_of(once, twice)
+    for row in answers.where("kind = 4").select("blob").toArrow()["blob"]:
+        r = _Reader(row.as_buffer())
+        n = int(r.take("<u8", 1)[0])
+        at = r.take("<i8", n)
+        totals.weight[:, at] = r.take("<f4", CHAINS * n).reshape(CHAINS, n)
+        totals.count[at] = r.take("<i8", n)
+
+
+class Bucket:
+    """A bucket's pairs with what it has been told: tables of each pair, the parent's weights of its words, and their counts."""
+
+    def __init__(self, group: pa.Table, where: Layout, totals: Totals) -> None:
+        kinds, ks, blobs = group.column("kind").to_pylist(), group.column("k").to_pylist(), [x.as_buffer() for x in group.column("blob")]
+        self.pairs = p = Pairs.unpack(blobs[kinds.index(1)])
+        self.where = where
+        listed = _place(p.words, where.words)
+        self.own = listed < 0
+        self.split = _place(p.contexts, where.split)
+        first = np.minimum(p.c, 1)
+        self.tables = [first] * CHAINS
+        if 3 in kinds:
+            r = _Reader(blobs[kinds.index(3)])
+            self.tables = [r.ints(len(first)) for _ in range(CHAINS)]
+        self.customers = np.bincount(p.u, p.c, len(p.contexts))
+        self.customers[self.split >= 0] = totals.split_customers[self.split[self.split >= 0]]
+        self.weight, self.count = np.zeros((CHAINS, len(p.words))), np.zeros(len(p.words), np.int64)
+        self.weight[:, ~self.own], self.count[~self.own] = totals.weight[:, listed[~self.own]], totals.count[listed[~self.own]]
+        self.answers = [(k, blob) for kind, k, blob in zip(kinds, ks, blobs, strict=True) if kind == 2]
+
+    def wanted(self, every: bool) -> np.ndarray:
+        """Words whose weights the next job needs: all, or those with a customer to be seated."""
+        p = self.pairs
+        return np.ones(len(p.words), bool) if every else np.bincount(p.w[p.c > 1], minlength=len(p.words)) > 0
+
+    def read(self, wanted: np.ndarray, counts: bool) -> None:
+        home = self.where.home(self.pairs.words)
+        asked = np.flatnonzero(wanted & self.own)
+        order = asked[np.argsort(home[asked], kind="stable")]
+        cuts = np.searchsorted(home[order], np.arange(self.where.buckets + 1))
+        for k, blob in self.answers:
+            o = order[cuts[k] : cuts[k + 1]]
+            r = _Reader(blob)
+            self.weight[:, o] = r.take("<f4", CHAINS * len(o)).reshape(CHAINS, len(o))
+            if counts:
+                self.count[o] = r.ints(len(o))
+
+    def context_tables(self, chain: int, totals: Totals) -> np.ndarray:
+        out = np.bincount(self.pairs.u, self.tables[chain], len(self.pairs.contexts))
+        out[self.split >= 0] = totals.split_tables[chain, self.split[self.split >= 0]]
+        return out
+
+
+def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
+    """Layout, totals, scores by bucket (kind 5) and frequent pairs (kind 6). docs: text, and learn, true for training rows."""
+    spark = docs.sparkSession
+    where = layout(docs)
+
+    def gather(key: tuple, group: pa.Table) -> pa.Table:
+        b = key[0].as_py()
+        p = Pairs.joined([Pairs.unpack(x.as_buffer()) for x in group.column("blob")])
+        first = np.minimum(p.c, 1)
+        numbers = [(0, i, None, float(v), None) for i, v in enumerate((p.c.sum(), (p.c == 1).sum(), (p.c == 2).sum()))]
+        numbers += _split_numbers(p, [first], where, 1000, p.c)
+        wanted = np.bincount(p.w[p.c > 1], minlength=len(p.words)) > 0
+        return _rows([(1, None, b, None, p.pack()), *numbers, *_asks(p, [first] * CHAINS, where, b, wanted, False)])
+
+    told = materialise(_route(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), where).groupBy("b").applyInArrow(tidied_group(gather), ROWS))
+    first = told
+    pairs, state = told.where("kind = 1"), None
+    totals = Totals(where)
+    got = {r["k"]: r["v"] for r in told.where("kind = 0").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    totals.tokens, totals.discount = int(got.get(0, 0)), discount_of(got.get(1, 0.0), got.get(2, 0.0))
+    _read_split(totals, got, where, first=True)
+    totals.next_discount = np.full(CHAINS, 0.5)
+
+    answers = _exchange(told, where, totals, ROUNDS == 0, 0)
+    _read_exchange(answers, where, totals)
+    totals.parent_discount = totals.next_discount.copy()
+    for round_ in range(1, ROUNDS + 1):
+        last = round_ == ROUNDS
+        shared = spark.sparkContext.broadcast(totals)  # at most LIST words and contexts
+
+        def sit(key: tuple, group: pa.Table) -> pa.Table:
+            b, known = key[0].as_py(), shared.value
+            x = Bucket(group, where, known)
+            p, some = x.pairs, x.pairs.c > 1
+            x.read(x.wanted(False), False)
+            tables, numbers = [], []
             for chain in range(CHAINS):
-                t, pc, pt = sample_bucket(x.word, x.u, x.c, local, chain, _bucket_seed(b))
-                ft = sample_frequent(x.fword, x.fu, x.fc, local, chain, _bucket_seed(b))
-                n = np.bincount(x.u, t, x.contexts) + np.bincount(x.fu, ft, x.contexts)
-                tables.append(n)
-                f = np.bincount(x.fword, ft)
-                numbers += [(chain, int(k), float(n[k])) for k in np.flatnonzero(n[: x.shared])] + [(chain, -1, float(pc.sum())), (chain, -2, float(pt.sum()))]
-                numbers += [(chain, -3 - int(k), float(f[k])) for k in np.flatnonzero(f)]
-            return _told(numbers, x.asks(np.array(tables)[:, x.shared :], b, buckets))
-
-        both = pairs.select("b", F.lit(1).alias("kind"), "blob").unionByName(known.select("b", F.lit(2).alias("kind"), "blob"))
-        told = materialise(both.groupBy("b").applyInArrow(tidied_group(seat), TOLD))
-        del both
-        got = [(r["kind"], r["k"], r["v"]) for r in told.where("blob IS NULL").groupBy("kind", "k").agg(F.sum("v").alias("v")).collect()]
-        known = _exchange(told)
+                rng = np.random.default_rng([round_, chain, b])
+                s, d = known.strength[chain], known.discount
+                alpha = (s + d * x.context_tables(chain, known))[p.u[some]] * known.parent(chain, x.weight[chain])[p.w[some]]
+                t = np.minimum(p.c, 1)
+                t[some] = seat(p.c[some], alpha, d, rng)
+                tables.append(t)
+                whole = x.split < 0
+                wins, logs = strength_terms(x.customers[whole].astype(np.int64), np.bincount(p.u, t, len(p.contexts))[whole].astype(np.int64), s, d, rng)
+                numbers += [(0, 10 * chain + 5, None, wins, None), (0, 10 * chain + 6, None, logs, None)]
+            numbers += _split_numbers(p, tables, where, 1000, None)
+            return _rows([(3, None, b, None, b"".join(_ints(t) for t in tables)), *numbers, *_asks(p, tables, where, b, x.wanted(last), last)])
+
+        parts = pairs.unionByName(answers.where("kind = 2"))
+        parts = parts.unionByName(state) if state is not None else parts
+        before, told = told, materialise(parts.groupBy("b").applyInArrow(tidied_group(sit), ROWS))
+        forget(answers)
+        if before is not first:
+            forget(before)
+        state = told.where("kind = 3")
+        totals = _copied(totals)
+        got = {r["k"]: r["v"] for r in told.where("kind = 0").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        _read_split(totals, got, where)
+        rng = np.random.default_rng([totals.tokens, round_])
+        for chain in range(CHAINS):
+            wins, logs = strength_terms(totals.split_customers.astype(np.int64), totals.split_tables[chain].astype(np.int64), totals.strength[chain], totals.discount, rng)
+            totals.strength[chain] = rng.gamma(1 + wins + got.get(10 * chain + 5, 0.0)) / (1 - logs - got.get(10 * chain + 6, 0.0))
+        answers = _exchange(told, where, totals, last, round_)
+        _read_exchange(answers, where, totals)
+        if not last:
+            totals.parent_discount = totals.next_discount.copy()
+
+    shared = spark.sparkContext.broadcast(totals)
+    often = max(PAIRED, totals.tokens // LIST)
+
+    def finish(key: tuple, group: pa.Table) -> pa.Table:
+        b, known = key[0].as_py(), shared.value
+        x = Bucket(group, where, known)
+        x.read(x.wanted(True), True)
+        p, prob = x.pairs, np.zeros(len(x.pairs.u))
         for chain in range(CHAINS):
-            if len(hw) or rare_tables[chain].any():
-                _, u, _, t, pc, pt, _ = hot_sample(chain)
-                n = np.bincount(u, t)
-                got += [(chain, int(k), float(n[k])) for k in np.flatnonzero(n)] + [(chain, -1, float(pc.sum())), (chain, -2, float(pt.sum()))]
-        new = Totals(len(hot) + 2)
-        new.customers, new.vocabulary, new.discount, new.parent_discount = totals.customers, totals.vocabulary, totals.discount, totals.parent_discount
-        rare_tables = np.zeros((CHAINS, len(hot)))
-        for chain, k, v in got:
-            if k == -1:
-                new.parent_customers[chain] += v
-            elif k == -2:
-                new.parent_tables[chain] += v
-            elif k > 0:
-                new.tables[chain, k] += v
-            elif k < 0:
-                rare_tables[chain, -3 - k] += v
-        totals = new
-
-    model = Model(hot, totals, int(sums[6]))
-    if len(hot):
-        model.hot_counts += rare_counts.astype(np.int64)
-        np.add.at(model.hot_counts, hw, hc)
+            prob += predictive(p.c, x.tables[chain], p.u, x.customers, x.context_tables(chain, known), known.parent(chain, x.weight[chain])[p.w], known.strength[chain], known.discount) / CHAINS
+        out = [(5, None, b, None, p.pack() + prob.astype("<f4").tobytes() + _ints(x.count))]
+        top = p.c >= often
+        if top.any():
+            out.append((6, None, b, None, b"".join([np.array([top.sum()], "<u8").tobytes(), pair_code(p.contexts[p.u[top]], p.words[p.w[top]]).tobytes(), prob[top].tobytes(), x.count[p.w[top]].tobytes()])))
+        return _rows(out)
+
+    scores = materialise(pairs.unionByName(answers.where("kind = 2")).unionByName(state).groupBy("b").applyInArrow(tidied_group(finish), ROWS))
+    for used in (first, told, answers):
+        forget(used)
+    return where, totals, scores.where("kind = 5"), scores.where("kind = 6")
+
+
+def _copied(totals: Totals) -> Totals:
+    import copy
+
+    return copy.deepcopy(totals)
+
+
+def _split_numbers(p: Pairs, tables: list[np.ndarray], where: Layout, start: int, c: np.ndarray | None) -> list[tuple]:
+    """Customers (if c is given) and tables by chain of the bucket's part of split contexts."""
+    at = _place(p.contexts, where.split)
+    out = []
+    for j, values in enumerate([c, *tables]):
+        if values is not None:
+            sums = np.bincount(p.u, values, len(p.contexts))
+            out += [(0, start + (CHAINS + 1) * int(at[i]) + j, None, float(sums[i]), None) for i in np.flatnonzero(at >= 0)]
+    return out
+
+
+def _read_split(totals: Totals, got: dict[int, float], where: Layout, first: bool = False) -> None:
+    for i in range(len(where.split)):
+        at = 1000 + (CHAINS + 1) * i
+        if first:
+            totals.split_customers[i] = got.get(at, 0.0)
         for chain in range(CHAINS):
-            w, u, c, t, pc, pt, words = hot_sample(chain)
-            p = np.full(len(hot), totals.parent(chain, np.zeros(1), np.zeros(1))[0])
-            p[words] = totals.parent(chain, pc, pt)
-            totals.frequent_parent[chain] = p
-            out = totals.escape(chain)[None, :] * p[:, None]
-            own = u > 0
-            out[w[own], u[own]] += (c[own] - totals.discount * t[own]) / (STRENGTH + totals.customers[u[own]])
-            model.hot_table += out / CHAINS
-    return model, pairs, known, buckets
+            totals.split_tables[chain, i] = got.get(at + 1 + (0 if first else chain), 0.0)
 
 
 # ---- scoring -----------------------------------------------------------------------------------
@@ -609,137 +579,116 @@ def _summed(key: tuple, group: pa.Table) -> pa.Table:
 PARTIAL = "rk long, doc long, rows long, tokens long, known long, base double, lm double"
 
 
-def score(docs: DataFrame, model: Model, pairs: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame) -> DataFrame:
     """rk, doc, rows and the sums over tokens of each distinct (doc_id, text); base is the sum of log10(count + 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most HOT * (HOT + 2) probabilities
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        log_hot, log_count = np.log10(np.maximum(m.hot_table, 1e-300)), np.log10(m.hot_counts + 1.0)
-        held: list[tuple] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            rk, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            shift = np.cumsum([0, *(len(h[0]) for h in held)])
-            t, x = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            d = np.concatenate([h[4] + s for h, s in zip(held, shift, strict=False)])
-            held.clear()
-            at, u, n = _place(t, m.hot), _context(x, m.hot), len(rk)
-            often = at >= 0
-            hit = often & (u > 0)
-            known = np.bincount(d[often], m.hot_counts[at[often]] > 0, n)
-            base, lm = np.bincount(d[often], log_count[at[often]], n), np.bincount(d[hit], log_hot[at[hit], u[hit]], n)
-            rows = [(-1 - p, blob) for p, blob in _dealt(buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=known, base=base, lm=lm)]
-            t, x, d, often = t[~hit], x[~hit], d[~hit], often[~hit]
-            b = (mix(np.where(often, x, t)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                o = order[cuts[k] : cuts[k + 1]]
-                o = o[np.argsort(d[o], kind="stable")]
-                first = np.ones(len(o), bool)
-                first[1:] = d[o][1:] != d[o][:-1]
-                texts = d[o][first]
-                runs = np.diff(np.append(np.flatnonzero(first), len(o)))
-                head = np.array([len(o), len(texts)], "<u8").tobytes()
-                rows.append((int(k), head + rk[texts].astype("<i8").tobytes() + runs.astype("<u4").tobytes() + t[o].astype("<u8").tobytes() + x[o].astype("<u8").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "kind", "blob"])
-
-        for batch in batches:
-            rk, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, data, offsets in text_batches(batch):
-                t, before, d = tokens_of(data, offsets)
-                n = len(offsets) - 1
-                held.append((rk[row : row + n], doc[row : row + n], t, before, d))
-                size += len(t)
-                if size >= FLUSH:
-                    yield send()
-                    size = 0
-        if held:
-            yield send()
+    codes, logs, counts = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]
+    for row in frequent.select("blob").toArrow()["blob"]:
+        r = _Reader(row.as_buffer())
+        n = int(r.take("<u8", 1)[0])
+        codes.append(r.take("<u8", n))
+        logs.append(np.log10(r.take("<f8", n)))
+        counts.append(np.log10(r.take("<i8", n) + 1.0))
+    order = np.argsort(np.concatenate(codes))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(np.concatenate(x)[order] for x in (codes, logs, counts)))  # at most LIST pairs
+
+    def routed(turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, logs, counts = shared.value
+            held: list[tuple] = []
+            size = 0
+
+            def send() -> pa.RecordBatch:
+                rk, doc = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                shift = np.cumsum([0, *(len(h[0]) for h in held)])
+                w, u = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+                d = np.concatenate([h[4] + s for h, s in zip(held, shift, strict=False)])
+                held.clear()
+                n, at = len(rk), _place(pair_code(u, w), codes)
+                hit = at >= 0
+                rows = []
+                if not turn:
+                    sums = lambda v: np.bincount(d[hit], v, n)
+                    rows = [(-1 - p, blob) for p, blob in _dealt(where.buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=sums(np.ones(hit.sum())), base=sums(counts[at[hit]]), lm=sums(logs[at[hit]]))]
+                b = where.bucket(u, w)
+                mine = np.flatnonzero(~hit & (b % PASSES == turn))
+                mine = mine[np.argsort(b[mine], kind="stable")]
+                contexts, words, ui, wi = _coded(u[mine], w[mine])
+                b, d = b[mine], d[mine]
+                cuts = np.searchsorted(b, np.arange(where.buckets + 1))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    o = slice(cuts[k], cuts[k + 1])
+                    (names_u, i), (names_w, j) = _local(contexts, ui[o]), _local(words, wi[o])
+                    first = np.flatnonzero(np.append(True, d[o][1:] != d[o][:-1]))
+                    runs, texts = np.diff(np.append(first, len(i))), rk[d[o][first]]
+                    head = np.array([len(names_u), len(names_w), len(i), len(texts)], "<u8").tobytes()
+                    rows.append((int(k), b"".join([head, names_u.tobytes(), names_w.tobytes(), texts.astype("<i8").tobytes(), runs.astype("<u4").tobytes(), _indices(i, len(names_u)), _indices(j, len(names_w))])))
+                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "kind", "blob"])
+
+            for batch in batches:
+                rk, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for row, data, offsets in text_batches(batch):
+                    t, before, d = tokens_of(data, offsets)
+                    n = len(offsets) - 1
+                    held.append((rk[row : row + n], doc[row : row + n], t, before, d))
+                    size += len(t)
+                    if size >= FLUSH:
+                        yield send()
+                        size = 0
+            if held:
+                yield send()
+
+        return docs.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
 
     def judge(key: tuple, group: pa.Table) -> pa.Table:
         b = key[0].as_py()
-        blobs, kinds = group.column("blob"), group.column("kind").to_pylist()
         if b < 0:
-            return pa.table([pa.array([-1 - b] * len(blobs), pa.int32()), blobs], ["part", "blob"])
-        m: Model = shared.value
-        rk, n, t, x, held, answers = [], [], [], [], b"", []
-        for kind, v in zip(kinds, blobs, strict=True):
-            raw = v.as_buffer()
-            if kind == 1:
-                held = raw.to_pybytes()
-                continue
-            if kind == 2:
-                answers.append(raw.to_pybytes())
-                continue
-            tokens, texts = np.frombuffer(raw, "<u8", 2).tolist()
-            at = 16
-            rk.append(np.frombuffer(raw, "<i8", texts, at))
-            n.append(np.frombuffer(raw, "<u4", texts, at + 8 * texts))
-            t.append(np.frombuffer(raw, "<u8", tokens, at + 12 * texts))
-            x.append(np.frombuffer(raw, "<u8", tokens, at + 12 * texts + 8 * tokens))
-        if not t:
+            return pa.table([pa.array([-1 - b] * group.num_rows, pa.int32()), group.column("blob")], ["part", "blob"])
+        kinds, blobs = group.column("kind").to_pylist(), [x.as_buffer() for x in group.column("blob")]
+        if 0 not in kinds:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "blob"])
-        rk, n, t, x = np.concatenate(rk), np.concatenate(n).astype(np.int64), np.concatenate(t), np.concatenate(x)
-        have = Bucket(held, m.hot)
-        totals, u, h = have.totals(m.totals, answers), have.numbers(x), _place(t, m.hot)
-        del x
-        often = h >= 0
-        counts = np.bincount(have.word, have.c, len(have.words))
-        at = np.searchsorted(have.words, t)
-        at[at == len(have.words)] = 0
-        known = ~often & (have.words[at] == t) if len(have.words) else np.zeros(len(t), bool)
-        total = np.zeros(len(t))
-        total[known] = counts[at[known]]
-
-        def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-            k = np.searchsorted(keys, wanted)
-            k[k == len(keys)] = 0
-            return np.where(keys[k] == wanted, k, -1) if len(keys) else np.full(len(wanted), -1)
-
-        # the pair of each token: of the bucket's own words, or of frequent words
-        pair = np.full(len(t), -1)
-        pair[known] = places(have.word.astype(np.int64) * have.contexts + have.u, at[known] * have.contexts + u[known])
-        pair[often] = places(have.fword * have.contexts + have.fu, h[often] * have.contexts + u[often])
-        seen = pair >= 0
-        prob = np.zeros(len(t))
-        for chain in range(CHAINS):
-            p = np.full(len(t), totals.parent(chain, np.zeros(1), np.zeros(1))[0])
-            p[often] = totals.frequent_parent[chain][h[often]]
-            more = np.zeros(len(t))
-            if len(have.words):
-                tables, c1, t1 = sample_bucket(have.word, have.u, have.c, totals, chain, _bucket_seed(b))
-                p[known] = totals.parent(chain, c1, t1)[at[known]]
-                own = seen & ~often
-                more[own] = (have.c - totals.discount * tables)[pair[own]]
-            if len(have.fword):
-                far = seen & often
-                more[far] = (have.fc - totals.discount * sample_frequent(have.fword, have.fu, have.fc, totals, chain, _bucket_seed(b)))[pair[far]]
-            prob += (totals.escape(chain)[u] * p + more / (STRENGTH + totals.customers[u])) / CHAINS
-        texts, at = np.unique(rk, return_inverse=True)
-        owner = np.repeat(at, n)
-        sums = lambda v: np.bincount(owner, v, len(texts))
-        rows = _dealt(buckets, rk=texts, known=sums(known), base=sums(np.log10(total + 1.0)), lm=sums(np.log10(np.maximum(prob, 1e-300))))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
-
-    routed = docs.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
-    routed = routed.unionByName(pairs.select("b", F.lit(1).alias("kind"), "blob")).unionByName(known.select("b", F.lit(2).alias("kind"), "blob"))
-    return routed.groupBy("b").applyInArrow(tidied_group(judge), "part int, blob binary").groupBy("part").applyInArrow(_summed, PARTIAL)
+        r = _Reader(blobs[kinds.index(5)])
+        nu, nw, n = r.take("<u8", 3).tolist()
+        contexts, words, runs = r.take("<u8", nu), r.take("<u8", nw), r.take("<u4", nu)
+        keys = (np.repeat(np.arange(nu), runs) << 32) | r.indices(n, nw)
+        r.ints(n)
+        log, count = np.log10(r.take("<f4", n).astype(np.float64)), r.ints(nw)
+        log_count, known = np.log10(count + 1.0), (count > 0).astype(float)
+        rk, sums = [], [[], [], []]
+        for kind, blob in zip(kinds, blobs, strict=True):
+            if kind:
+                continue
+            r = _Reader(blob)
+            nu, nw, n, texts = r.take("<u8", 4).tolist()
+            names_u, names_w = np.searchsorted(contexts, r.take("<u8", nu)), np.searchsorted(words, r.take("<u8", nw))
+            rk.append(r.take("<i8", texts))
+            runs = r.take("<u4", texts).astype(np.int64)
+            u, w = names_u[r.indices(n, nu)], names_w[r.indices(n, nw)]
+            at = np.searchsorted(keys, (u << 32) | w)
+            first = np.cumsum(runs) - runs
+            for x, v in zip(sums, (known[w], log_count[w], log[at]), strict=True):
+                x.append(np.add.reduceat(v, first))
+        rows = _dealt(where.buckets, rk=np.concatenate(rk), **{k: np.concatenate(v) for k, v in zip(("known", "base", "lm"), sums, strict=True)})
+        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "blob"])
+
+    done = None
+    for turn in range(PASSES):
+        held = scores.where(F.col("b") % PASSES == turn).select("b", "kind", "blob")
+        part = materialise(routed(turn).unionByName(held).groupBy("b").applyInArrow(tidied_group(judge), "part int, blob binary"))
+        done = part if done is None else done.unionByName(part)
+    return done.groupBy("part").applyInArrow(_summed, PARTIAL)
 
 
 def apply(docs: DataFrame, training) -> DataFrame:
     """One row per row of docs. training: a boolean Column, true for rows to learn from."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), training.alias("learn"))
-    model, pairs, totals, buckets = train(d)
+    where, totals, scores, frequent = train(d)
     named = d.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rk"), F.coalesce("doc_id", F.lit(NAMELESS)).alias("doc"), "text")
-    s = score(named, model, pairs, totals, buckets)
-    size = model.tokens + model.totals.vocabulary + 1
+    s = score(named, where, scores, frequent)
+    size = totals.tokens + totals.vocabulary + 1
     # equal rows were summed together: each gets its share
     s = s.select(F.when(F.col("doc") != NAMELESS, F.col("doc")).alias("doc_id"), *[(F.col(x) / F.col("rows")).alias(x) for x in ("tokens", "known", "base", "lm")], F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
     return s.select(
-        "doc_id", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "doc_id", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("tokens") * F.log10(F.lit(float(size)))).alias("base_score"), F.col("lm").alias("score"), F.pow(F.lit(10.0), -F.col("lm") / F.col("tokens")).alias("perplexity"),
     )
 
