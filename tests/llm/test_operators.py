@@ -174,6 +174,9 @@ def test_pitman_yor_packs_any_count():
 
     p = pitman_yor.Pairs(np.array([3, 5], np.uint64), np.array([7, 8, 9], np.uint64), np.array([0, 0, 1]), np.array([0, 2, 1]), np.array([1 << 40, 0, 255]))
     q = pitman_yor.Pairs.joined([pitman_yor.Pairs.unpack(p.pack())] * 2)
+    for size in (9, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 5):
+        some = np.array([0, size // 2, size - 1])
+        assert pitman_yor._Reader(pitman_yor._indices(some, size)).indices(3, size).tolist() == some.tolist()
     assert q.c.tolist() == [1 << 41, 0, 510] and q.u.tolist() == [0, 0, 1] and q.w.tolist() == [0, 2, 1]
 
 

@@ -42,7 +42,7 @@ CHAINS, ROUNDS, EXACT = 2, 2, 256
 #: At most so many words, and pairs, are listed; of the sample, one text in SAMPLED, a word must have LISTED tokens, of all a pair PAIRED.
 LIST, LIST_PAIRS, SAMPLED, LISTED, PAIRED = 1 << 20, 1 << 17, 16, 8, 32
 #: Tokens of a task sent on at once, about as many to a bucket, and passes of scoring.
-FLUSH, BUCKET, PASSES = 1_000_000, 1_000_000, 2
+FLUSH, BUCKET, PASSES = 1_000_000, 1_000_000, 3
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
 NAMELESS = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -133,6 +133,9 @@ def _ints(values: np.ndarray) -> bytes:
 
 
 def _indices(values: np.ndarray, size: int) -> bytes:
+    """Two octets each, three or four where `size` needs them."""
+    if 1 << 16 < size <= 1 << 24:
+        return values.astype("<u2").tobytes() + (values >> 16).astype("u1").tobytes()
     return values.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
 
 
@@ -153,6 +156,8 @@ class _Reader:
         return out
 
     def indices(self, n: int, size: int) -> np.ndarray:
+        if 1 << 16 < size <= 1 << 24:
+            return self.take("<u2", n).astype(np.int64) | (self.take("u1", n).astype(np.int64) << 16)
         return self.take("<u2" if size <= 1 << 16 else "<u4", n).astype(np.int64)
 
 
