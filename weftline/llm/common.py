@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[object, str]] = []
 _own: dict[str, str] = {}
-#: Spark's setting to remove the shuffle files of a query when it ends.
-FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when their query ends, and Arrow batches of long texts stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,14 @@ def materialise(df: DataFrame) -> DataFrame:
     Shuffle files of the plan written are freed at its end, and not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE, None)
-    spark.conf.set(FREE, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path

@@ -1,31 +1,49 @@
 """Language identification: words first, character n-grams as back-off.
 
-Training counts words per language over documents whose lang is known.  Each language uses about SAMPLE documents, chosen
-by a hash of doc_id; all their words and n-grams are counted, and the model keeps of each language the MOST_WORDS
-commonest words and MOST_GRAMS commonest n-grams, so that no language loses its own to another.  A known word scores its log frequency in each language; an unseen one scores the mean of
-its longest known n-grams, from N letters down to one.
-
-Defined results: null texts and texts without a letter are `und` with score 0; without training rows every text is
-`und`; repeated rows are scored one by one; other columns are ignored; equal scores go to the first language by name.
+Training counts words per language over documents whose lang is known.  Each language uses documents of about SAMPLE
+characters, chosen by a hash of doc_id; all their words and n-grams are counted and kept, so the model's size is bounded by
+the sample and no language loses its own words to another.  A known word scores its log frequency in each language; an
+unseen one scores the mean of its longest known n-grams, from N letters down to one.
+
+Words are runs of letters (Unicode categories L) of the lower-cased text, however long.  Defined results: null texts and
+texts without a letter, empty ones too, are `und` with score 0; without training rows every text is `und`; texts of any
+length count whole; repeated rows are scored one by one; equal scores (ties) go to the first language by name; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, table, tidied
 
-SAMPLE, MOST_WORDS, MOST_GRAMS, N = 1_500, 60_000, 60_000, 4
-_WORD = re.compile(r"[^\W\d_]+")
-#: The n-grams of longer words are not kept in the cache.
-CACHED = 40
+SAMPLE, N = 2_000_000, 4
+#: So many words are remembered with their values; of those over CACHED letters, CACHED * REMEMBERED letters in all.
+CACHED, REMEMBERED = 40, 200_000
+
+
+def _letters() -> re.Pattern[str]:
+    """Runs of characters that are letters to Unicode, as one class of ranges."""
+    ranges, start = [], None
+    for c in range(sys.maxunicode + 2):
+        letter = c <= sys.maxunicode and chr(c).isalpha()
+        if letter and start is None:
+            start = c
+        elif not letter and start is not None:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]+")
+
+
+_WORD = _letters()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -41,13 +59,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def sample_of(docs: DataFrame, per_language: int) -> DataFrame:
-    """About per_language documents of each language, by a hash of doc_id."""
+def sample_of(docs: DataFrame, characters: int) -> DataFrame:
+    """Documents of about so many characters of each language, by a hash of doc_id."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text", "doc_id").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if not sizes:
         return docs
-    share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, int(min(1.0, per_language / v) * (1 << 30)))])
+    share = F.create_map(*[F.lit(x) for k, v in sorted(sizes.items()) for x in (k, int(min(1.0, characters / max(1, v)) * (1 << 30)))])
     return docs.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
 
 
@@ -57,7 +75,7 @@ def grams(word: str, n: int) -> Iterator[str]:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """lang, size, gram, n over counted words; size 0 are the words themselves that occur twice or more in all."""
+    """lang, size, gram, n over counted words; size 0 are the words themselves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: Counter = Counter()
@@ -69,48 +87,25 @@ def gram_counts(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([out[r] for r in rows], pa.int64())], ["lang", "size", "gram", "n"])
 
     counted = words.select("lang", "word", "n").mapInArrow(tidied(run), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    often = words.withColumn("t", F.sum("n").over(Window.partitionBy("word"))).where("t > 1")
-    return counted.unionByName(often.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n"))
+    return counted.unionByName(words.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n"))
 
 
 class Backoff:
-    """A gram's value in a language it was never seen in depends on its size only, so only languages that have it are stored."""
-
-    def __init__(self, rows: list[tuple[str, str, int]], words: int = MOST_WORDS, most: int = MOST_GRAMS) -> None:
-        """Over counted words (lang, word, n), here; `train` counts in Spark."""
-        seen: Counter = Counter()
-        for _, word, n in rows:
-            seen[word] += n
-        every: Counter = Counter()
-        for lang, word, n in rows:
-            if seen[word] > 1:
-                every[lang, 0, word] += n
-            for size in range(1, N + 1):
-                for x in grams(word, size):
-                    every[lang, size, x] += n
+    """A gram's value in a language it was never seen in depends on its size only, so only languages that have it are stored.
+
+    Values of words that texts hold are laid out in rows of a table as they come up; a batch of texts is scored by adding
+    up rows of that table."""
+
+    def __init__(self, rows: list[tuple[str, int, str, int]]) -> None:
+        """rows: (lang, size, gram, n), size 0 for words."""
         totals: Counter = Counter()
-        kept: Counter = Counter()
-        chosen = set()
-        for (lang, size, x), n in sorted(every.items(), key=lambda r: (-r[1], r[0][2])):
+        for lang, size, _, n in rows:
             totals[lang, size] += n
-            kept[lang, size] += 1
-            if kept[lang, size] <= (most // N if size else words):
-                chosen.add((size, x))
-        distinct = Counter(size for size, _ in {k[1:] for k in every})
-        self._fill([r[0] for r in rows], [(*k, n) for k, n in every.items() if k[1:] in chosen], totals, distinct)
-
-    @classmethod
-    def of(cls, *counts) -> Backoff:
-        out = cls.__new__(cls)
-        out._fill(*counts)
-        return out
-
-    def _fill(self, langs: list[str], rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int], distinct: dict[int, int]) -> None:
-        """rows: (lang, size, gram, n) of what is kept; totals: n over all by (lang, size); distinct: grams over all by size."""
-        self.langs = sorted(set(langs))
+        self.langs = sorted({lang for lang, *_ in rows})
         at = {x: i for i, x in enumerate(self.langs)}
+        distinct = Counter(size for size, _ in {r[1:3] for r in rows})
         whole = np.array([[totals.get((x, size), 0) + 0.1 * (distinct.get(size, 0) + 1) for x in self.langs] for size in range(N + 1)]).reshape(N + 1, len(at))
-        self.base = np.log10(0.1 / whole)
+        self.base = np.log(0.1 / whole)
         self.index: dict[str, int] = {}
         rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
         starts, sizes = [], []
@@ -122,77 +117,84 @@ class Backoff:
         self.start = np.array([*starts, len(rows)], np.int64)
         self.size = np.array(sizes, np.int8)
         self.lang = np.array([at[r[0]] for r in rows], np.int32)
-        self.more = np.log10(np.array([r[3] for r in rows], np.float64) / 0.1 + 1)
-        self._cache: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
-
-    def total(self, rows: list[int], weights: list[float]) -> np.ndarray:
-        """Weighted sum over rows of log10 shares in each language."""
-        r, w = np.asarray(rows), np.asarray(weights, np.float64)
-        n = self.start[r + 1] - self.start[r]
-        at = np.repeat(self.start[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.size[r], w, N + 1) @ self.base + np.bincount(self.lang[at], np.repeat(w, n) * self.more[at], len(self.langs))
-
-    def unseen(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Rows of the longest known n-grams of a word, and how often each occurs."""
-        got = self._cache.get(word)
-        if got is None:
-            get = self.index.get
-            found: Counter = Counter()
-            for n in range(N, 0, -1):
-                found.update(i for x in grams(word, n) if (i := get("\x00" + x)) is not None)
-                if found:
-                    break
-            got = tuple(found), tuple(found.values())
-            if len(word) <= CACHED:
-                if len(self._cache) > 200_000:
-                    self._cache.clear()
-                self._cache[word] = got
-        return got
+        self.more = np.log(np.array([r[3] for r in rows], np.float64) / 0.1 + 1)
+        self._rows: dict[str, int] = {}
+        self._long: list[str] = []
+        self._table = np.zeros((1024, len(self.langs)))
+
+    def value(self, gram: int) -> np.ndarray:
+        """Log share of a gram in each language."""
+        out, s = self.base[self.size[gram]].copy(), slice(self.start[gram], self.start[gram + 1])
+        out[self.lang[s]] += self.more[s]
+        return out
+
+    def word(self, word: str) -> np.ndarray:
+        """A known word's value, or the mean of an unseen word's longest known n-grams."""
+        known = self.index.get(word)
+        if known is not None:
+            return self.value(known)
+        for n in range(N, 0, -1):
+            found = Counter(i for x in grams(word, n) if (i := self.index.get("\x00" + x)) is not None)
+            if found:
+                return sum(k * self.value(i) for i, k in found.items()) / sum(found.values())
+        return np.zeros(len(self.langs))
+
+    def _row(self, word: str) -> int:
+        k = len(self._rows)
+        if k == len(self._table):
+            self._table = np.concatenate([self._table, np.zeros_like(self._table)])
+        self._table[k] = self.word(word)
+        self._rows[word] = k
+        if len(word) > CACHED:
+            self._long.append(word)
+        return k
+
+    def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and its probability for each text."""
+        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        best, score = ["und"] * len(texts), np.zeros(len(texts))
+        some = [k for k, words in enumerate(found) if words]
+        if not some or not self.langs:
+            return best, score
+        if len(self._rows) > REMEMBERED or sum(map(len, self._long)) > CACHED * REMEMBERED:
+            self._rows.clear()
+            self._long.clear()
+        get = self._rows.get
+        flat = [w for k in some for w in found[k]]
+        rows = [get(w) for w in flat]
+        for i, r in enumerate(rows):
+            if r is None:
+                w = flat[i]
+                rows[i] = get(w) if w in self._rows else self._row(w)
+        first = np.cumsum([0, *(len(found[k]) for k in some[:-1])])
+        totals = np.add.reduceat(self._table[np.array(rows)], first, axis=0)
+        top = totals.argmax(axis=1)
+        share = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        for k, t, p in zip(some, top, share, strict=True):
+            best[k], score[k] = self.langs[t], p
+        return best, score
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = Counter(_WORD.findall(text.lower())) if text else None
-        if not words or not self.langs:
-            return "und", 0.0
-        rows, weights = [], []
-        get = self.index.get
-        for w, n in words.items():
-            i = get(w)
-            if i is not None:
-                rows.append(i)
-                weights.append(n)
-            else:
-                some, times = self.unseen(w)
-                rows += some
-                each = n / max(1, sum(times))
-                weights += [each * k for k in times]
-        if not rows:
-            return self.langs[0], 1.0 / len(self.langs)
-        total = self.total(rows, weights) * np.log(10)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0)).sum())
-
-
-def train(docs: DataFrame, per_language: int = SAMPLE, words: int = MOST_WORDS, most: int = MOST_GRAMS) -> Backoff:
-    counted = materialise(word_counts(sample_of(docs, per_language)))
-    every = materialise(gram_counts(counted))
-    totals = {(r["lang"], r["size"]): r["n"] for r in every.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    distinct = {r["size"]: r["n"] for r in every.groupBy("size", "gram").agg(F.count("*").alias("n")).groupBy("size").agg(F.count("*").alias("n")).collect()}
-    # the commonest of each language, and their counts in all languages
-    place = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram"))
-    kept = every.withColumn("k", place).where(F.col("k") <= F.when(F.col("size") == 0, words).otherwise(most // N)).select("size", "gram").distinct()
-    rows = every.join(kept, ["size", "gram"]).select("lang", "size", "gram", "n").toArrow()
-    langs = {x for x, size in totals if size}
-    return Backoff.of(list(langs), list(zip(*(rows[k].to_pylist() for k in ("lang", "size", "gram", "n")), strict=True)), totals, distinct)
+        best, score = self.scores([text])
+        return best[0], float(score[0])
+
+
+def train(docs: DataFrame, characters: int = SAMPLE) -> Backoff:
+    counted = materialise(word_counts(sample_of(docs, characters)))
+    rows = gram_counts(counted).toArrow()  # what the sample holds
+    return Backoff(list(zip(*(rows[k].to_pylist() for k in ("lang", "size", "gram", "n")), strict=True)))
 
 
 def apply(docs: DataFrame, model: Backoff) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS of each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE characters of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.score(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                best, score = m.scores(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
