@@ -177,6 +177,11 @@ def test_pitman_yor_packs_any_count():
     for size in (9, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 5):
         some = np.array([0, size // 2, size - 1])
         assert pitman_yor._Reader(pitman_yor._indices(some, size)).indices(3, size).tolist() == some.tolist()
+    for n in (0, 5, 4096, 30000):
+        names = np.sort(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        names[: n // 2] >>= np.uint64(2)
+        names.sort()
+        assert np.array_equal(pitman_yor._Reader(pitman_yor._names(names)).names(n), names)
     assert q.c.tolist() == [1 << 41, 0, 510] and q.u.tolist() == [0, 0, 1] and q.w.tolist() == [0, 2, 1]
 
 

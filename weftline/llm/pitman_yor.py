@@ -139,6 +139,15 @@ def _indices(values: np.ndarray, size: int) -> bytes:
     return values.astype("<u2" if size <= 1 << 16 else "<u4").tobytes()
 
 
+def _names(values: np.ndarray) -> bytes:
+    """Sorted hashes: many of them as steps of seven octets, with wider steps aside."""
+    if len(values) < 4096:
+        return values.astype("<u8").tobytes()
+    steps = np.diff(values, prepend=np.uint64(0))
+    wide = np.flatnonzero(steps >> np.uint64(56))
+    return b"".join([np.array([len(wide)], "<u8").tobytes(), steps.astype("<u8").view("u1").reshape(-1, 8)[:, :7].tobytes(), wide.astype("<u4").tobytes(), (steps[wide] >> np.uint64(56)).astype("u1").tobytes()])
+
+
 class _Reader:
     def __init__(self, blob) -> None:
         self.blob, self.at = blob, 0
@@ -148,6 +157,16 @@ class _Reader:
         self.at += out.nbytes
         return out
 
+    def names(self, n: int) -> np.ndarray:
+        if n < 4096:
+            return self.take("<u8", n)
+        wide = int(self.take("<u8", 1)[0])
+        steps = np.zeros((n, 8), np.uint8)
+        steps[:, :7] = self.take("u1", 7 * n).reshape(n, 7)
+        at = self.take("<u4", wide)
+        steps[at, 7] = self.take("u1", wide)
+        return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
     def ints(self, n: int) -> np.ndarray:
         big = int(self.take("<u8", 1)[0])
         out = self.take("u1", n).astype(np.int64)
@@ -169,13 +188,13 @@ class Pairs:
 
     def pack(self) -> bytes:
         nu, nw, n = len(self.contexts), len(self.words), len(self.u)
-        return b"".join([np.array([nu, nw, n], "<u8").tobytes(), self.contexts.tobytes(), self.words.tobytes(), np.bincount(self.u, minlength=nu).astype("<u4").tobytes(), _indices(self.w, nw), _ints(self.c)])
+        return b"".join([np.array([nu, nw, n], "<u8").tobytes(), _names(self.contexts), _names(self.words), np.bincount(self.u, minlength=nu).astype("<u4").tobytes(), _indices(self.w, nw), _ints(self.c)])
 
     @classmethod
     def unpack(cls, blob) -> Pairs:
         r = _Reader(blob)
         nu, nw, n = r.take("<u8", 3).tolist()
-        contexts, words, runs = r.take("<u8", nu), r.take("<u8", nw), r.take("<u4", nu)
+        contexts, words, runs = r.names(nu), r.names(nw), r.take("<u4", nu)
         return cls(contexts, words, np.repeat(np.arange(nu), runs), r.indices(n, nw), r.ints(n))
 
     @classmethod
@@ -337,7 +356,7 @@ def _asks(pairs: Pairs, tables: np.ndarray, where: Layout, b: int, wanted: np.nd
     out = []
     for k in np.flatnonzero(np.diff(cuts)):
         o = order[cuts[k] : cuts[k + 1]]
-        out.append((2, int(k), b, None, b"".join([np.array([len(o)], "<u8").tobytes(), pairs.words[o].tobytes(), wanted[o].tobytes(), *(_ints(x[o].astype(np.int64)) for x in sums)])))
+        out.append((2, int(k), b, None, b"".join([np.array([len(o)], "<u8").tobytes(), pairs.words[o].tobytes(), np.packbits(wanted[o]).tobytes(), *(_ints(x[o].astype(np.int64)) for x in sums)])))
     return out
 
 
@@ -351,7 +370,7 @@ def _exchange(told: DataFrame, where: Layout, totals: Totals, counts: bool, seed
             n = int(r.take("<u8", 1)[0])
             sizes.append(n)
             words.append(r.take("<u8", n))
-            wanted.append(r.take("?", n))
+            wanted.append(np.unpackbits(r.take("u1", -(-n // 8)), count=n).astype(bool))
             for x in sums:
                 x.append(r.ints(n))
         names, at = np.unique(np.concatenate(words), return_inverse=True)
@@ -407,11 +426,10 @@ class Bucket:
         listed = _place(p.words, where.words)
         self.own = listed < 0
         self.split = _place(p.contexts, where.split)
-        first = np.minimum(p.c, 1)
-        self.tables = [first] * CHAINS
-        if 3 in kinds:
-            r = _Reader(blobs[kinds.index(3)])
-            self.tables = [r.ints(len(first)) for _ in range(CHAINS)]
+        some, r = p.c > 1, _Reader(blobs[kinds.index(3)])
+        self.tables = [np.minimum(p.c, 1) for _ in range(CHAINS)]
+        for t in self.tables:
+            t[some] = r.ints(int(some.sum()))
         self.customers = np.bincount(p.u, p.c, len(p.contexts))
         self.customers[self.split >= 0] = totals.split_customers[self.split[self.split >= 0]]
         self.weight, self.count = np.zeros((CHAINS, len(p.words))), np.zeros(len(p.words), np.int64)
@@ -463,7 +481,7 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
             tables.append(t)
         numbers += _split_numbers(p, tables, where, 1000, p.c)
         wanted = np.bincount(p.w[some], minlength=len(p.words)) > 0
-        return _rows([(1, None, b, None, p.pack()), (3, None, b, None, b"".join(_ints(t) for t in tables)), *numbers, *_asks(p, tables, where, b, wanted, ROUNDS == 1)])
+        return _rows([(1, None, b, None, p.pack()), (3, None, b, None, b"".join(_ints(t[some]) for t in tables)), *numbers, *_asks(p, tables, where, b, wanted, ROUNDS == 1)])
 
     told = materialise(_route(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), where).groupBy("b").applyInArrow(tidied_group(gather), ROWS))
     first = told
@@ -498,7 +516,7 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
                 wins, logs = strength_terms(x.customers[whole].astype(np.int64), np.bincount(p.u, t, len(p.contexts))[whole].astype(np.int64), s, d, rng)
                 numbers += [(0, 10 * chain + 5, None, wins, None), (0, 10 * chain + 6, None, logs, None)]
             numbers += _split_numbers(p, tables, where, 1000, None)
-            return _rows([(3, None, b, None, b"".join(_ints(t) for t in tables)), *numbers, *_asks(p, tables, where, b, x.wanted(last), last)])
+            return _rows([(3, None, b, None, b"".join(_ints(t[some]) for t in tables)), *numbers, *_asks(p, tables, where, b, x.wanted(last), last)])
 
         parts = pairs.unionByName(answers.where("kind = 2")).unionByName(state)
         before, told = told, materialise(parts.groupBy("b").applyInArrow(tidied_group(sit), ROWS))
@@ -642,7 +660,7 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
                     first = np.flatnonzero(np.append(True, d[o][1:] != d[o][:-1]))
                     runs, texts = np.diff(np.append(first, len(i))), rk[d[o][first]]
                     head = np.array([len(names_u), len(names_w), len(i), len(texts)], "<u8").tobytes()
-                    rows.append((int(k), b"".join([head, names_u.tobytes(), names_w.tobytes(), texts.astype("<i8").tobytes(), runs.astype("<u4").tobytes(), _indices(i, len(names_u)), _indices(j, len(names_w))])))
+                    rows.append((int(k), b"".join([head, _names(names_u), _names(names_w), texts.astype("<i8").tobytes(), runs.astype("<u4").tobytes(), _indices(i, len(names_u)), _indices(j, len(names_w))])))
                 return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["b", "kind", "blob"])
 
             for batch in batches:
@@ -669,7 +687,7 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["part", "blob"])
         r = _Reader(blobs[kinds.index(5)])
         nu, nw, n = r.take("<u8", 3).tolist()
-        contexts, words, runs = r.take("<u8", nu), r.take("<u8", nw), r.take("<u4", nu)
+        contexts, words, runs = r.names(nu), r.names(nw), r.take("<u4", nu)
         keys = (np.repeat(np.arange(nu), runs) << 32) | r.indices(n, nw)
         r.ints(0)
         log, count = np.log10(r.take("<f4", n).astype(np.float64)), r.ints(nw)
@@ -680,7 +698,7 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
                 continue
             r = _Reader(blob)
             nu, nw, n, texts = r.take("<u8", 4).tolist()
-            names_u, names_w = np.searchsorted(contexts, r.take("<u8", nu)), np.searchsorted(words, r.take("<u8", nw))
+            names_u, names_w = np.searchsorted(contexts, r.names(nu)), np.searchsorted(words, r.names(nw))
             rk.append(r.take("<i8", texts))
             runs = r.take("<u4", texts).astype(np.int64)
             u, w = names_u[r.indices(n, nu)], names_w[r.indices(n, nw)]
