@@ -462,7 +462,7 @@ def test_language_long_words():
     assert model.score("xyz" * 10 + "abc" * 3000)[0] == "aa"
     assert model.score("b" * 60 + "qrst")[0] == "zz"
     assert model.score("abcabd " * 10 + "xyzxyw " * 50_000)[0] == "zz"
-    assert "\x00qrst" in model.index
+    assert "qrst" in model.index[4]
 
 
 def test_language_letters_only():

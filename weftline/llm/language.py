@@ -17,6 +17,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,12 +107,12 @@ class Backoff:
         distinct = Counter(size for size, _ in {r[1:3] for r in rows})
         whole = np.array([[totals.get((x, size), 0) + 0.1 * (distinct.get(size, 0) + 1) for x in self.langs] for size in range(N + 1)]).reshape(N + 1, len(at))
         self.base = np.log(0.1 / whole)
-        self.index: dict[str, int] = {}
+        self.index: list[dict[str, int]] = [{} for _ in range(N + 1)]  # by size, words at 0
         rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
         starts, sizes = [], []
         for k, (_, size, x, _) in enumerate(rows):
             if not k or rows[k - 1][1:3] != (size, x):
-                self.index["\x00" + x if size else x] = len(starts)
+                self.index[size][x] = len(starts)
                 starts.append(k)
                 sizes.append(size)
         self.start = np.array([*starts, len(rows)], np.int64)
@@ -119,35 +120,41 @@ class Backoff:
         self.lang = np.array([at[r[0]] for r in rows], np.int32)
         self.more = np.log(np.array([r[3] for r in rows], np.float64) / 0.1 + 1)
         self._rows: dict[str, int] = {}
-        self._long: list[str] = []
+        self._long = 0
         self._table = np.zeros((1024, len(self.langs)))
 
-    def value(self, gram: int) -> np.ndarray:
-        """Log share of a gram in each language."""
-        out, s = self.base[self.size[gram]].copy(), slice(self.start[gram], self.start[gram + 1])
-        out[self.lang[s]] += self.more[s]
+    def values(self, some: np.ndarray) -> np.ndarray:
+        """Log shares of words or n-grams in each language."""
+        out, n = self.base[self.size[some]], self.start[some + 1] - self.start[some]
+        at = np.repeat(self.start[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(some)), n), self.lang[at]] += self.more[at]
         return out
 
-    def word(self, word: str) -> np.ndarray:
-        """A known word's value, or the mean of an unseen word's longest known n-grams."""
-        known = self.index.get(word)
-        if known is not None:
-            return self.value(known)
-        for n in range(N, 0, -1):
-            found = Counter(i for x in grams(word, n) if (i := self.index.get("\x00" + x)) is not None)
-            if found:
-                return sum(k * self.value(i) for i, k in found.items()) / sum(found.values())
-        return np.zeros(len(self.langs))
-
-    def _row(self, word: str) -> int:
-        k = len(self._rows)
-        if k == len(self._table):
+    def _learn(self, words: list[str]) -> None:
+        """Rows of the table for new words: a known word's value, or the mean of an unseen word's longest known n-grams."""
+        first, n = len(self._rows), len(words)
+        while first + n > len(self._table):
             self._table = np.concatenate([self._table, np.zeros_like(self._table)])
-        self._table[k] = self.word(word)
-        self._rows[word] = k
-        if len(word) > CACHED:
-            self._long.append(word)
-        return k
+        table = self._table[first : first + n]
+        table[:] = 0
+        known = np.array([self.index[0].get(w, -1) for w in words])
+        table[known >= 0] = self.values(known[known >= 0])
+        rows, counts, found = [], [], []
+        for k in np.flatnonzero(known < 0).tolist():
+            for size in range(N, 0, -1):
+                get = self.index[size].get
+                some = [i for x in grams(words[k], size) if (i := get(x)) is not None]
+                if some:
+                    rows.append(k)
+                    counts.append(len(some))
+                    found += some
+                    break
+        if rows:
+            distinct, at = np.unique(np.array(found), return_inverse=True)
+            sums = np.add.reduceat(self.values(distinct)[at], np.cumsum([0, *counts[:-1]]), axis=0)
+            table[rows] = sums / np.array(counts)[:, None]
+        self._rows.update(zip(words, range(first, first + n), strict=True))
+        self._long += sum(len(w) for w in words if len(w) > CACHED)
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its probability for each text."""
@@ -156,16 +163,14 @@ class Backoff:
         some = [k for k, words in enumerate(found) if words]
         if not some or not self.langs:
             return best, score
-        if len(self._rows) > REMEMBERED or sum(map(len, self._long)) > CACHED * REMEMBERED:
+        if len(self._rows) > REMEMBERED or self._long > CACHED * REMEMBERED:
             self._rows.clear()
-            self._long.clear()
-        get = self._rows.get
-        flat = [w for k in some for w in found[k]]
-        rows = [get(w) for w in flat]
-        for i, r in enumerate(rows):
-            if r is None:
-                w = flat[i]
-                rows[i] = get(w) if w in self._rows else self._row(w)
+            self._long = 0
+        flat = list(chain.from_iterable(found))
+        new = list(set(flat).difference(self._rows))
+        if new:
+            self._learn(new)
+        rows = list(map(self._rows.__getitem__, flat))
         first = np.cumsum([0, *(len(found[k]) for k in some[:-1])])
         totals = np.add.reduceat(self._table[np.array(rows)], first, axis=0)
         top = totals.argmax(axis=1)
