@@ -234,7 +234,9 @@ def brute_groups(rows):
     return sets, [find(k) for k in range(len(rows))]
 
 
-def test_near_dedup(docs, none, rows):
+@pytest.mark.parametrize("hub", [near_dedup.HUB, 2])
+def test_near_dedup(docs, none, rows, hub, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HUB", hub)
     sets, root = brute_groups(rows)
     want = []
     for k, (doc, _) in enumerate(rows):
@@ -294,10 +296,10 @@ def test_decontaminate(spark, docs, none, rows):
         want.append((k, len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     key = lambda r: (ids(r[0]), r[1:])
     assert sum(r[5] for r in want) > 5
-    for limit in (decontaminate.BROADCAST_SHINGLES, 0):  # with a broadcast and without
-        old, decontaminate.BROADCAST_SHINGLES = decontaminate.BROADCAST_SHINGLES, limit
+    for limit in (decontaminate.BROADCAST, 0):  # with broadcasts and without
+        old, decontaminate.BROADCAST = decontaminate.BROADCAST, limit
         got = [tuple(r)[:6] for r in decontaminate.apply(docs, table).collect()]
-        decontaminate.BROADCAST_SHINGLES = old
+        decontaminate.BROADCAST = old
         assert sorted(got, key=key) == sorted(want, key=key)
     assert decontaminate.apply(none, table).count() == 0
     assert decontaminate.apply(docs, table.where("false")).where("n_hit > 0").count() == 0

@@ -45,3 +45,46 @@ def test_pipeline(spark):
             assert after.columns == columns
         docs = after
     assert p.run(spark, FOLDER).count() == docs.count()
+
+
+def test_pipeline_hygiene(spark):
+    """Nulls, empty and long texts, repeated rows, an empty table and columns whose names clash."""
+    import random
+
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice(("lane", "river", "stone", "walked", "over", "green", "house", "with", "many", "birds")) + str(r.randrange(90)) for _ in range(n))
+    same = prose(80)
+    rows = [(1, None), (2, ""), (3, "   \n"), (4, prose(60_000)), (5, same), (5, same), (6, same.upper()), (None, None), (None, prose(50)), (7, prose(40) + " mail a@b.co"), (8, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang", "source", "__rk", "__id", "__length", "rk", "id", "ID_", "length", "text_", "spans", "score"):
+        docs = docs.withColumn(c, F.lit("x"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    for table_ in (docs, docs.where("false")):
+        now = table_
+        for name, stage in p.STAGES[1:]:
+            after = stage(spark, now, folder).cache()
+            if name != "sentencepiece":
+                assert after.columns == docs.columns
+                assert after.where("__length <> 'x' OR __rk <> 'x' OR __id <> 'x'").count() == 0
+                now = after
+        assert after.count() == (9 if table_ is docs else 0)
+        assert now.where("text LIKE '%a@b.co%'").count() == 0
+    kept = now = p.STAGES[1][1](spark, docs, folder)
+    assert sorted(str(x["doc_id"]) for x in now.collect()) == sorted(["1", "2", "3", "4", "5", "None", "None", "7", "8"])
+    first = p.STAGES[0][1](spark, docs, folder)
+    assert first.columns == docs.columns and first.count() <= docs.count()
+    assert p.STAGES[0][1](spark, docs.where("false"), folder).count() == 0
+
+
+def test_a_folder_is_asked_for_off_this_machine(spark, monkeypatch):
+    from weftline.llm import common
+
+    class Far:
+        sparkContext = type("C", (), {"master": "spark://far:7077", "applicationId": "x"})
+        conf = type("F", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Far)

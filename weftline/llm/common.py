@@ -112,6 +112,14 @@ def _give_back() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 

@@ -8,10 +8,13 @@
    the window would start (positional bound) and the document must be long enough (length bound).
 4. Candidates are verified word for word on the document; the words of verified spans are hit.
 
-The benchmark's shingles are broadcast while they number at most BROADCAST_SHINGLES; beyond that the joins shuffle.
+What comes from the benchmark (shingles, prefixes with their words, owners) is broadcast only where its measured size is at
+most BROADCAST octets; beyond that its join shuffles.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; items without words have no
-windows; repeated rows are judged alike; null item_ids own no windows; other columns are ignored.
+windows; texts and items of any length count whole; repeated rows are judged alike; of shingles that are equally rare
+(ties) the one with the least hash is the prefix, which changes no result; null item_ids own no windows; empty tables give
+no rows, or rows without hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keyed, materialise, table
+from .common import ascii_lower, free_name, keyed, materialise, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 13, 3
-BROADCAST_SHINGLES = 1_000_000
+#: Octets of a table that is broadcast at most.
+BROADCAST = 32 << 20
 
 
 def words_of(text):
@@ -72,13 +76,17 @@ def apply(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHING
     windows = materialise(windows_of(items, width))
     shingles = materialise(shingles_of(windows, q))
     row = shingles.agg(F.countDistinct("q", "sh").alias("n"), F.sort_array(F.collect_set("q")).alias("sizes")).first()
-    small = row["n"] <= BROADCAST_SHINGLES
-    fit = F.broadcast if small else (lambda x: x)
+    # octets, with what a row of a hashed relation takes besides
+    listed = lambda c: F.coalesce(F.sum(F.octet_length(F.array_join(c, " ")) + 16 * F.size(c) + 96), F.lit(0))
+    octets = windows.agg(listed("words").alias("words"), listed("owners").alias("owners")).first()
+
+    def fit(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= BROADCAST else df
 
     found = None
     for k in row["sizes"]:
         wanted = shingles.where(F.col("q") == k).select("sh").distinct()
-        part = _positions(d, k).join(fit(wanted), "sh").withColumn("q", F.lit(k))
+        part = _positions(d, k).join(fit(wanted, 64 * row["n"]), "sh").withColumn("q", F.lit(k))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = d.select("rk", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("sh"), F.lit(0).alias("q")).where("false")
@@ -88,20 +96,20 @@ def apply(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHING
     ranked = shingles.join(counts, ["q", "sh"], "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sh", "place", "q")).alias("first"))
     prefixes = ranked.where("first.df > 0").select("wid", "first.sh", "first.place", "first.q").join(windows, "wid")
     prefixes = prefixes.select("wid", "sh", "q", "place", F.size("words").alias("len"), "words")
-    hits = found.join(fit(prefixes), ["q", "sh"])
+    hits = found.join(fit(prefixes, octets["words"]), ["q", "sh"])
     # positional and length bounds
     hits = hits.where("pos >= place AND pos - place + len <= n")
-    # words repeat inside a document's candidates, so they are carried once per window and document
-    cands = hits.groupBy("rk").agg(F.collect_set(F.struct((F.col("pos") - F.col("place")).cast("bigint").alias("start"), "wid", "words")).alias("c"))
+    # a window's words are carried once per document, however many candidates it has there
+    cands = hits.groupBy("rk").agg(F.collect_set(F.struct((F.col("pos") - F.col("place")).cast("bigint").alias("start"), "wid")).alias("c"), F.map_from_entries(F.collect_set(F.struct("wid", "words"))).alias("w"))
 
     judged = d.select("doc_id", "rk", words_of(F.col("text")).alias("words")).join(cands, "rk", "left")
-    judged = judged.select("doc_id", "rk", F.size("words").cast("long").alias("n_words"), F.expr("filter(c, x -> slice(words, int(x.start) + 1, size(x.words)) = x.words)").alias("c"))
-    judged = judged.select("doc_id", "rk", "n_words", F.expr("array_sort(transform(c, x -> struct(x.start AS start, x.start + size(x.words) AS end)))").alias("spans"), F.expr("array_distinct(transform(c, x -> x.wid))").alias("wids"))
+    judged = judged.select("doc_id", "rk", F.size("words").cast("long").alias("n_words"), "w", F.expr("filter(c, x -> slice(words, int(x.start) + 1, size(w[x.wid])) = w[x.wid])").alias("c"))
+    judged = judged.select("doc_id", "rk", "n_words", F.expr("array_sort(transform(c, x -> struct(x.start AS start, x.start + size(w[x.wid]) AS end)))").alias("spans"), F.expr("array_distinct(transform(c, x -> x.wid))").alias("wids"))
     judged = judged.select("doc_id", "rk", "n_words", F.coalesce(F.expr(covered("spans")), F.lit(0)).cast("long").alias("n_hit"), "wids")
     judged = materialise(judged)
 
     owners = windows.select("wid", "owners")
-    per_doc = judged.select("rk", F.explode("wids").alias("wid")).distinct().join(fit(owners), "wid")
+    per_doc = judged.select("rk", F.explode("wids").alias("wid")).distinct().join(fit(owners, octets["owners"]), "wid")
     per_doc = per_doc.select("rk", F.explode("owners").alias("item")).groupBy("rk").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = judged.drop("wids").join(per_doc, "rk", "left")
     return out.select(
@@ -115,9 +123,10 @@ def apply(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHING
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, q: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    bad = apply(docs, items, width, q).where("contaminated").select(F.col("rk").alias("__rk")).distinct()
-    d = docs.select("*", F.xxhash64(F.col("doc_id"), F.col("text")).alias("__rk"))
-    return d.join(bad, "__rk", "left_anti").select(*docs.columns)
+    rk = free_name(docs, "rk")
+    bad = apply(docs, items, width, q).where("contaminated").select(F.col("rk").alias(rk)).distinct()
+    d = docs.select("*", F.xxhash64(F.col("doc_id"), F.col("text")).alias(rk))
+    return d.join(bad, rk, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

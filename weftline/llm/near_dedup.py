@@ -13,8 +13,9 @@
 
 Defined results: documents without words have an empty set, link with nothing and are kept; with fewer words than a
 shingle, the whole sequence is the one shingle; a null doc_id never names a component while a number is in it, and its
-rows are not kept unless the component has no number, when component_id is null and kept is false; repeated rows link;
-other columns are ignored.
+rows are not kept unless the component has no number, when component_id is null and kept is false; repeated rows link, and
+of rows that agree in doc_id and text one row is as good as another (ties); texts of any length give their whole set; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import CODES, LOWER, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
+from .common import CODES, LOWER, free_name, materialise, mix, prefix_sums, span_hash, table, text_batches, tidied, word_bounds
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 HASHES, BATCH, MISS = BANDS * ROWS, 16, 1e-7
 #: Longest prefix whose shingles are carried into the exact round's join.
 CARRIED = 256
+#: Pairs of one document that are verified together.
+HUB = 256
 #: Ids of rows without doc_id start here.
 NAMELESS = 1 << 62
 
@@ -239,7 +242,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             keep = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    q = p.join(full.select(F.col("c").alias("a"), F.col("s").alias("xa")), "a").join(full.select(F.col("c").alias("b"), F.col("s").alias("xb")), "b")
+    # a hub has many pairs: they are dealt in parts of about HUB, each of which gets the hub's set once
+    hubs = p.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    q = p.join(hubs, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    q = q.join(full.select(F.col("c").alias("b"), F.col("s").alias("xb")), "b")
+    sides = hubs.join(full.select(F.col("c").alias("a"), F.col("s").alias("xa")), "a").select("a", "xa", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    q = q.join(sides, ["a", "part"])
     return q.select("a", "b", "xa", "xb").mapInArrow(tidied(verify), "a long, b long")
 
 
@@ -259,11 +267,12 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Da
     """One row of docs, all columns, of every component; rows without words all stay."""
     rows = materialise(judged(docs, size, percent).where(F.col("id") == F.col("comp")).select("id", "n"))
     again = rows.where("n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
-    d = docs.select("*", row_id().alias("__id"))
-    out = d.join(rows.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi")
+    name = free_name(docs, "id")
+    d = docs.select("*", row_id().alias(name))
+    out = d.join(rows.select(F.col("id").alias(name)).distinct(), name, "left_semi")
     if again.limit(1).count():  # rows that repeat an id
-        again = again.select(F.col("id").alias("__id"))
-        out = out.join(again, "__id", "left_anti").unionByName(out.join(again, "__id", "left_semi").dropDuplicates(["__id"]))
+        again = again.select(F.col("id").alias(name))
+        out = out.join(again, name, "left_anti").unionByName(out.join(again, name, "left_semi").dropDuplicates([name]))
     return out.select(*docs.columns)
 
 
