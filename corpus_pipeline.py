@@ -5,6 +5,11 @@
 3. benchmark decontamination: contaminated documents go;
 4. personal data: spans become [KIND], and n_chars follows the text;
 5. SentencePiece: ids of each text.
+
+Defined results: a null text has no features of a good document or a bad one and is judged by the classifier like an empty
+one; documents without words pass stages 2 to 4 as they are; texts of any length are worked on whole; of rows that agree in
+doc_id and text one stays after stage 2 (ties); an empty table gives no rows; columns that a stage doesn't need pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, near_dedup, pii, quality_gam, sentencepiece_codec
-from weftline.llm.common import materialise, table
+from weftline.llm.common import free_name, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.redact(docs.withColumn("__length", F.length("text")))
-    changed = F.length("text") != F.col("__length")
+    before = free_name(docs, "length")
+    out = pii.redact(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") != F.col(before)
     return out.select(*[F.when(changed, F.length("text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
