@@ -49,8 +49,9 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. by: a column with few values that
+    get folders of their own.
 
     Shuffle files of the plan written are freed at its end, and not when the driver happens to collect its garbage."""
     spark = df.sparkSession
@@ -59,7 +60,7 @@ def materialise(df: DataFrame) -> DataFrame:
     for k, v in WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -69,9 +70,9 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(written: DataFrame) -> None:
-    """Delete what `materialise` wrote, when nothing reads it any more."""
-    spark, path = written.sparkSession, written._weftline_path
+def forget(written: DataFrame, folder: str = "") -> None:
+    """Delete what `materialise` wrote, or one folder of it, when nothing reads it any more."""
+    spark, path = written.sparkSession, f"{written._weftline_path}/{folder}".rstrip("/")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -42,7 +42,7 @@ CHAINS, ROUNDS, EXACT = 2, 2, 256
 #: At most so many words, and pairs, are listed; of the sample, one text in SAMPLED, a word must have LISTED tokens, of all a pair PAIRED.
 LIST, LIST_PAIRS, SAMPLED, LISTED, PAIRED = 1 << 20, 1 << 17, 16, 8, 32
 #: Tokens of a task sent on at once, about as many to a bucket, and passes of scoring.
-FLUSH, BUCKET, PASSES = 800_000, 1_000_000, 3
+FLUSH, BUCKET, PASSES = 650_000, 1_000_000, 2
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
 NAMELESS = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -483,7 +483,7 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
         wanted = np.bincount(p.w[some], minlength=len(p.words)) > 0
         return _rows([(1, None, b, None, p.pack()), (3, None, b, None, b"".join(_ints(t[some]) for t in tables)), *numbers, *_asks(p, tables, where, b, wanted, ROUNDS == 1)])
 
-    told = materialise(_route(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), where).groupBy("b").applyInArrow(tidied_group(gather), ROWS))
+    told = materialise(_route(docs.select("text", F.coalesce("learn", F.lit(False)).alias("learn")), where).groupBy("b").applyInArrow(tidied_group(gather), ROWS), "kind")
     first = told
     pairs, state = told.where("kind = 1"), told.where("kind = 3")
     totals = Totals(where)
@@ -493,6 +493,7 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
     totals.next_discount = np.full(CHAINS, 0.5)
 
     answers = _exchange(told, where, totals, ROUNDS == 1, 1)
+    forget(told, "kind=2")
     _read_exchange(answers, where, totals)
     totals.parent_discount = totals.next_discount.copy()
     for round_ in range(2, ROUNDS + 1):
@@ -519,7 +520,7 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
             return _rows([(3, None, b, None, b"".join(_ints(t[some]) for t in tables)), *numbers, *_asks(p, tables, where, b, x.wanted(last), last)])
 
         parts = pairs.unionByName(answers.where("kind = 2")).unionByName(state)
-        before, told = told, materialise(parts.groupBy("b").applyInArrow(tidied_group(sit), ROWS))
+        before, told = told, materialise(parts.groupBy("b").applyInArrow(tidied_group(sit), ROWS), "kind")
         forget(answers)
         if before is not first:
             forget(before)
@@ -532,6 +533,9 @@ def train(docs: DataFrame) -> tuple[Layout, Totals, DataFrame, DataFrame]:
             wins, logs = strength_terms(totals.split_customers.astype(np.int64), totals.split_tables[chain].astype(np.int64), totals.strength[chain], totals.discount, rng)
             totals.strength[chain] = rng.gamma(1 + wins + got.get(10 * chain + 5, 0.0)) / (1 - logs - got.get(10 * chain + 6, 0.0))
         answers = _exchange(told, where, totals, last, round_)
+        forget(told, "kind=2")
+        if before is first:
+            forget(first, "kind=3")
         _read_exchange(answers, where, totals)
         if not last:
             totals.parent_discount = totals.next_discount.copy()
