@@ -42,7 +42,7 @@ CHAINS, ROUNDS, EXACT = 2, 2, 256
 #: At most so many words, and pairs, are listed; of the sample, one text in SAMPLED, a word must have LISTED tokens, of all a pair PAIRED.
 LIST, LIST_PAIRS, SAMPLED, LISTED, PAIRED = 1 << 20, 1 << 17, 16, 8, 32
 #: Tokens of a task sent on at once, about as many to a bucket, and passes of scoring.
-FLUSH, BUCKET, PASSES = 650_000, 1_000_000, 2
+FLUSH, BUCKET, PASSES = 650_000, 1_000_000, 4
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
 NAMELESS = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
