@@ -16,7 +16,7 @@ discounts are estimated from counts of counts, the parent's from each chain's se
 
 Words with more than a share 1 / LIST of the tokens (at most LIST) are known to every task, so that no bucket is asked for
 them by all others, and pairs with more than 1 / LIST_PAIRS are scored where the text is.  All other tokens are scored in
-the bucket of their pair, the texts in PASSES parts that bound what is shuffled at once.  Pairs that only texts to be scored have
+the bucket of their pair, the buckets in PASSES parts that bound what is shuffled at once.  Pairs that only texts to be scored have
 count 0.  Which words are listed, and how many buckets there are, follows from a sample of the texts; it decides about
 balance and the random numbers drawn, not about what is counted.
 
@@ -42,7 +42,7 @@ CHAINS, ROUNDS, EXACT = 2, 2, 256
 #: At most so many words, and pairs, are listed; of the sample, one text in SAMPLED, a word must have LISTED tokens, of all a pair PAIRED.
 LIST, LIST_PAIRS, SAMPLED, LISTED, PAIRED = 1 << 20, 1 << 17, 16, 8, 32
 #: Tokens of a task sent on at once, about as many to a bucket, and passes of scoring.
-FLUSH, BUCKET, PASSES = 650_000, 1_000_000, 4
+FLUSH, BUCKET, PASSES = 650_000, 1_000_000, 2
 END, START = (np.uint64(x) for x in (0x5EED0E0D5EED0E0D, 0x5EED57A57A57A57A))
 NAMELESS = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -635,7 +635,7 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
     order = np.argsort(np.concatenate(codes))
     shared = docs.sparkSession.sparkContext.broadcast(tuple(np.concatenate(x)[order] for x in (codes, logs, counts)))  # at most LIST pairs
 
-    def routed(texts: DataFrame) -> DataFrame:
+    def routed(turn: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, logs, counts = shared.value
             held: list[tuple] = []
@@ -650,9 +650,12 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
                 n, at = len(rk), _place(pair_code(u, w), codes)
                 hit = at >= 0
                 sums = lambda v: np.bincount(d[hit], v, n)
-                rows = [(-1 - p, blob) for p, blob in _dealt(where.buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=sums(np.ones(hit.sum())), base=sums(counts[at[hit]]), lm=sums(logs[at[hit]]))]
+                rows = []
+                if not turn:
+                    rows += [(-1 - p, blob) for p, blob in _dealt(where.buckets, rk=rk, doc=doc, rows=np.ones(n), tokens=np.bincount(d, minlength=n), known=sums(np.ones(hit.sum())), base=sums(counts[at[hit]]), lm=sums(logs[at[hit]]))]
                 names, ui, wi = _coded(u, w)
                 mine = np.flatnonzero(~hit)
+                mine = mine[where.bucket(u[mine], w[mine]) % PASSES == turn]
                 b = where.bucket(u[mine], w[mine]).astype(np.uint16 if where.buckets <= 1 << 16 else np.int64)
                 order = np.argsort(b, kind="stable")
                 b, mine = b[order].astype(np.int64), mine[order]
@@ -680,7 +683,7 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
             if held:
                 yield send()
 
-        return texts.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
+        return docs.select("rk", "doc", "text").mapInArrow(tidied(run), "b int, kind int, blob binary")
 
     def judge(key: tuple, group: pa.Table) -> pa.Table:
         b = key[0].as_py()
@@ -713,9 +716,10 @@ def score(docs: DataFrame, where: Layout, scores: DataFrame, frequent: DataFrame
         rows = _dealt(where.buckets, rk=np.concatenate(rk), **{k: np.concatenate(v) for k, v in zip(("known", "base", "lm"), sums, strict=True)})
         return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], ["part", "blob"])
 
-    done, held = None, scores.select("b", "kind", "blob")
+    done = None
     for turn in range(PASSES):
-        part = materialise(routed(docs.where(F.pmod(F.shiftright("rk", 7), F.lit(PASSES)) == turn)).unionByName(held).groupBy("b").applyInArrow(tidied_group(judge), "part int, blob binary"))
+        held = scores.where(F.col("b") % PASSES == turn).select("b", "kind", "blob")
+        part = materialise(routed(turn).unionByName(held).groupBy("b").applyInArrow(tidied_group(judge), "part int, blob binary"))
         done = part if done is None else done.unionByName(part)
     return done.groupBy("part").applyInArrow(_summed, PARTIAL)
 
