@@ -31,7 +31,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 #: Characters to a batch, unless one text is longer.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
@@ -151,7 +151,7 @@ class Codec:
     the backend.
     """
 
-    CACHE = 300_000
+    CACHE = 120_000
 
     def __init__(self, raw: bytes, parity: bool = True) -> None:
         self.model = Model(raw)
