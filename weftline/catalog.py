@@ -173,12 +173,25 @@ def header_refusals(spark, sf_dir):
     return v.select("codec", "coded", "v.error", "v.error_class")
 
 
-@_register("magic_first", "SELECT doc_id, octet_length(encode(text))::BIGINT AS octets FROM documents WHERE doc_id % 2 = 0")
+@_register("magic_first", "SELECT doc_id, octet_length(encode(text))::BIGINT AS octets FROM documents")
 def magic_first(spark, sf_dir):
-    """Half of the cells are gzip, half plain text: the built-in filter keeps the decoder from the others."""
-    d = _table(spark, sf_dir, "documents")
-    d = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, codecs.encode(_octets(), "gzip")).otherwise(_octets()).alias("cell"))
-    return summaries.decode_where_marked(d, "cell", "gzip").select("doc_id", F.octet_length("v.value").cast("bigint").alias("octets"))
+    """Texts of an even number of octets are gzip, the others plain: the built-in filter keeps the decoder from these."""
+    d = _table(spark, sf_dir, "documents").withColumn("o", _octets())
+    d = d.select("doc_id", F.when(F.octet_length("o") % 2 == 0, codecs.encode(F.col("o"), "gzip")).otherwise(F.col("o")).alias("cell"))
+    coded = summaries.decode_where_marked(d, "cell", "gzip").select("doc_id", F.octet_length("v.value").cast("bigint").alias("octets"))
+    plain = d.where(~F.coalesce(codecs.has_magic(F.col("cell"), "gzip"), F.lit(False)))
+    return coded.unionByName(plain.select("doc_id", F.octet_length("cell").cast("bigint").alias("octets")))
+
+
+@_register("brotli_trailing", "SELECT item_id, text, true AS exact, kind = 'alone' AS whole, kind FROM benchmark, (VALUES ('alone'), ('two'), ('tail')) AS k(kind)")
+def brotli_trailing(spark, sf_dir):
+    """A stream alone, before another stream and before other octets: its own value, and its own end, come back."""
+    d = _table(spark, sf_dir, "benchmark").select("item_id", codecs.encode(_octets(), "brotli").alias("c"))
+    cells = {"alone": F.col("c"), "two": F.concat("c", "c"), "tail": F.concat("c", F.lit(b"\x00\xff\x00"))}
+    d = d.select("item_id", "c", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("cell")) for k, x in cells.items()])).alias("k"))
+    d = d.select("item_id", "c", "k.kind", F.col("k.cell").alias("cell")).withColumn("v", codecs.try_decode(F.col("cell"), "brotli"))
+    end = F.col("v.consumed")
+    return d.select("item_id", F.col("v.value").cast("string").alias("text"), (end == F.octet_length("c")).alias("exact"), (end == F.octet_length("cell")).alias("whole"), "kind")
 
 
 @_register("zstd_options", "SELECT item_id, text, true AS checked FROM benchmark")
@@ -351,13 +364,7 @@ def _through_stream(spark: SparkSession, chunks: DataFrame, work: Callable[[Data
     """Chunks by way of files through a streaming query; rows of every micro-batch as a table."""
     import uuid
 
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    base = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     chunks.write.parquet(f"{base}/in")
     out = work(spark.readStream.schema(chunks.schema).parquet(f"{base}/in"))
 
@@ -378,6 +385,43 @@ def _chunks(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
     return d.select("stream", F.col("k").cast("bigint").alias("seq"), F.expr("substring(c, k * 100 + 1, 100)").alias("chunk"), (F.col("k") == F.col("n") - 1).alias("last"))
 
 
+def _part_query(codec: str) -> None:
+    @_register(f"{codec}_parts", "SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+    def parts(spark, sf_dir):
+        """A stream a conversation, flushed after each turn; its parts together decode to the turns together."""
+        from .streaming import encoders
+
+        d = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), _octets().alias("chunk"))
+        return _whole_streams(encoders.encode_parts(d, codec), codec)
+
+
+def _whole_streams(parts: DataFrame, codec: str) -> DataFrame:
+    hexed = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "part"))), lambda x: F.hex(x["part"]))
+    made = parts.groupBy("stream").agg(F.unhex(F.array_join(hexed, "")).alias("c"))
+    return made.select("stream", codecs.decode(F.col("c"), codec).cast("string").alias("text"))
+
+
+for _codec in CODECS:
+    _part_query(_codec)
+
+
+def _encode_stream_query(codec: str) -> None:
+    @_register(f"{codec}_encode_stream", "SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+    def encode_stream(spark, sf_dir):
+        """As above, by a streaming query whose state carries the encoder on."""
+        from pyspark.sql import Window
+
+        from .streaming import encoders
+
+        by = Window.partitionBy("conv_id")
+        d = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").cast("bigint").alias("seq"), _octets().alias("chunk"), (F.col("turn") == F.max("turn").over(by)).alias("last"))
+        return _whole_streams(_through_stream(spark, d, lambda s: encoders.encode_stream(s, codec), "append"), codec)
+
+
+for _codec in ("gzip", "zlib", "deflate"):
+    _encode_stream_query(_codec)
+
+
 def _stream_query(codec: str) -> None:
     @_register(f"{codec}_stream", "SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
     def stream(spark, sf_dir):
@@ -414,28 +458,34 @@ def gzip_text_files(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where all tasks share the machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def _file_query(codec: str) -> None:
-    @_register(f"{codec}_files", "SELECT string_agg(r_name, ';' ORDER BY r_name) AS names FROM region")
+    @_register(f"{codec}_files", "SELECT doc_id, text FROM documents")
     def files(spark, sf_dir):
+        """Records `doc_id:base64;` of all documents, written to coded files and read back."""
         import uuid
 
         from .sources import files as source
 
         source.register(spark)
-        folder = f"{_shared(spark).removeprefix('file://')}/coded-{uuid.uuid4().hex}"
-        _table(spark, sf_dir, "region").select(F.encode(F.concat("r_name", F.lit(";")), "UTF-8").alias("value")).write.format("coded").option("path", folder).option("codec", codec).mode("append").save()
-        back = source.read_coded(spark, f"file://{folder}/part-*", codec)
-        names = F.explode(F.filter(F.split(F.col("value").cast("string"), ";"), lambda x: x != "")).alias("name")
-        return back.select(names).agg(F.array_join(F.sort_array(F.collect_list("name")), ";").alias("names"))
+        folder = f"{_shared(spark)}/coded-{uuid.uuid4().hex}"
+        record = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce(F.base64(_octets()), F.lit("!")), F.lit(";"))
+        d = _table(spark, sf_dir, "documents").select(F.encode(record, "UTF-8").alias("value"))
+        d.write.format("coded").option("path", folder).option("codec", codec).option("max_file_len", 32 << 20).mode("append").save()
+        back = source.read_coded(spark, f"{folder}/part-*", codec)
+        back = back.select(F.explode(F.split(F.col("value").cast("string"), ";")).alias("r")).where("r <> ''")
+        held = F.substring_index("r", ":", -1)
+        return back.select(F.substring_index("r", ":", 1).cast("bigint").alias("doc_id"), F.when(held != "!", F.unbase64(held).cast("string")).alias("text"))
 
 
 for _codec in CODECS:
@@ -449,10 +499,10 @@ def json_sequence_files(spark, sf_dir):
     from .sources import files as source
 
     source.register(spark)
-    folder = f"{_shared(spark).removeprefix('file://')}/seq-{uuid.uuid4().hex}"
+    folder = f"{_shared(spark)}/seq-{uuid.uuid4().hex}"
     d = _table(spark, sf_dir, "nation").select(F.encode(json_text.json_encode(F.struct(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"))), "UTF-8").alias("value"))
     d.write.format("coded").option("path", folder).option("codec", "jsonseq").mode("append").save()
-    return source.read_json_sequence(spark, f"file://{folder}/part-*").select("text", "error")
+    return source.read_json_sequence(spark, f"{folder}/part-*").select("text", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

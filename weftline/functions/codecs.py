@@ -8,6 +8,7 @@ DEFLATE) return how much they took; gzip and Zstandard take all members or frame
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import zlib
 from collections.abc import Callable
@@ -242,19 +243,64 @@ def _brotli_window(data: bytes, most_bits: int) -> None:
         raise Refused("WindowTooLarge", 0)
 
 
-def brotli_octets(data: bytes, most: int | None = None, window_bits_most: int = 24) -> tuple[bytes, int]:
-    _brotli_window(data, window_bits_most)
-    stream = pa.CompressedInputStream(pa.BufferReader(data), "brotli")
-    parts, n = [], 0
+def _brotli_read(data: bytes, most: int | None) -> tuple[bytes, OSError | None]:
+    """What the library reads from the start of data until it has over most octets, and the error that ended it.
+
+    Streams that follow the first are read too.
+    """
+    stream, parts, n = pa.CompressedInputStream(pa.BufferReader(data), "brotli"), [], 0
     try:
         while part := stream.read(1 << 16):
             parts.append(part)
             n += len(part)
             if most is not None and n > most:
-                raise Refused("NoSpaceLeft")
+                break
+        return b"".join(parts), None
     except OSError as e:
-        raise Refused("Truncated" if "runcated" in str(e) else "CorruptStream") from None
-    return b"".join(parts), len(data)
+        error = e
+    # The read that failed took its output along: come back to it octet by octet.
+    stream = pa.CompressedInputStream(pa.BufferReader(data), "brotli")
+    parts = [stream.read(n)] if n else []
+    with contextlib.suppress(OSError):
+        while part := stream.read(1):
+            parts.append(part)
+    return b"".join(parts), error
+
+
+def _brotli_end(data: bytes, room: int) -> int | None:
+    """Where the first stream ends, None if it doesn't; room bounds its output.
+
+    One-shot decoding ignores what follows the stream, so it succeeds on every prefix that holds the stream and fails on
+    the others: mostly one try, without the last octet, else a bisection.
+    """
+    codec = pa.Codec("brotli")
+
+    def holds(n: int) -> bool:
+        try:
+            codec.decompress(pa.py_buffer(data)[:n], room)
+        except OSError:
+            return False
+        return True
+
+    if not holds(len(data) - 1):
+        return len(data) if holds(len(data)) else None
+    low, high = 0, len(data) - 1  # low doesn't hold it, high does
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if holds(middle) else (middle, high)
+    return high
+
+
+def brotli_octets(data: bytes, most: int | None = None, window_bits_most: int = 24) -> tuple[bytes, int]:
+    _brotli_window(data, window_bits_most)
+    value, error = _brotli_read(data, most)
+    full = most is not None and len(value) > most
+    end = _brotli_end(data, most if full else len(value))
+    if end is None and full:
+        raise Refused("NoSpaceLeft")
+    if end is None:
+        raise Refused("Truncated" if "runcated" in str(error) else "CorruptStream")
+    return (value if end == len(data) else _brotli_read(data[:end], most)[0]), end
 
 
 DECODERS: dict[str, Callable] = {"gzip": gzip_octets, "zlib": zlib_octets, "deflate": inflate_octets, "zstd": zstd_octets, "brotli": brotli_octets}

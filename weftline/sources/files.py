@@ -4,16 +4,19 @@ Reading goes through Spark's `binaryFile` source, so any file system Spark knows
 one cell, taken apart on the executors.  A single gzip, zlib, DEFLATE or brotli file can't be split, but the members of a
 gzip file and the frames of a Zstandard file become rows of their own.
 
-Writing needs a sink for arbitrary octets, which Spark lacks: `CodedSource` is a Python data source that writes one coded
-file a task into a folder all executors share, and reads such folders back.
+Writing needs a sink for arbitrary octets, which Spark lacks: `CodedSource` is a Python data source that writes coded files
+into a folder all executors share, by a URI of any file system pyarrow knows (file, hdfs, s3, gs, abfs), and reads such
+folders back.  A task begins another file when one holds `max_file_len` octets.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import contextlib
+import fnmatch
+import uuid
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -56,21 +59,34 @@ def read_json_sequence(spark: SparkSession, path: str, stream: bool = False) ->
     return out.select("path", "ordinal", F.trim(F.col("value").cast("string"), F.lit(" \t\r\n")).alias("text"), "error", "error_class")
 
 
-class _Folder(InputPartition):
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; a plain path is this machine's."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _parts(system: pafs.FileSystem, folder: str, pattern: str = "part-*") -> list[str]:
+    found = system.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and fnmatch.fnmatchcase(x.base_name, pattern))
+
+
+class _Part(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
 
 
 class _CodedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.codec = options["path"], options.get("codec", "gzip")
+        self.path, self.codec = options["path"].rstrip("/"), options.get("codec", "gzip")
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(os.path.join(self.path, "part-*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_Folder(p) for p in found]
+        system, path = _system(self.path)
+        folder, _, pattern = path.rpartition("/")
+        return [_Part(p) for p in (_parts(system, folder, pattern) if "*" in pattern else _parts(system, path))]
 
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        with _system(self.path)[0].open_input_stream(partition.path, compression=None) as f:
             data = f.read()
         if self.codec == "jsonseq":
             for start, stop, error in json_text.sequence_texts(data):
@@ -90,42 +106,60 @@ class _Written(WriterCommitMessage):
 
 
 class _CodedWriter(DataSourceWriter):
-    """Each task writes to a hidden file; the commit gives all of them their names."""
+    """Each task writes hidden files; the commit gives all of them their names, then an overwrite removes the old ones."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.codec, self.level = options["path"], options.get("codec", "gzip"), options.get("level")
-        self.overwrite = overwrite
+        self.path, self.codec, self.level = options["path"].rstrip("/"), options.get("codec", "gzip"), options.get("level")
+        self.most, self.overwrite = int(options.get("max_file_len", 256 << 20)), overwrite
 
-    def write(self, rows) -> WriterCommitMessage:
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
-        parts = [json_text.octets(r[0]) for r in rows if r[0] is not None]
-        if not parts:
-            return _Written([])
+    def _file(self, parts: list[bytes]) -> str:
         options = {} if self.level is None else {"level": int(self.level)}
         data = b"".join(b"\x1e" + p + b"\n" for p in parts) if self.codec == "jsonseq" else codecs.ENCODERS[self.codec](b"".join(parts), **options)
+        system, folder = _system(self.path)
         name = f"part-{uuid.uuid4().hex}"
-        with open(os.path.join(self.path, "." + name), "wb") as f:
+        with system.open_output_stream(f"{folder}/.{name}", compression=None) as f:
             f.write(data)
-        return _Written([name])
+        return name
+
+    def write(self, rows) -> WriterCommitMessage:
+        system, folder = _system(self.path)
+        system.create_dir(folder, recursive=True)
+        names, parts, n = [], [], 0
+        try:
+            for r in rows:
+                if r[0] is None:
+                    continue
+                parts.append(json_text.octets(r[0]))
+                n += len(parts[-1])
+                if n >= self.most:
+                    names.append(self._file(parts))
+                    parts, n = [], 0
+            if parts:
+                names.append(self._file(parts))
+        except BaseException:
+            self.abort([_Written(names)])
+            raise
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "part-*")):
-                os.unlink(old)
+        system, folder = _system(self.path)
+        old = _parts(system, folder) if self.overwrite else []
         for m in messages:
             for name in m.names if m else []:
-                os.rename(os.path.join(self.path, "." + name), os.path.join(self.path, name))
+                system.move(f"{folder}/.{name}", f"{folder}/{name}")
+        for path in old:
+            system.delete_file(path)
 
     def abort(self, messages: list) -> None:
+        system, folder = _system(self.path)
         for m in messages:
             for name in m.names if m else []:
-                os.unlink(os.path.join(self.path, "." + name))
+                with contextlib.suppress(OSError):
+                    system.delete_file(f"{folder}/.{name}")
 
 
 class CodedSource(DataSource):
-    """`format("coded")`: options path, codec (gzip, zlib, deflate, zstd, brotli or jsonseq) and level; one column `value`."""
+    """`format("coded")`: options path, codec (gzip, zlib, deflate, zstd, brotli or jsonseq), level and max_file_len (of octets before coding); one column `value`."""
 
     @classmethod
     def name(cls) -> str:
