@@ -253,8 +253,11 @@ def test_near_dedup(docs, none, rows, hub, monkeypatch):
     assert kept.where("trim(translate(coalesce(text, ''), '\t\n\x0b\x0c\r', '')) <> ''").count() == len(with_words)
 
 
-def test_near_dedup_exact_round(spark):
-    """The prefix filter finds every pair at the threshold, whatever the bands found."""
+@pytest.mark.parametrize("hub, marked", [(near_dedup.HUB, near_dedup.MARKED), (3, near_dedup.MARKED), (3, 0)])
+def test_near_dedup_exact_round(spark, hub, marked, monkeypatch):
+    """The prefix filter finds every pair at the threshold, whatever the bands found and however its shingles are dealt."""
+    monkeypatch.setattr(near_dedup, "HUB", hub)
+    monkeypatch.setattr(near_dedup, "MARKED", marked)
     r = random.Random(4)
     rows = []
     for k in range(60):

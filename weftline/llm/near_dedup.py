@@ -36,10 +36,12 @@ BANDS, ROWS = 32, 4
 HASHES, BATCH, MISS = BANDS * ROWS, 16, 1e-7
 #: Longest prefix whose shingles are carried into the exact round's join.
 CARRIED = 256
-#: Pairs of one document that are verified together.
+#: Pairs of one document that are verified together, and rows of one shingle that are joined together.
 HUB = 256
 #: Ids of rows without doc_id start here.
 NAMELESS = 1 << 62
+#: Up to so many frequent shingles (16 octets each) are sent to all tasks to mark their rows; more than that are joined.
+MARKED = 1 << 16
 
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -157,8 +159,15 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(m.join(mixed, "g"))
 
 
-def _largest(m: DataFrame, by: str) -> DataFrame:
-    return m.groupBy(by, "comp").agg(F.count("*").alias("k")).groupBy(by).agg(F.max(F.struct("k", "comp")).alias("x")).select(by, F.col("x.comp").alias("largest"))
+def _dealt(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """rows joined with the facts (sh, k, ...) of their shingle; a shingle of over HUB rows (k) is dealt in parts of about HUB."""
+    hot = facts.where(F.col("k") > HUB).select("sh", F.ceil(F.col("k") / HUB).cast("int").alias("parts"))
+    if hot.limit(MARKED + 1).count() > MARKED:  # many keys are large: hashed by shingle they even out, and Spark splits what doesn't
+        return rows.join(facts, "sh", how)
+    rows = rows.join(F.broadcast(hot), "sh", "left")
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    last = F.when(F.col("k") > HUB, F.ceil(F.col("k") / HUB).cast("int") - 1).otherwise(0)
+    return rows.join(facts.withColumn("part", F.explode(F.sequence(F.lit(0), last))), ["sh", "part"], how).drop("part")
 
 
 def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -181,21 +190,28 @@ def _prefix_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, size:
 
     rows = docs.join(need, docs["id"] == need["c"]).select("c", "comp", "text", "k1", "k2").mapInArrow(tidied(unfold), "c long, comp long, n long, sh long")
     rows = materialise(rows.distinct())
-    held = rows.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = rows.join(held, "sh", "left").select("c", "comp", "n", "sh", F.coalesce("k", F.lit(1)).alias("k"))
+    held = materialise(rows.groupBy("sh").agg(F.count("*").alias("k")).where("k > 1"))
+    ranked = _dealt(rows, held, "left").select("c", "comp", "n", "sh", F.coalesce("k", F.lit(1)).alias("k"))
     order = Window.partitionBy("c").orderBy("k", "sh")
     ranked = ranked.withColumn("pos", F.row_number().over(order)).withColumn("shared", F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     prefix = materialise(ranked.where(f"k > 1 AND pos <= n - ({percent} * n + 99) DIV 100 + 1").drop("k"))
-    several = prefix.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sh")
-    prefix = materialise(prefix.join(several, "sh"))
+    # of each shingle in several components: its rows, those of the largest component, and into how many parts either side goes
+    sides = prefix.groupBy("sh", "comp").agg(F.count("*").alias("k")).groupBy("sh").agg(F.sum("k").alias("k"), F.max(F.struct("k", "comp")).alias("x")).where("k > x.k")
+    parts = lambda n: F.ceil(n / HUB).cast("int")
+    sides = materialise(sides.select("sh", "k", F.col("x.comp").alias("largest"), parts(F.col("k")).alias("inner"), parts(F.col("k") - F.col("x.k")).alias("outer")))
+    prefix = materialise(_dealt(prefix, sides, "inner").drop("k"))
     # with both prefixes at hand a pair is found once, at its first common shingle; longer prefixes are not carried along
     lists = prefix.groupBy("c").agg(F.count("*").alias("k"), F.sort_array(F.collect_list(F.struct("pos", "sh"))).alias("p")).where(F.col("k") <= CARRIED).select("c", F.col("p.sh").alias("p"))
     prefix = prefix.join(lists, "c", "left")
-    outside = prefix.join(_largest(prefix, "sh"), "sh").where("comp <> largest").select("sh", *[F.col(x).alias(f"{x}_1") for x in ("c", "comp", "n", "pos", "shared", "p")])
+    # every pair of parts meets once: a row of one side goes to all parts of the other
+    deal = lambda side: F.pmod(F.xxhash64("c"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    outside = prefix.where("comp <> largest").select("sh", deal("outer").alias("o"), every("inner").alias("i"), *[F.col(x).alias(f"{x}_1") for x in ("c", "comp", "n", "pos", "shared", "p")])
+    inside = prefix.select("sh", every("outer").alias("o"), deal("inner").alias("i"), "c", "comp", "n", "pos", "shared", "p")
     least = f"({percent} * (n + n_1) + {percent} + 99) DIV {100 + percent}"
     bound = f"least(shared, shared_1) + least(n - pos, n_1 - pos_1) >= {least}"
     first = f"(p IS NULL OR p_1 IS NULL OR (1 + least(n - pos, n_1 - pos_1) >= {least} AND array_intersect(p, p_1)[0] = sh))"
-    found = outside.join(prefix, "sh").where(f"comp <> comp_1 AND 100 * least(n, n_1) >= {percent} * greatest(n, n_1) AND {bound} AND {first}")
+    found = outside.join(inside, ["sh", "o", "i"]).where(f"comp <> comp_1 AND 100 * least(n, n_1) >= {percent} * greatest(n, n_1) AND {bound} AND {first}")
     return found.select(F.least("c", "c_1").alias("a"), F.greatest("c", "c_1").alias("b")).distinct()
 
 
