@@ -1,8 +1,11 @@
 """Encoders in parts, the end of brotli streams, and coded folders by URI."""
 
+import contextlib
+import gc
 import random
 import zlib
 
+import psutil
 import pyarrow as pa
 import pytest
 
@@ -73,6 +76,28 @@ def test_brotli_ends():
         assert codecs.brotli_octets(coded + rest, 90000)[1] == len(coded)
 
 
+def test_brotli_refusals_hold_nothing():
+    """Buffers of a refused stream go at once, not at the next full garbage collection."""
+    coded = codecs.to_brotli(random.Random(3).randbytes(3000))[:-1]
+    gc.collect()
+    gc.disable()
+    try:
+        before = pa.total_allocated_bytes()
+        for _ in range(20):
+            with pytest.raises(Refused, match="Truncated"):
+                codecs.brotli_octets(coded)
+        assert pa.total_allocated_bytes() - before < 1 << 16
+    finally:
+        gc.enable()
+    process, sizes = psutil.Process(), []
+    for _ in range(2):
+        for _ in range(1500):
+            with contextlib.suppress(Refused):
+                codecs.brotli_octets(coded)
+        sizes.append(process.memory_info().rss)
+    assert sizes[1] - sizes[0] < 2 << 20  # over 9 MB where each refused cell loses what it read
+
+
 @pytest.mark.parametrize("form", ["file://{}", "file:{}", "{}"])
 def test_coded_folder(spark, tmp_path, form):
     from weftline.sources import files
