@@ -382,6 +382,19 @@ def test_pii_tagger_on_texts_written_by_hand():
     assert [pii.tag(model, [x])[0] for x in (long, long)] == [[(at, at + 14, "phone")]] * 2
 
 
+def test_codec_keeps_reused_chunks():
+    """A full cache gives up the chunks used once only; results stay those of a fresh codec."""
+    raw = sentencepiece_codec.default_model()
+    c = sentencepiece_codec.Codec(raw)
+    c.CACHE = 40
+    for k in range(4):
+        texts = [f"the same words  and ▁ again é {' '.join(f'w{k}x{i}' for i in range(30))} " + " " * 40, "", "the same words"]
+        got, fresh = c.apply(texts), sentencepiece_codec.Codec(raw).apply(texts)
+        assert [list(x) for x in got] == [list(x) for x in fresh]
+        c._forget_rare()
+        assert "▁words" in c.rows and f"▁w{k}x1" not in c.rows
+
+
 def test_quick_emissions_need_no_tanh(monkeypatch):
     """Gates go by exp, in less time than tanh takes, and stay finite at their limits."""
     import numpy as np

@@ -18,7 +18,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -175,19 +175,38 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the cache: chunk -> row of bounds into ids, and whether it came back and whether both libraries agree."""
+        """Empty the cache: chunk -> row of bounds into ids, whether it came back and whether both libraries agree, and how
+        often it was used."""
         self.rows: dict[str, int] = {}
-        self.bounds, self.ids = [0], [np.empty(0, np.int32)]
-        self.back, self.same = [], []
-
-    def _keep(self, chunks: list[str], ids: list[list[int]], back: list[bool], same: list[bool]) -> None:
+        self.bounds, self.ids = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+        self.back, self.same, self.used = [np.empty(0, bool)], [np.empty(0, bool)], np.empty(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keep the chunks that were used again, unless they alone fill half of the cache."""
+        keep = self.used > 1
+        if keep.sum() > self.CACHE // 2:
+            return self._forget()
+        bounds, ids, back, same = (np.concatenate(x) for x in (self.bounds, self.ids, self.back, self.same))
+        size = np.diff(bounds)
+        self.rows = dict(zip(compress(self.rows, keep.tolist()), range(int(keep.sum()))))  # rows are in the order of their numbers
+        self.bounds, self.ids = [np.concatenate([[0], np.cumsum(size[keep])])], [ids[np.repeat(keep, size)]]
+        self.back, self.same, self.used = [back[keep]], [same[keep]], np.zeros(int(keep.sum()), np.int64)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, size: np.ndarray, back: np.ndarray, same: np.ndarray) -> None:
+        """Add chunks with all their ids one after another and the number of each one's."""
         at = len(self.rows)
         self.rows.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids.append(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        self.bounds += (np.cumsum(size) + self.bounds[-1]).tolist()
-        self.back += back
-        self.same += same
+        self.ids.append(ids.astype(np.int32))
+        self.bounds.append(np.cumsum(size) + self.bounds[-1][-1])
+        self.back.append(back)
+        self.same.append(same)
+
+    def _agree(self, texts: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where the sentencepiece library gives each text the same ids."""
+        other = self.other.encode(texts, num_threads=1)
+        if sum(map(len, other)) == len(ids) and np.array_equal(np.fromiter(map(len, other), np.int64, len(other)), size) and np.array_equal(np.fromiter(chain.from_iterable(other), np.int64, len(ids)), ids):
+            return np.ones(len(texts), bool)
+        return np.array([i.tolist() == o for i, o in zip(np.split(ids, np.cumsum(size)[:-1]), other, strict=True)], bool)
 
     def normal(self, text: str) -> str:
         """The normalised text, markers included; equal to the text with marked spaces if there is no character map."""
@@ -199,22 +218,23 @@ class Codec:
     def _learn(self, chunks: list[str]) -> None:
         """Encode, decode and check new chunks.  Most go to the backend in long strings, which it cuts at the same places;
         runs of markers, and strings that don't come back whole, go one by one."""
-        plain = [c for c in chunks if c[-1] != MARK and (not self.model.runs or not c.startswith(MARK * (self.model.plain_run + 1)))]
-        alone = [c for c in chunks if c[-1] == MARK or (self.model.runs and c.startswith(MARK * (self.model.plain_run + 1)))]
+        run = MARK * (self.model.plain_run + 1) if self.model.runs else None
+        alone = [c for c in chunks if c[-1] == MARK or (run and c.startswith(run))]
+        apart = set(alone)
+        plain = [c for c in chunks if c not in apart] if apart else chunks
         groups = [plain[k : k + self.TOGETHER] for k in range(0, len(plain), self.TOGETHER)]
         strings = ["".join(g) for g in groups]
         ids = [e.ids for e in self.joined.encode_batch_fast(strings, add_special_tokens=False)]
         back = self.joined.decode_batch(ids, skip_special_tokens=False)
         for g, text, i, x in zip(groups, strings, ids, back, strict=True):
             flat = np.array(i, np.int64)
-            ends = np.cumsum([len(c.encode()) for c in g])
+            ends = np.cumsum(pc.binary_length(pa.array(g, pa.string())).to_numpy(), dtype=np.int64)
             cuts = np.searchsorted(np.cumsum(self.octets[flat]), ends, "left") + 1
             if x != text[1:].replace(MARK, " ") or cuts[-1] != len(i) or (flat == self.model.unk).any():
                 alone += g
                 continue
-            own = [i[s:e] for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-            same = self.other.encode([c[1:].replace(MARK, " ") for c in g], num_threads=1) if self.other and not self.model.charsmap else own
-            self._keep(g, own, [True] * len(g), [o == z for o, z in zip(own, same, strict=True)] if same is not own else [True] * len(g))
+            size, good = np.diff(cuts, prepend=0), np.ones(len(g), bool)
+            self._keep(g, flat, size, good, self._agree([c[1:] if c[1] != MARK else c[1:].replace(MARK, " ") for c in g], flat, size) if self.other is not None and not self.model.charsmap else good)
         if alone:
             self._learn_alone(alone)
 
@@ -229,7 +249,9 @@ class Codec:
         same = self.other.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1) if self.other and not self.model.charsmap else ids
         if self.other and MARK in chunks:  # one marker has no text of its own: a space at the end of a text
             same[chunks.index(MARK)] = [self.other.piece_to_id(MARK)]
-        self._keep(chunks, ids, [x == c[1:].replace(MARK, " ") for c, x in zip(chunks, back, strict=True)], [i == o for i, o in zip(ids, same, strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+        self._keep(chunks, flat, size, np.array([x == c[1:].replace(MARK, " ") for c, x in zip(chunks, back, strict=True)], bool), np.array([i == o for i, o in zip(ids, same, strict=True)], bool))
 
     def apply(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """Ids of all texts one after another, their number by text, whether the text came back, whether both libraries agree."""
@@ -239,7 +261,7 @@ class Codec:
             agree = [not self.other or i == self.other.encode(x) for i, x in zip(ids, texts, strict=True)]
             return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64), [x == y for x, y in zip(texts, back, strict=True)], agree
         if len(self.rows) > self.CACHE:
-            self._forget()
+            self._forget_rare()
         norm = [self.normal(x) if x else "" for x in texts]
         parts = [self.cut.findall(x) for x in norm]
         cuts = np.cumsum([0, *map(len, parts)])
@@ -249,8 +271,9 @@ class Codec:
         if missing:
             self._learn(list(dict.fromkeys(chunks[k] for k in missing)))
             row[missing] = [self.rows[chunks[k]] for k in missing]
-        self.ids = [np.concatenate(self.ids)]
-        bounds, back, same = np.array(self.bounds, np.int64), np.array(self.back, bool), np.array(self.same, bool)
+        self.bounds, self.ids, self.back, self.same = ([np.concatenate(x)] for x in (self.bounds, self.ids, self.back, self.same))
+        bounds, back, same = self.bounds[0], self.back[0], self.same[0]
+        self.used = np.bincount(row, minlength=len(self.rows)) + np.pad(self.used, (0, len(self.rows) - len(self.used)))
         begin, n = bounds[:-1][row], np.diff(bounds)[row]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = self.ids[0][np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)]
